@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe
+from wareflow.llm import bpe, langid, quality
 
 QUERIES = {
+    "op2_quality": quality.query,
+    "op6_language": langid.query,
     "op7_bpe": bpe.query,
 }
 ORACLE_SQL: dict[str, str] = {}
