@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, langid, quality
+from wareflow.llm import bpe, langid, neardup, quality
 
 QUERIES = {
     "op2_quality": quality.query,
     "op6_language": langid.query,
     "op7_bpe": bpe.query,
+    "op10_near_duplicates": neardup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
