@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, langid, neardup, quality
+from wareflow.llm import bpe, langid, neardup, pii, quality
 
 QUERIES = {
+    "op1_personal_data": pii.query,
     "op2_quality": quality.query,
     "op6_language": langid.query,
     "op7_bpe": bpe.query,
