@@ -231,5 +231,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = saved(candidates(docs).drop("text"))
     spans = decide(found, learn(found))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+
+    def number(k: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
