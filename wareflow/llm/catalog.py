@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, fingerprint, langid, neardup, pii, quality
+from wareflow.llm import bpe, decontam, fingerprint, langid, neardup, pii, quality
 
 QUERIES = {
     "op1_personal_data": pii.query,
     "op2_quality": quality.query,
     "op4_fingerprint": fingerprint.query,
+    "op5_decontamination": decontam.query,
     "op6_language": langid.query,
     "op7_bpe": bpe.query,
     "op10_near_duplicates": neardup.query,
