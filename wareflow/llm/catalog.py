@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, decontam, fingerprint, langid, neardup, pii, quality
+from wareflow.llm import bpe, decontam, fingerprint, html, langid, neardup, pii, quality
 
 QUERIES = {
     "op1_personal_data": pii.query,
     "op2_quality": quality.query,
+    "op3_main_text": html.query,
     "op4_fingerprint": fingerprint.query,
     "op5_decontamination": decontam.query,
     "op6_language": langid.query,
