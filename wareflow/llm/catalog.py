@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, decontam, fingerprint, html, langid, neardup, pii, quality
+from wareflow.llm import bpe, decontam, fingerprint, html, langid, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_personal_data": pii.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_decontamination": decontam.query,
     "op6_language": langid.query,
     "op7_bpe": bpe.query,
+    "op8_warc": warc.query,
+    "op9_packing": packing.query,
     "op10_near_duplicates": neardup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
