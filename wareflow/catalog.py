@@ -257,7 +257,7 @@ ORACLE_SQL: dict[str, str] = {
     + " END AS DECIMAL(18,2)) AS DOUBLE) AS price_twd FROM part",
     "category_map": "SELECT p_partkey, p_type, coalesce(dst, 'unmapped') AS category FROM part LEFT JOIN (VALUES " + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in CATEGORIES) + ") m(src, dst) ON p_type = src",
     "replace_words": f"SELECT doc_id, {_nested('text')} AS text FROM documents",
-    "clean_numbers": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(text, '０１２３４５６７８９，．', '0123456789,.'), '[¥￥$€] *([0-9])', '\1', 'g'), '([0-9]) *[円元]', '\1', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g') AS text FROM documents""",
+    "clean_numbers": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '０１２３４５６７８９，．', '0123456789,.'), '[¥￥$€] *([0-9])', '\1', 'g'), '([0-9]) *[円元]', '\1', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g') AS text FROM documents""",
     "keyword_filter": f"SELECT doc_id, lower(regexp_extract(text, '(?i)({'|'.join(KEYWORDS)})', 1)) AS hit, NOT regexp_matches(text, '(?i)({'|'.join(KEYWORDS)})') AS keep FROM documents",
     "fill_defaults": "SELECT d.doc_id, coalesce(nullif(lang, ''), 'xx') AS lang, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "title_dedup": r"SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) ORDER BY p_partkey) AS r FROM part) WHERE r = 1",

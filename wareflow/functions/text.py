@@ -21,7 +21,10 @@ def clean_numbers(text: Column) -> Column:
     text = F.translate(text, "０１２３４５６７８９，．", "0123456789,.")
     text = F.regexp_replace(text, r"[¥￥$€] *([0-9])", "$1")
     text = F.regexp_replace(text, r"([0-9]) *[円元]", "$1")
-    return F.regexp_replace(text, r"([0-9]),([0-9]{3})", "$1$2")
+    # A mark takes the digits beside it, so every other mark goes each time.
+    for _ in range(2):
+        text = F.regexp_replace(text, r"([0-9]),([0-9]{3})", "$1$2")
+    return text
 
 
 def first_number(text: Column) -> Column:

@@ -11,6 +11,8 @@ RESIDUE_CLASSES = ("rival_url", "anti_theft_notice", "spec_text", "app_ui", "sti
 #: Memory in GB and the pool that it allows.
 POOLS = ((24, 28), (12, 16), (8, 10))
 LOW, HIGH = 0.15, 0.85
+#: So that centres on a bound count as within, whatever the sums' rounding.
+_SLACK = 1e-9
 
 
 def gate(kind: Column) -> Column:
@@ -23,7 +25,7 @@ def outer_boxes(boxes: Column, low: float = LOW, high: float = HIGH) -> Column:
 
     def outside(b: Column) -> Column:
         x, y = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
-        return ~(x.between(low, high) & y.between(low, high))
+        return ~(x.between(low - _SLACK, high + _SLACK) & y.between(low - _SLACK, high + _SLACK))
 
     return F.filter(boxes, outside)
 
