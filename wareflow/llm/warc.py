@@ -24,7 +24,7 @@ _END = "\r\n"
 #: When pages carry no date of their own.
 DATE = "2024-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body))", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body))", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|footer|header|aside|main|blockquote|pre|br|hr|form|title|dl|dt|dd)\b[^>]*>", re.I)
 _MARKUP = re.compile(r"<[^>]*>")
 
