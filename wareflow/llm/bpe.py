@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from itertools import chain
+import string
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 #: How the byte-level pre-tokenizer splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A space beside other white space: such texts are split as a whole.
-_BESIDE = re.compile(r" \s|\s ")
+#: ASCII that is neither a letter, a digit nor white space.
+_MARKS = string.punctuation
+
+#: Transitions that a worker's table holds before it starts anew.
+MOST_ARCS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,7 +56,8 @@ class MergeAutomaton:
         #: The state that a label leads to; for a merged label its left part and its step.
         self.leads_to: dict[int, int] = {t: 0 for t, b in labels.items() if len(b) == 1}
         self.left: dict[int, tuple[int, int]] = {}
-        sharing = {0: len(self.leads_to)}
+        # The start leads to the first state as well, which so never loses an arc.
+        sharing = {0: len(self.leads_to) + 1}
         for step, (u, v, w) in enumerate(merges):
             target = self.leads_to[v]
             state = self.leads_to[u]
@@ -71,6 +76,8 @@ class MergeAutomaton:
             sharing[self.leads_to[w]] = sharing.get(self.leads_to[w], 0) + 1
             self.left[w] = (u, step)
         self.arcs: dict[int, bool] = {}
+        self.histories: dict[int, list] = {}
+        self.left_parts: dict[int, list] = {}
         self._spell()
 
     def _without_last(self, state: int, step: int) -> int:
@@ -81,35 +88,60 @@ class MergeAutomaton:
         return len(self.lost) - 1
 
     def _spell(self) -> None:
-        """What a label spells, and the longest label by the first four bytes."""
+        """What a label spells, and the longest label by the first four and six bytes."""
         self.label_of = {self.labels[t]: t for t in self.leads_to}
-        self.longest: dict[bytes, int] = {}
+        self.by_four: dict[bytes, int] = {}
+        self.by_six: dict[bytes, int] = {}
         for b in self.label_of:
             if len(b) > 3:
-                self.longest[b[:4]] = max(len(b), self.longest.get(b[:4], 0))
+                self.by_four[b[:4]] = max(len(b), self.by_four.get(b[:4], 0))
+            if len(b) > 5:
+                self.by_six[b[:6]] = max(len(b), self.by_six.get(b[:6], 0))
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc of ``label``; kept in the transition table."""
         key = state << 32 | label
         known = self.arcs.get(key)
         if known is None:
+            if len(self.arcs) >= MOST_ARCS:
+                self.arcs.clear()
             known = self.arcs[key] = self._work_out(state, label)
         return known
 
     def _work_out(self, state: int, label: int) -> bool:
         # The arc was added where the arc of its left part was, and so on down to a byte, which the first state has.
-        needed, until = label, 1 << 60
-        while True:
-            at, before = state, 1 << 60
-            while at >= 0:
-                lost = self.lost[at].get(needed)
-                if lost is not None and lost <= until and lost < before:
+        for lost, before in self._history(state):
+            for needed, until in self._parts(label):
+                step = lost.get(needed)
+                if step is not None and step <= until and step < before:
                     return False
+        return True
+
+    def _history(self, state: int) -> list[tuple[dict, int]]:
+        """What the state and those it was copied from have lost, and the step until which that counts."""
+        found = self.histories.get(state)
+        if found is None:
+            found, at, before = [], state, 1 << 60
+            while at >= 0:
+                if self.lost[at]:
+                    found.append((self.lost[at], before))
                 before = min(before, self.copied_at[at])
                 at = self.origin[at]
-            if needed not in self.left:
-                return True
-            needed, until = self.left[needed]
+            self.histories[state] = found
+        return found
+
+    def _parts(self, label: int) -> list[tuple[int, int]]:
+        """The label and its left parts, and the step until which each had to be there."""
+        found = self.left_parts.get(label)
+        if found is None:
+            found, needed, until = [], label, 1 << 60
+            while True:
+                found.append((needed, until))
+                if needed not in self.left:
+                    break
+                needed, until = self.left[needed]
+            self.left_parts[label] = found
+        return found
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path over ``word``.
@@ -117,27 +149,33 @@ class MergeAutomaton:
         The longest arc is followed first.  A byte position from which no arc leads on is never entered again, so
         the walk is linear in the word.
         """
-        whole = self.label_of.get(word)
-        if whole is not None and self.has_arc(0, whole):
+        label_of, by_four, by_six, leads_to, arcs = self.label_of.get, self.by_four.get, self.by_six.get, self.leads_to, self.arcs.get
+        whole = label_of(word)
+        if whole is not None:
             return [whole]
-        n, at, size, path, state = len(word), 0, 0, [], 0
-        label_of, longest, leads_to, arcs = self.label_of, self.longest, self.leads_to, self.arcs
-        closed: set[int] = set()
-        size = min(n, longest.get(word[:4], 3))
+        n, at, path, state, closed = len(word), 0, [], 0, None
+        size = -1
         while at < n:
+            if size < 0:
+                size = by_four(word[at : at + 4], 3)
+                if size > 5:
+                    size = by_six(word[at : at + 6], 5)
+                if size > n - at:
+                    size = n - at
             while size:
-                end = at + size
-                label = label_of.get(word[at:end])
-                if label is not None and end not in closed:
-                    allowed = arcs.get(state << 32 | label)
+                label = label_of(word[at : at + size])
+                if label is not None and not (closed and at + size in closed):
+                    if not state:
+                        break
+                    allowed = arcs(state << 32 | label)
                     if allowed or allowed is None and self.has_arc(state, label):
                         break
                 size -= 1
             if size:
                 path.append(label)
-                state, at = leads_to[label], end
-                size = min(n - at, longest.get(word[at : at + 4], 3))
+                state, at, size = leads_to[label], at + size, -1
             else:
+                closed = closed or set()
                 closed.add(at)
                 size = len(self.labels[path.pop()])
                 at -= size
@@ -146,10 +184,14 @@ class MergeAutomaton:
         return path
 
 
+class _WhiteSpaceBesideSpace(Exception):
+    """The text is to be split as a whole."""
+
+
 class ByteBpe:
     """A byte-level BPE tokenizer file, compiled; ``kept`` bounds the chunks whose ids are remembered."""
 
-    def __init__(self, spec: str, kept: int = 200_000):
+    def __init__(self, spec: str, kept: int = 1_000_000):
         spec = json.loads(spec)
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
@@ -160,52 +202,94 @@ class ByteBpe:
         added = sorted(spec.get("added_tokens") or [], key=lambda t: -len(t["content"]))
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.emit = self.labels | {i: s.encode() for s, i in self.added.items()}
+        emitted = self.labels | {i: s.encode() for s, i in self.added.items()}
+        spelled = [emitted.get(i, b"") for i in range(max(emitted) + 1)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.size_of = np.array([len(b) for b in spelled], np.int64)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
         self.words = regex.compile(SPLIT)
-        self.chunks = _Remembered(self, kept)
+        self.chunks = _Remembered(self.after_space, kept)
+        self.cores = _Remembered(lambda core: packed(self.machine.encode(b" " + core.encode())), kept // 2)
+        self.marks = _Remembered(self.plain, 4096)
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         encode = self.machine.encode
-        return [i for w in self.words.findall(text) for i in encode(w.encode())]
-
-    def pieces(self, text: str):
-        """Lists of ids that make up ``text``, which holds no added token."""
-        if _BESIDE.search(text):
+        return packed([i for w in self.words.findall(text) for i in encode(w.encode())])
+
+    def after_space(self, chunk: str) -> bytes:
+        """The ids of a space and ``chunk``, which has no white space at its ends."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _WhiteSpaceBesideSpace
+        core = chunk.rstrip(_MARKS)
+        if not core.isalpha():
+            return self.plain(" " + chunk)
+        # Letters, then marks: two words for the splitter.
+        if len(core) == len(chunk):
+            return self.cores[core]
+        return self.cores[core] + self.marks[chunk[len(core) :]]
+
+    def pieces(self, text: str) -> list[bytes]:
+        """The packed ids of pieces that make up ``text``, which holds no added token.
+
+        Where a space stands between other characters than white space the splitter always cuts before it.
+        White space at the end of a text is one word.
+        """
+        body = text.rstrip()
+        first, *rest = body.split(" ")
+        try:
+            if first and first[-1].isspace():
+                raise _WhiteSpaceBesideSpace
+            found = [self.plain(first), *map(self.chunks.__getitem__, rest)]
+        except _WhiteSpaceBesideSpace:
             return [self.plain(text)]
-        first, *rest = text.split(" ")
-        return [self.plain(first), *map(self.chunks.__getitem__, rest)]
+        if len(body) < len(text):
+            found.append(self.plain(text[len(body) :]))
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        lists = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+        found = []
+        for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                lists.append((self.added[part],))
+                found.append(packed([self.added[part]]))
             elif part:
-                lists += self.pieces(part)
-        return np.fromiter(chain.from_iterable(lists), np.int32)
+                found += self.pieces(part)
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """What the labels of ``ids`` spell: their bytes are emitted from one table, a stretch of ids at a time."""
+        out = []
+        for at in range(0, len(ids), 1 << 16):
+            part = np.asarray(ids[at : at + (1 << 16)], np.int64)
+            size = self.size_of[part]
+            ends = np.cumsum(size)
+            out.append(self.spelled[np.repeat(self.start_of[part] - (ends - size), size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.emit.__getitem__, ids)).decode("utf-8", "replace")
+
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 class _Remembered(dict):
-    """Ids of what follows a single space; starts anew when full."""
+    """What ``work_out`` gives for strings, kept.
+
+    When full it becomes the elder generation, out of which what is still asked for comes back.
+    """
 
-    def __init__(self, bpe: ByteBpe, kept: int):
+    def __init__(self, work_out: Callable[[str], bytes], kept: int):
         super().__init__()
-        self.bpe, self.kept = bpe, kept
+        self.work_out, self.kept, self.elder = work_out, kept // 2, {}
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= self.kept:
+            self.elder = dict(self)
             self.clear()
-        if len(self.bpe.machine.arcs) >= 8 * self.kept:
-            self.bpe.machine.arcs.clear()
-        ids = tuple(self.bpe.plain(" " + chunk))
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        found = self.elder.get(text)
+        if found is None:
+            found = self.work_out(text)
+        if len(text) <= 64:
+            self[text] = found
+        return found
 
 
 _compiled: dict[str, ByteBpe] = {}
@@ -232,9 +316,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def to_ids(texts: pa.Array) -> pa.Array:
-        bpe, found = compiled(spec.value), []
-        for t in texts:
-            found.append(bpe.encode(t.as_py()))
+        bpe = compiled(spec.value)
+        found = [bpe.encode(t.as_py()) for t in texts]
         ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
         values = np.concatenate(found) if found else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
@@ -249,8 +332,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     @F.arrow_udf("string")
     def to_text(lists: pa.Array) -> pa.Array:
         bpe = compiled(spec.value)
-        values = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-        out, at = [], 0
+        values, out, at = lists.flatten().to_numpy(zero_copy_only=False), [], 0
         for n in lists.value_lengths().to_pylist():
             out.append(bpe.decode(values[at : at + (n or 0)]))
             at += n or 0
