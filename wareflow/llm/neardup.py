@@ -11,9 +11,9 @@ Links are confirmed on the full sets, and every pair in a bucket is settled with
 1. Each bucket's members are compared with its most central member, the one with the most companions over all
    bands.
 2. Where a bucket's members are then not all connected, those outside its largest component are compared with
-   the rest of the bucket.  In large buckets a member is left out whose own shingles, found in no other member of
-   such a bucket, are too many for any link: with s shared shingles at most, its Jaccard to a text of m shingles
-   or more cannot reach the threshold.
+   the rest of the bucket.  In buckets of more than ``SMALL`` members, those are left out that have too many
+   shingles to themselves to link with any member, and the others are compared in blocks, of which only the
+   links come out.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing, not with each other;
 with fewer words than a shingle the whole sequence is one shingle.  Rows that are repeated, or equal but for the
@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from wareflow.llm.words import mix, shingles, word_hashes
 
 ROWS = 4
 MISSED = 1e-6
-#: Buckets up to this size are settled pair by pair, without the test for shingles of one's own.
-SMALL = 32
+#: Buckets up to this size are settled pair by pair, larger ones in blocks of about ``BLOCK`` sets.
+SMALL, BLOCK = 32, 512
 #: Pairs of one central member that go to one task.
 PER_SALT = 256
 
@@ -123,22 +124,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("full_a") + F.size("full_b") - shared)).select("a", "b")
 
 
-def _settled_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ids among ``members`` (key, id, n) that can link with no other of them, by the shingles that they share."""
-    ids = members.groupBy("id").agg(F.first("n").alias("n"))
-    least = members.groupBy("key").agg(F.min("n").alias("m"))
-    least = members.join(least, "key").groupBy("id").agg(F.min("m").alias("m"))
-    own = (
-        sets.join(ids.select("id"), "id", "left_semi")
-        .select("id", F.explode("full").alias("shingle"))
-        .groupBy("shingle")
-        .agg(F.count("*").alias("times"), F.min("id").alias("id"))
-        .where("times = 1")
-        .groupBy("id")
-        .agg(F.count("*").alias("own"))
-    )
+def _alone(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of crowded buckets that can link with no other: of n shingles, a text that links can lack only
+    k - 1, and they have k that no other member has."""
+    ids = crowded.groupBy("id").agg(F.first("n").alias("n"))
+    least = crowded.groupBy("key").agg(F.min("n").alias("m"))
+    least = crowded.join(least, "key").groupBy("id").agg(F.min("m").alias("m"))
     smallest = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100))
-    return ids.join(least, "id").join(own, "id").where((100 + percent) * (F.col("n") - F.col("own")) < percent * (F.col("n") + smallest)).select("id")
+    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
+    may_lack = ids.join(least, "id").select("id", (F.col("n") - needed + 1).alias("k"))
+    placed = sets.join(ids.select("id"), "id", "left_semi").select("id", F.explode("full").alias("shingle"))
+    own = placed.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return own.join(may_lack, "id").where("own >= k").select("id")
+
+
+def _links_in_blocks(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between ``asking`` and ``members`` (key, id) of the same bucket.
+
+    Both are dealt out in blocks of at most about ``BLOCK`` sets; a task holds a block of either and gives the
+    links alone, counting shared shingles by an inverted index of the members' block.
+    """
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
+
+    numbers = dealt(asking, "a").join(dealt(members, "b"), "key")
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        placed = rows.join(numbers, "key").select("key", "id", F.pmod(F.xxhash64("id"), f"{own}_blocks").cast("int").alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"))
+        found = placed.join(sets, "id")
+        return found.toDF(*found.columns)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            ids = right["id"].to_numpy()
+            sizes = np.array([len(x) for x in right["full"]])
+            tokens, owner = np.concatenate(list(right["full"])), np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for a, full in zip(left["id"].to_numpy(), left["full"], strict=True):
+                low, high = np.searchsorted(tokens, full, "left"), np.searchsorted(tokens, full, "right")
+                count = high - low
+                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+                shared = np.bincount(owner[at], minlength=len(ids))
+                fits = 100 * shared >= percent * (len(full) + sizes - shared)
+                found += [(a, b) for b in ids[fits].tolist() if b != a]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    grid = ["key", "a_block", "b_block"]
+    left, right = spread(asking, "a", "b").groupBy(*grid), spread(members, "b", "a").groupBy(*grid)
+    return left.cogroup(right).applyInPandas(compare, "a long, b long")
 
 
 def linked(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -161,17 +197,14 @@ def linked(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text:
     apart = labelled.groupBy("key", "component").agg(F.count("*").alias("here"))
     apart = apart.groupBy("key").agg(F.max_by("component", F.struct("here", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     left = saved(labelled.join(apart, "key"))
-    crowded = left.where(F.col("size") > SMALL)
-    odd = left.where("component != main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    settled = saved(_settled_apart(crowded, sets, percent))
-    waiting = odd.join(settled.withColumnRenamed("id", "a"), "a", "left_anti")
-    # A settled member of a crowded bucket may still link within a small one.
-    small = left.where(F.col("size") <= SMALL)
-    small_odd = small.where("component != main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    tried = waiting.join(crowded.select("key").distinct(), "key", "left_semi").union(small_odd)
-    others = left.join(settled.withColumn("settled", F.lit(True)), "id", "left").where((F.col("size") <= SMALL) | F.col("settled").isNull())
-    more = others.join(tried, "key").where(could & (F.col("component") != F.col("of_a"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return signs.select("id", "n", "class_a", "class_b"), links.union(saved(_confirmed(saved(more), sets, percent)))
+    crowded, small = left.where(F.col("size") > SMALL), left.where(F.col("size") <= SMALL)
+    odd = small.where("component != main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
+    near = small.join(odd, "key").where(could & (F.col("component") != F.col("of_a"))).select("a", F.col("id").alias("b"))
+    more = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    alone = saved(_alone(crowded, sets, percent))
+    able = crowded.join(alone, "id", "left_anti")
+    rest = saved(_links_in_blocks(able.where("component != main").select("key", "id"), able.select("key", "id"), sets, percent))
+    return signs.select("id", "n", "class_a", "class_b"), links.union(saved(_confirmed(more, sets, percent))).union(rest)
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
