@@ -69,5 +69,5 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     count = len(words) - size + 1
     out = np.full(count, size, np.uint64)
     for k in range(size):
-        out = mix(out + words[k : k + count])
-    return out
+        out = out * np.uint64(_BASE) + words[k : k + count]
+    return mix(out)
