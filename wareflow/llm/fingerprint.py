@@ -93,9 +93,10 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    parts = max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Several ranges a shuffle partition, as they are dealt out by hash.
+    parts = max(2, min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ids = docs.select(place.alias("k"))
-    cuts = ids.approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    cuts = ids.approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts))
     bounds = sorted(set(cuts), reverse=True)
     part = _place(place, bounds, 0, len(bounds))
     heads = {r["p"]: r["k"] for r in ids.groupBy(_place(F.col("k"), bounds, 0, len(bounds)).alias("p")).agg(F.max("k").alias("k")).collect()}
