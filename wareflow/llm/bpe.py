@@ -29,12 +29,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareflow.llm.shared import small_batches
+
 #: How the byte-level pre-tokenizer splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: ASCII that is neither a letter, a digit nor white space.
 _MARKS = string.punctuation
 
+#: Chunks whose ids a worker remembers: about 250 bytes each.
+KEPT = 1_000_000
 #: Transitions that a worker's table holds before it starts anew.
 MOST_ARCS = 500_000
 
@@ -191,7 +195,7 @@ class _WhiteSpaceBesideSpace(Exception):
 class ByteBpe:
     """A byte-level BPE tokenizer file, compiled; ``kept`` bounds the chunks whose ids are remembered."""
 
-    def __init__(self, spec: str, kept: int = 1_000_000):
+    def __init__(self, spec: str, kept: int = KEPT):
         spec = json.loads(spec)
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
@@ -295,12 +299,12 @@ class _Remembered(dict):
 _compiled: dict[str, ByteBpe] = {}
 
 
-def compiled(spec: str) -> ByteBpe:
+def compiled(spec: str, kept: int) -> ByteBpe:
     """The compiled tokenizer, once a worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    key = f"{kept} {hashlib.sha256(spec.encode()).hexdigest()}"
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = ByteBpe(spec)
+        _compiled[key] = ByteBpe(spec, kept)
     return _compiled[key]
 
 
@@ -310,13 +314,14 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kept: int = KEPT) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int): the token ids of the whole ``text``."""
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("array<int>")
     def to_ids(texts: pa.Array) -> pa.Array:
-        bpe = compiled(spec.value)
+        bpe = compiled(spec.value, kept)
         found = [bpe.encode(t.as_py()) for t in texts]
         ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
         values = np.concatenate(found) if found else np.empty(0, np.int32)
@@ -325,13 +330,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return docs.withColumn(ids, to_ids(F.col(text)))
 
 
-def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded", kept: int = KEPT) -> DataFrame:
     """``docs`` with the column ``text``: what the labels of ``ids`` spell; null ids spell the empty text."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("string")
     def to_text(lists: pa.Array) -> pa.Array:
-        bpe = compiled(spec.value)
+        bpe = compiled(spec.value, kept)
         values, out, at = lists.flatten().to_numpy(zero_copy_only=False), [], 0
         for n in lists.value_lengths().to_pylist():
             out.append(bpe.decode(values[at : at + (n or 0)]))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareflow.llm.shared import small_batches
 from wareflow.llm.words import LOWER, shingles, span_hashes, spans
 
 SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 11, 4
@@ -206,6 +207,7 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", column: str =
 
         return find(F.col(text))
 
+    small_batches(docs.sparkSession)
     found = [c for c in (against(rows) for rows in _blocks(items, item_key, item_text)) if c is not None]
     return docs.withColumn(column, F.concat(*found) if found else F.array().cast(kind))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wareflow.llm.shared import small_batches
 from wareflow.llm.subword import Shape, SubwordModel, calibrate, counted, train
 
 #: Labels beyond the most frequent so many are not learned.
@@ -61,6 +62,7 @@ def scored(docs: DataFrame, text: str, model: SubwordModel, column: str) -> Data
 
     The model that is broadcast has a fixed size: its shape's buckets and dimensions.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import connected
-from wareflow.llm.shared import saved
+from wareflow.llm.shared import saved, small_batches
 from wareflow.llm.words import mix, shingles, word_hashes
 
 ROWS = 4
@@ -179,6 +179,7 @@ def _links_in_blocks(asking: DataFrame, members: DataFrame, sets: DataFrame, per
 
 def linked(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The classes of ``docs`` (id, n, class_a, class_b of every row) and confirmed links (a, b) between them."""
+    small_batches(docs.sparkSession)
     signs = saved(signed(docs, size, bands_for(percent / 100), key, text))
     classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("least")).select("least.*")
     placed = classes.select("id", "n", F.explode("bands").alias("key"))
