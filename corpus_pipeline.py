@@ -42,7 +42,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of what they decode to."""
     path = bpe.default_path()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    # Workers still hold what earlier stages left them, so they remember less here.
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, kept=300_000), path, kept=300_000)
     return both.select("doc_id", "lang", "source", "ids", *bpe.digests(both))
 
 
