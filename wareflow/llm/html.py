@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements; elements that are boilerplate by their kind (menus, forms, scripts) or by their
-name (``class``, ``id`` or ``role`` words such as "sidebar" or "cookie") are left out with all that is in them.
+A page becomes a tree of elements; elements that are boilerplate by their kind (menus, scripts) are left out with
+all that is in them.  Forms, page headers and elements with a name of boilerplate (a whole word of ``class``, ``id``
+or ``role``, such as "sidebar", not "with-sidebar") are left out too, but not where they hold a ``main``, an
+``article`` that is in no other one, or most of the page's text outside links, nor where no text would remain: what
+is in those is left to the densities.
 For each node, its characters per tag are adjusted for links: the more of its characters and tags are those of
 links, the smaller the logarithm they are multiplied with.  A node's density sum adds up the densities of its
 children.  The node with the largest sum is the content; of what stands beside it, what is at least as dense as
@@ -25,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,8 +38,8 @@ _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption body html".spli
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that are never main text.
-_OUT = frozenset("nav footer aside form script style noscript template textarea select button input iframe svg math object canvas audio video dialog menu head title".split())
-#: Names of boilerplate; a "header" inside an article is kept.
+_OUT = frozenset("nav footer aside script style noscript template textarea select button input iframe svg math object canvas audio video dialog menu head title".split())
+#: Names of boilerplate, evidence only; a "header" inside an article is kept.
 _OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay"
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comments comment disqus respond reply replies share sharing social"
@@ -50,6 +52,9 @@ class _Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.last = ["#"], [-1], [False], [0]
+        #: Elements that look like boilerplate, and the outermost articles and mains.
+        self.doubted: list[int] = []
+        self.holders: list[int] = []
         #: (node, decoded text), and (node, None) where a block starts or ends.
         self.flow: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -63,10 +68,15 @@ class _Page:
             self._close(_SAME[tag], _FENCE[tag])
         node = len(self.tag)
         above = self.stack[-1]
-        names = {w.lower() for m in _NAMES.findall(attributes) for part in m for w in _WORD.findall(part)} if attributes else ()
-        out = self.out[above] or tag in _OUT or bool(names and not _OUT_NAMES.isdisjoint(names) and tag not in ("html", "body", "article", "main"))
-        if not out and (tag == "header" or "header" in names) and tag not in ("html", "body", "article", "main"):
-            out = not (self.open.get("article") or self.open.get("main"))
+        names = {w.lower() for m in _NAMES.findall(attributes) for part in m for w in part.split()} if attributes else ()
+        out = self.out[above] or tag in _OUT
+        if not out and tag in ("article", "main"):
+            if tag == "main" or not self.open.get("article"):
+                self.holders.append(node)
+        elif not out and tag not in ("html", "body"):
+            inside = self.open.get("article") or self.open.get("main")
+            if tag == "form" or (names and not _OUT_NAMES.isdisjoint(names)) or ((tag == "header" or "header" in names) and not inside):
+                self.doubted.append(node)
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(out)
@@ -132,6 +142,27 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / tags * math.log(max(1.0, chars / max(1, link_chars) * (tags / max(1, link_tags)))) / max(1e-9, math.log(base)) if base > 1 + 1e-9 else chars / tags * math.log(max(1.0, chars * tags))
 
 
+def _leave_out(page: _Page, chars: list[int], link_chars: list[int]) -> None:
+    """Leaves out the doubted elements that are not likely to hold the content, and takes their own text from the counts."""
+    count = len(page.tag)
+    plain, holds = [c - k for c, k in zip(chars, link_chars, strict=True)], [False] * count
+    for n in page.holders:
+        holds[n] = True
+    for n in range(count - 1, 0, -1):
+        plain[page.parent[n]] += plain[n]
+        holds[page.parent[n]] |= holds[n]
+    left = {n for n in page.doubted if not holds[n] and 2 * plain[n] <= plain[0]}
+    out = page.out[:]
+    for n in range(1, count):
+        out[n] = out[n] or out[page.parent[n]] or n in left
+    if not any(c and not o for c, o in zip(chars, out, strict=True)):
+        return
+    page.out = out
+    for n in range(count):
+        if out[n]:
+            chars[n] = link_chars[n] = 0
+
+
 def main_text(source: str | None) -> str:
     """The main text of a page."""
     if not source:
@@ -150,6 +181,8 @@ def main_text(source: str | None) -> str:
             chars[node] += size
             link_chars[node] += size * in_link[node]
         decoded.append((node, text))
+    if page.doubted:
+        _leave_out(page, chars, link_chars)
     for n in range(count - 1, 0, -1):
         if page.out[n]:
             continue
