@@ -25,13 +25,14 @@ _END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body))", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|footer|header|aside|main|blockquote|pre|br|hr|form|title|dl|dt|dd)\b[^>]*>", re.I)
-_MARKUP = re.compile(r"<[^>]*>")
+#: A tag with quoted values read whole, or a declaration; a "<" that starts neither is text.
+_MARKUP = re.compile(r"""</?([a-z][^\s/>]*+)(?:(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>|[^>]*+>)|<[!?][^>]*+>|</>""", re.I)
+_BREAK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol tr table article section nav footer header aside main blockquote pre br hr form title dl dt dd".split())
 
 
 def plain_text(source: str | None) -> str:
     """All text of a page that is shown, a block a line."""
-    text = _MARKUP.sub("", _BREAK.sub("\n", _DROP.sub("\n", source or "")))
+    text = _MARKUP.sub(lambda m: "\n" if m[1] and m[1].lower() in _BREAK else "", _DROP.sub("\n", source or ""))
     lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
