@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from wareflow.llm.shared import small_batches
 from wareflow.llm.subword import Shape, SubwordModel, calibrate, counted, train
 
-#: Labels beyond the most frequent so many are not learned.
-MAX_CLASSES = 64
+#: Rows of all labels together that a sample has at most, about: with more labels each has fewer rows, but one at least.
+MAX_ROWS = 6400
 _STEPS = 1 << 20
 
 
+def bounded(each: int, labels: int) -> int:
+    """Rows of a label when there are so many labels."""
+    return min(each, max(1, MAX_ROWS // max(1, labels)))
+
+
 def rates(labelled: DataFrame, label: str, each: int) -> dict:
-    """By label, the share of its rows that brings about ``each`` of them."""
-    counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_CLASSES).collect()
+    """By label, the share of its rows that brings about ``each`` of them, or fewer where there are many labels."""
+    counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    each = bounded(each, len(counts))
     return {r[label]: min(1.0, each / r["count"]) for r in counts}
 
 
@@ -49,10 +55,14 @@ def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape
     got = sample.select(F.col(key).alias("k"), F.col(label).alias("y"), count(F.col(text)).alias("f")).select("k", "y", "f.*").toArrow()
     order = sorted(range(len(got)), key=lambda i: (str(got["k"][i].as_py()), str(got["y"][i].as_py())))
     rows = [(got["ids"][i].values.to_numpy(), got["weights"][i].values.to_numpy()) for i in order]
-    labels = np.array([classes.index(got["y"][i].as_py()) for i in order], np.int64)
+    place = {c: k for k, c in enumerate(classes)}
+    labels = np.array([place[got["y"][i].as_py()] for i in order], np.int64)
     back = int(len(rows) * held_back)
     picked = np.random.default_rng(11).permutation(len(rows))
     late, early = picked[:back], picked[back:]
+    # A label of few rows may be held back altogether; those rows are learned.
+    alone = ~np.isin(labels[late], labels[early])
+    late, early = late[~alone], np.concatenate([early, late[alone]])
     model = train([rows[i] for i in early], labels[early], classes, shape)
     return calibrate(model, [rows[i] for i in late], labels[late])
 

@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax and calibrated rejection.
 
-A text that is null or has no letter gets ``und`` with score 0 and is rejected.  Others get the likeliest learned
-language, its calibrated probability, and ``rejected`` where that is under the level at which held-back rows are
+A text that is null or has no letter gets ``und`` with score 0 and is rejected.  Others get the likeliest
+language of all that are labelled, its calibrated probability, and ``rejected`` where that is under the level at which held-back rows are
 right 99 times in 100.  Without any labelled row everything is ``und``.  Columns of the input are kept; those added
 replace columns of the same name.
 """
@@ -15,7 +15,7 @@ from wareflow.llm import fitting
 from wareflow.llm.subword import Shape, SubwordModel
 
 SHAPE = Shape(lower=True)
-#: Rows of each language that training reads at most, about.
+#: Rows of each language that training reads at most, about; fewer with more than ten languages (fitting.MAX_ROWS).
 SAMPLE_EACH = 600
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"

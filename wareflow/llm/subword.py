@@ -117,7 +117,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     """Stochastic gradient descent on the softmax loss, a row a step; rows are distinct buckets with weights.
 
     A bucket's step is scaled by its row's number of buckets, so that long texts move their vectors as far as
-    short ones.  Classes weigh the same in the loss, whatever their share of the rows.
+    short ones.  Classes weigh the same in the loss, whatever their share of the rows: rows of rare classes are taken
+    several times an epoch rather than with a large step, which at most doubles the steps.
     """
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / shape.dim, 1 / shape.dim, (KINDS * shape.buckets, shape.dim)).astype(np.float32)
@@ -125,9 +126,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     bias = np.zeros(len(classes), np.float32)
     share = np.bincount(labels, minlength=len(classes)) / max(1, len(labels))
     weight = np.where(share > 0, 1 / np.maximum(share * np.count_nonzero(share), 1e-9), 0)
-    steps, done = max(1, epochs * len(rows)), 0
+    times = np.maximum(1, np.rint(weight)).astype(np.int64)
+    weight = weight / times
+    taken = np.repeat(np.arange(len(rows)), times[labels])
+    steps, done = max(1, epochs * len(taken)), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(taken):
             ids, w = rows[i]
             vectors = table[ids]
             hidden = w @ vectors if len(ids) else np.zeros(shape.dim, np.float32)
