@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import small_batches
+from wareflow.llm.shared import saved, small_batches
 from wareflow.llm.subword import Shape, SubwordModel, calibrate, counted, train
 
 #: Rows of all labels together that a sample has at most, about: with more labels each has fewer rows, but one at least.
 MAX_ROWS = 6400
-_STEPS = 1 << 20
+#: Parts in which the rows of a label are ranked first.
+SALTS = 16
 
 
 def bounded(each: int, labels: int) -> int:
@@ -21,22 +22,26 @@ def bounded(each: int, labels: int) -> int:
     return min(each, max(1, MAX_ROWS // max(1, labels)))
 
 
-def rates(labelled: DataFrame, label: str, each: int) -> dict:
-    """By label, the share of its rows that brings about ``each`` of them, or fewer where there are many labels."""
-    counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()
-    each = bounded(each, len(counts))
-    return {r[label]: min(1.0, each / r["count"]) for r in counts}
-
+def sampled(labelled: DataFrame, label: str, columns: list[str], each: int) -> tuple[DataFrame, dict]:
+    """At most ``each`` rows of a label, told apart by ``columns``, and by label the share of its distinct rows they are.
 
-def sampled(labelled: DataFrame, label: str, key: str, share: dict) -> DataFrame:
-    """The rows whose key hashes into their label's share; the same rows each time."""
-    if not share:
-        return labelled.limit(0)
-    place = F.pmod(F.xxhash64(key), F.lit(_STEPS))
-    chosen = F.lit(False)
-    for value, part in share.items():
-        chosen = chosen | ((F.col(label) == F.lit(value)) & (place < F.lit(int(part * _STEPS))))
-    return labelled.where(F.coalesce(chosen, F.lit(False)))
+    The rows are those with the least hashes of ``columns``, label included: the same ones each time.  Repeated rows
+    count once and come once.  Rows without a label are left out; with many labels each has fewer rows.
+    """
+    known = labelled.where(F.col(label).isNotNull()).select(*columns, F.xxhash64(*columns).alias("_hash"))
+    hashes = saved(known.select(F.col(label).alias("_label"), "_hash").distinct())
+    counts = {r["_label"]: r["count"] for r in hashes.groupBy("_label").count().collect()}
+    each = bounded(each, len(counts))
+    # Spark applies larger limits after the shuffle only.
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    labelled.sparkSession.conf.set(name, str(max(each, int(labelled.sparkSession.conf.get(name)))))
+    # A task sees at most ``each`` rows of a label from every task before it: the limit is applied ahead of the shuffle too.
+    for by in (["_label", F.pmod("_hash", F.lit(SALTS))], ["_label"]):
+        hashes = hashes.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash"))).where(F.col("_rank") <= each).drop("_rank")
+    # One number a label.
+    last = hashes.groupBy("_label").agg(F.max("_hash").alias("_last"))
+    rows = known.join(F.broadcast(last), (F.col(label) == F.col("_label")) & (F.col("_hash") <= F.col("_last")))
+    return rows.dropDuplicates([label, "_hash"]).select(*columns), {k: min(1.0, each / n) for k, n in counts.items()}
 
 
 def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape: Shape, held_back: float = 0.2) -> SubwordModel:
@@ -53,7 +58,8 @@ def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat], ["ids", "weights"])
 
     got = sample.select(F.col(key).alias("k"), F.col(label).alias("y"), count(F.col(text)).alias("f")).select("k", "y", "f.*").toArrow()
-    order = sorted(range(len(got)), key=lambda i: (str(got["k"][i].as_py()), str(got["y"][i].as_py())))
+    # Keys may be null or repeated, so the features decide ties.
+    order = sorted(range(len(got)), key=lambda i: (str(got["k"][i].as_py()), str(got["y"][i].as_py()), got["ids"][i].values.to_numpy().tobytes()))
     rows = [(got["ids"][i].values.to_numpy(), got["weights"][i].values.to_numpy()) for i in order]
     place = {c: k for k, c in enumerate(classes)}
     labels = np.array([place[got["y"][i].as_py()] for i in order], np.int64)

@@ -15,18 +15,18 @@ from wareflow.llm import fitting
 from wareflow.llm.subword import Shape, SubwordModel
 
 SHAPE = Shape(lower=True)
-#: Rows of each language that training reads at most, about; fewer with more than ten languages (fitting.MAX_ROWS).
+#: Rows of each language that training reads at most; fewer with more than ten languages (fitting.MAX_ROWS).
 SAMPLE_EACH = 600
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
 
 def fit(docs: DataFrame, each: int = SAMPLE_EACH, key: str = "doc_id", text: str = "text", label: str = "lang") -> SubwordModel | None:
-    """A model of the labels of ``docs`` from about ``each`` rows of a label at most; None without any."""
-    share = fitting.rates(docs.select(label), label, each)
+    """A model of the labels of ``docs`` from ``each`` rows of a label at most; None without any."""
+    sample, share = fitting.sampled(docs, label, [key, text, label], each)
     if not share:
         return None
-    return fitting.fit(fitting.sampled(docs.select(key, text, label), label, key, share), text, label, key, sorted(share), SHAPE)
+    return fitting.fit(sample, text, label, key, sorted(share), SHAPE)
 
 
 def identify(docs: DataFrame, model: SubwordModel | None, text: str = "text") -> DataFrame:

@@ -11,25 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm import fitting
+from wareflow.llm.shared import saved
 from wareflow.llm.subword import Shape, SubwordModel
 
 #: Case tells shouting from prose, so it stays.
 SHAPE = Shape(lower=False)
-#: Labelled rows of each label that training reads at most, about.
+#: Labelled rows of each label that training reads at most.
 SAMPLE_EACH = 1200
 THRESHOLD = 0.3
 FOLDS = 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, key: str = "doc_id", text: str = "text", label: str = "quality") -> SubwordModel | None:
-    """A model of ``label`` (0 or 1) from about ``each`` rows of either label at most; None without labelled rows."""
+    """A model of ``label`` (0 or 1) from ``each`` rows of either label at most; None without labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
-    share = fitting.rates(known, label, each)
+    ids, share = fitting.sampled(known, label, [key, label], each)
     if not share:
         return None
-    sample = fitting.sampled(known, label, key, share)
-    # About 2 * each ids: small by the sample's bound, so the texts stay where they are.
-    rows = docs.select(key, text).join(F.broadcast(sample), key)
+    # At most 2 * each ids, so the texts stay where they are; an id may have many rows, which are sampled again.
+    rows = saved(docs.select(key, text).join(F.broadcast(ids), key))
+    rows, _ = fitting.sampled(rows, label, [key, text, label], each)
     model = fitting.fit(rows, text, label, key, [0, 1], SHAPE)
     # The sample has the labels about evenly; the bias is moved to their shares among all labelled rows.
     for k in (0, 1):
