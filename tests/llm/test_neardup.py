@@ -73,7 +73,7 @@ def test_odd_texts(spark):
 
 
 def test_bands_and_signatures():
-    assert neardup.bands_for(0.85) == 19 and neardup.bands_for(0.8) == 27
+    assert neardup.bands_for(0.85) == 24 and neardup.bands_for(0.8) == 35
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 4000).astype(np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64)
     one, two = neardup.circulant(a, 2000), neardup.circulant(np.concatenate([a[:3000], b]), 2000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import saved
+from wareflow.llm.shared import salted_join, saved
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -15,28 +15,28 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return salted_join(near.where("v > u"), least, ["u"], ["v"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Edges come with v < u.
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_join(edges, least, ["u"], ["v"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every id with an edge to another.
 
-    Alternates large-star and small-star steps until each id points to the smallest of its component.  Both group
-    by an id with a minimum, which Spark sums up before the shuffle, so an id with a third of all edges is no
-    harder than others.  Each step is written to the shared folder.
+    Alternates large-star and small-star steps until each id points to the smallest of its component.  Both take a
+    minimum by id, which Spark sums up before the shuffle, and hand it to the id's edges by a salted join, so an id
+    with a third of all edges is no harder than others.  Each step is written to the shared folder.
     """
     now = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
     while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (mark.n, mark.s) == seen:
+        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
+        if not mark.n or (mark.n, mark.s) == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
         seen = (mark.n, mark.s)
         now = saved(_small_star(_large_star(now)))

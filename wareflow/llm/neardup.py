@@ -1,23 +1,28 @@
 """Near-duplicate groups by circulant MinHash, banding and exact Jaccard verification.
 
-A text is the set of its word shingles.  Texts with equal sets form a class, stood for by its smallest id; only
-classes are compared.  One permutation places the shingles, a second one, shifted by k places, gives signature
-coordinate k as its least value over them.  Coordinates in bands of ``ROWS`` send classes with a like band to the
-same bucket; the number of bands follows from the threshold, so that a pair right at it is missed with a
-probability of one in a million at most, and likelier pairs far less often.
+A text is the set of its word shingles.  Texts with equal sets form a class, a node of the graph; only nodes are
+compared.  One permutation places the shingles, a second one, shifted by k places, gives signature coordinate k as
+its least value over them.  Coordinates in bands of ``ROWS`` send nodes with a like band to the same bucket; the
+number of bands follows from the threshold, so that a pair right at it is missed with a probability of one in a
+million at most, and likelier pairs far less often.
 
-Links are confirmed on the full sets, and every pair in a bucket is settled without listing all pairs:
+Every pair in a bucket is settled without listing all pairs:
 
 1. Each bucket's members are compared with its most central member, the one with the most companions over all
    bands.
-2. Where a bucket's members are then not all connected, those outside its largest component are compared with
-   the rest of the bucket.  In buckets of more than ``SMALL`` members, those are left out that have too many
-   shingles to themselves to link with any member, and the others are compared in blocks, of which only the
-   links come out.
+2. Where a bucket's members are then not all connected, those outside its largest component are compared with the
+   members of other components, in blocks of sketches.  Of each such member and component the likeliest pair is
+   verified first; the others only if the two are still apart.
+
+A sketch is a bitmap of a set's hashes, 4 to 8 bits a shingle.  A bit that one sketch has and another lacks is a
+shingle that the other set lacks, so sketches refute pairs for certain and lose no link.  Pairs that they leave are
+verified on the full sets of the whole texts.  No step joins a bucket or a hub in one task: keys with many rows
+are split by salts.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing, not with each other;
 with fewer words than a shingle the whole sequence is one shingle.  Rows that are repeated, or equal but for the
-id, are one class.  Ids should be whole numbers and not null; rows without an id are left out.
+id, are one node.  Ids are whole numbers; rows without an id are linked as well, and a group of them alone has no
+component id.  Rows of one id with different texts are different rows.
 """
 
 from __future__ import annotations
@@ -32,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import connected
-from wareflow.llm.shared import saved, small_batches
+from wareflow.llm.shared import salted_join, saved, small_batches, tidy
 from wareflow.llm.words import mix, shingles, word_hashes
 
-ROWS = 4
+ROWS = 5
 MISSED = 1e-6
-#: Buckets up to this size are settled pair by pair, larger ones in blocks of about ``BLOCK`` sets.
-SMALL, BLOCK = 32, 512
-#: Pairs of one central member that go to one task.
-PER_SALT = 256
+#: Sketches of one side that a task compares at once, about.
+BLOCK = 1024
+#: Buckets with more than this part of all members are split; so there are fewer of them than that.
+HOT = 2000
 
 
 def bands_for(threshold: float, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -75,12 +80,12 @@ def text_set(text: str | None, size: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int, bands: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: id, n (set size), the class of its set (class_a, class_b) and its bucket keys."""
+    """A row a document: id, t (a hash of its text), n (set size), the class of its set (class_a, class_b) and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, classes, keys = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 found = text_set(t.as_py(), size)
                 n.append(len(found))
                 classes.append((mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
@@ -88,138 +93,211 @@ def signed(docs: DataFrame, size: int, bands: int, key: str = "doc_id", text: st
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             pair = np.array(classes, np.uint64).reshape(-1, 2).view(np.int64)
             flat = (np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class_a", "class_b", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n", "class_a", "class_b", "bands"])
 
-    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return named.mapInArrow(run, "id long, n long, class_a long, class_b long, bands array<long>")
+    return _named(docs, key, text).mapInArrow(run, "id long, t long, n long, class_a long, class_b long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """The full sets of the given ids."""
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
-    @F.arrow_udf("array<long>")
-    def full(texts: pa.Array) -> pa.Array:
-        found = [text_set(t.as_py(), size) for t in texts]
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        flat = (np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.select("id"), "id", "left_semi")
-    return wanted.select("id", full("text").alias("full"))
+def sketch(found: np.ndarray) -> bytes:
+    """The bitmap of a set: a power of two of bits, at least four a shingle."""
+    bits = 1 << max(8, (4 * len(found) - 1).bit_length())
+    marks = np.zeros(bits, np.uint8)
+    marks[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets' Jaccard is at least percent / 100.
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap, or a matrix of them, made as short as ``words`` 64-bit words."""
+    return bitmap if bitmap.shape[-1] == words else np.bitwise_or.reduce(bitmap.reshape(*bitmap.shape[:-1], -1, words), axis=-2)
 
-    An ``a`` may have many pairs: its set goes out once for each of its salts, and a salt has a part of them.
-    """
-    of_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b")
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    of_a = spread.join(sets.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
-    of_a = of_a.select("a", "full_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts")
-    salted = of_b.join(spread, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
-    both = salted.drop("salts").join(of_a.drop("salts"), ["a", "salt"])
-    shared = F.size(F.array_intersect("full_a", "full_b"))
-    return both.where(100 * shared >= percent * (F.size("full_a") + F.size("full_b") - shared)).select("a", "b")
-
-
-def _alone(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of crowded buckets that can link with no other: of n shingles, a text that links can lack only
-    k - 1, and they have k that no other member has."""
-    ids = crowded.groupBy("id").agg(F.first("n").alias("n"))
-    least = crowded.groupBy("key").agg(F.min("n").alias("m"))
-    least = crowded.join(least, "key").groupBy("id").agg(F.min("m").alias("m"))
-    smallest = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100))
-    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
-    may_lack = ids.join(least, "id").select("id", (F.col("n") - needed + 1).alias("k"))
-    placed = sets.join(ids.select("id"), "id", "left_semi").select("id", F.explode("full").alias("shingle"))
-    own = placed.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1").groupBy("id").agg(F.count("*").alias("own"))
-    return own.join(may_lack, "id").where("own >= k").select("id")
-
-
-def _links_in_blocks(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between ``asking`` and ``members`` (key, id) of the same bucket.
-
-    Both are dealt out in blocks of at most about ``BLOCK`` sets; a task holds a block of either and gives the
-    links alone, counting shared shingles by an inverted index of the members' block.
+
+def _gaps(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For a sketch against others of one length: bits in which they differ, -1 where the pair cannot reach the threshold."""
+    words = min(one.shape[-1], many.shape[-1])
+    one, many = _folded(one, words), _folded(many, words)
+    shared = -(-percent * (n + sizes) // (100 + percent))
+    mine, theirs = np.bitwise_count(one & ~many).sum(axis=1, dtype=np.int64), np.bitwise_count(many & ~one).sum(axis=1, dtype=np.int64)
+    return np.where((mine <= n - shared) & (theirs <= sizes - shared), mine + theirs, -1)
+
+
+def _held(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """Of each node (node, id, t, n): its text and the sketch of its set."""
+
+    @F.arrow_udf("binary")
+    def sketched(texts: pa.Array) -> pa.Array:
+        return pa.array([sketch(text_set(t.as_py(), size)) for t in texts], pa.binary())
+
+    # Ids may be null, and their rows many, so the text's hash is a part of the key.
+    place = [F.coalesce("id", F.lit(0)).alias("id"), "t"]
+    wanted = _named(docs, key, text).select(*place, "text").join(nodes.select("node", "n", *place), ["id", "t"])
+    one = wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    return one.select("node", "n", "text", sketched("text").alias("bits"))
+
+
+def _beside(pairs: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of both nodes; a node may be in any number of pairs."""
+    for side, other in (("a", "b"), ("b", "a")):
+        named = held.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = salted_join(pairs, named, [side], [other])
+    return pairs
+
+
+def _possible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches do not refute."""
+
+    @F.arrow_udf("boolean")
+    def possible(bits_a: pa.Array, n_a: pa.Array, bits_b: pa.Array, n_b: pa.Array) -> pa.Array:
+        found = []
+        for a, n, b, m in zip(bits_a, n_a.to_pylist(), bits_b, n_b.to_pylist(), strict=True):
+            one, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+            found.append(_gaps(one, n, other[None, :], np.array([m]), percent)[0] >= 0)
+        return pa.array(found, pa.bool_())
+
+    sized = _beside(pairs, held, ["n", "bits"]).where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.where(possible("bits_a", "n_a", "bits_b", "n_b")).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets' Jaccard is at least percent / 100."""
+
+    @F.arrow_udf("boolean")
+    def alike(texts_a: pa.Array, texts_b: pa.Array) -> pa.Array:
+        found, known, one = [], None, None
+        for a, b in zip(texts_a, texts_b, strict=True):
+            a = a.as_py()
+            if a != known:
+                known, one = a, text_set(a, size)
+            other = text_set(b.as_py(), size)
+            shared = len(np.intersect1d(one, other, assume_unique=True))
+            found.append(100 * shared >= percent * (len(one) + len(other) - shared))
+        return pa.array(found, pa.bool_())
+
+    return _beside(pairs, held, ["text"]).where(alike("text_a", "text_b")).select("a", "b")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """Members (key, size, node) of the buckets with two or more; of buckets with the same members there is one."""
+    placed = classes.select("node", F.explode("bands").alias("key"))
+    sizes = saved(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    # Fewer than HOT keys have more than total / HOT members each.
+    part = max(1, total // HOT)
+    hot = sizes.where(F.col("size") > part).select("key", F.ceil(F.col("size") / part).cast("int").alias("salts"))
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    left = salted(placed).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
+    right = salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    members = saved(left.join(right, ["key", "salt"]).select("key", "size", "node"))
+    marks = members.groupBy("key", "size").agg(*[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)])
+    first = marks.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
+    return saved(salted_join(members, first, ["key"], ["node"]))
+
+
+def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, component, main, size, odd) of buckets that lie in several components.
+
+    ``main`` is the bucket's largest component and ``odd`` the number of members outside it.
     """
+    labelled = buckets.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = labelled.groupBy("key", "size", "component").agg(F.count("*").alias("here"))
+    most = F.max_by(F.struct("component", "here"), F.struct("here", -F.col("component"))).alias("most")
+    mains = counts.groupBy("key", "size").agg(most).where("most.here < size")
+    mains = mains.select("key", F.col("most.component").alias("main"), (F.col("size") - F.col("most.here")).alias("odd"))
+    return saved(salted_join(labelled, mains, ["key"], ["node"]))
 
-    def dealt(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
 
-    numbers = dealt(asking, "a").join(dealt(members, "b"), "key")
+def _near(apart: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, of_b: b's component, gap) of a bucket's odd members and its members of other components that sketches do not refute."""
+    grid = ["key", "a_block", "b_block"]
 
     def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
-        placed = rows.join(numbers, "key").select("key", "id", F.pmod(F.xxhash64("id"), f"{own}_blocks").cast("int").alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"))
-        found = placed.join(sets, "id")
+        blocks = {"a": F.ceil(F.col("odd") / BLOCK).cast("int"), "b": F.ceil(F.col("size") / BLOCK).cast("int")}
+        dealt = rows.select("key", "node", "component", F.pmod(F.xxhash64("node"), blocks[own]).cast("int").alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(f"{other}_block"))
+        found = dealt.join(held.select("node", "n", "bits"), "node")
         return found.toDF(*found.columns)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            ids = right["id"].to_numpy()
-            sizes = np.array([len(x) for x in right["full"]])
-            tokens, owner = np.concatenate(list(right["full"])), np.repeat(np.arange(len(ids)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            for a, full in zip(left["id"].to_numpy(), left["full"], strict=True):
-                low, high = np.searchsorted(tokens, full, "left"), np.searchsorted(tokens, full, "right")
-                count = high - low
-                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-                shared = np.bincount(owner[at], minlength=len(ids))
-                fits = 100 * shared >= percent * (len(full) + sizes - shared)
-                found += [(a, b) for b in ids[fits].tolist() if b != a]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    grid = ["key", "a_block", "b_block"]
-    left, right = spread(asking, "a", "b").groupBy(*grid), spread(members, "b", "a").groupBy(*grid)
-    return left.cogroup(right).applyInPandas(compare, "a long, b long")
-
+        found: list[tuple[int, int, int, int]] = []
+        for length, rows in right.groupby(right["bits"].str.len()):
+            many = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, length // 8)
+            nodes, sizes, of = (rows[c].to_numpy() for c in ("node", "n", "component"))
+            for a, own, n, bits in zip(left["node"], left["component"], left["n"], left["bits"], strict=True):
+                fits = np.flatnonzero((of != own) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)))
+                if len(fits):
+                    gaps = _gaps(np.frombuffer(bits, np.uint64), n, many[fits], sizes[fits], percent)
+                    found += [(a, nodes[k], of[k], g) for k, g in zip(fits[gaps >= 0], gaps[gaps >= 0], strict=True)]
+        return pd.DataFrame(found, columns=["a", "b", "of_b", "gap"], dtype="int64")
+
+    left, right = spread(apart.where("component != main"), "a", "b").groupBy(*grid), spread(apart, "b", "a").groupBy(*grid)
+    pairs = left.cogroup(right).applyInPandas(compare, "a long, b long, of_b long, gap long")
+    return pairs.groupBy("a", "b").agg(F.first("of_b").alias("of_b"), F.min("gap").alias("gap"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links; nodes that they leave out are components of their own."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = saved(labels.union(nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    edges = links.select("a", "b")
+    for side, other in (("a", "b"), ("b", "a")):
+        edges = salted_join(edges, known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], [other])
+    merged = connected(edges.select("of_a", "of_b").distinct(), "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return saved(salted_join(known, merged, ["component"], ["node"], "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
+def labelled(docs: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """``node`` and ``component`` of the nodes that link with another."""
+    buckets = _buckets(classes)
+    central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
+    pivots = buckets.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
+    stars = salted_join(buckets, pivots, ["key"], ["node"]).where("node != a").select("a", F.col("node").alias("b"))
+    stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    held = saved(_held(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), size, key, text))
+    links = saved(_confirmed(saved(_possible(stars, held, percent)), held, size, percent))
+    labels = saved(connected(links).withColumnRenamed("id", "node"))
+
+    near = saved(_near(_apart(buckets, labels), held, percent))
+    likeliest = saved(near.groupBy("a", "of_b").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b"))
+    labels = _relabelled(labels, saved(_confirmed(likeliest, held, size, percent)))
+    rest = near.select("a", "b").join(likeliest, ["a", "b"], "left_anti")
+    for side, other in (("a", "b"), ("b", "a")):
+        rest = salted_join(rest, labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], [other], "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _relabelled(labels, saved(_confirmed(saved(rest), held, size, percent)))
+
+
+@tidy
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row a document of ``docs``: id, t (a hash of its text), n_shingles, component_id (the smallest id of its group) and kept.
 
-def linked(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The classes of ``docs`` (id, n, class_a, class_b of every row) and confirmed links (a, b) between them."""
+    ``kept`` marks rows whose id is the component's; ``chosen`` those that also have the text with the least hash
+    among the group's rows of that id.  Rows without words are groups of their own.
+    """
     small_batches(docs.sparkSession)
     signs = saved(signed(docs, size, bands_for(percent / 100), key, text))
-    classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("least")).select("least.*")
-    placed = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(placed.join(shared, "key"))
-    central = members.groupBy("id").agg(F.sum("size").alias("central"))
-    pivots = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("p"))
-    pivots = pivots.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"))
-    could = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-    stars = saved(members.join(pivots, "key").where(could & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b")).distinct())
-    sets = saved(_sets(docs, members.select("id").distinct(), size, key, text))
-    links = saved(_confirmed(stars, sets, percent))
-
-    group = connected(links)
-    labelled = members.where("size > 2").join(group, "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-    apart = labelled.groupBy("key", "component").agg(F.count("*").alias("here"))
-    apart = apart.groupBy("key").agg(F.max_by("component", F.struct("here", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    left = saved(labelled.join(apart, "key"))
-    crowded, small = left.where(F.col("size") > SMALL), left.where(F.col("size") <= SMALL)
-    odd = small.where("component != main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    near = small.join(odd, "key").where(could & (F.col("component") != F.col("of_a"))).select("a", F.col("id").alias("b"))
-    more = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    alone = saved(_alone(crowded, sets, percent))
-    able = crowded.join(alone, "id", "left_anti")
-    rest = saved(_links_in_blocks(able.where("component != main").select("key", "id"), able.select("key", "id"), sets, percent))
-    return signs.select("id", "n", "class_a", "class_b"), links.union(saved(_confirmed(more, sets, percent))).union(rest)
-
-
-def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document of ``docs``: id, n_shingles, component_id (the smallest id of its group) and kept."""
-    rows, links = linked(docs, size, percent, key, text)
-    component = connected(links)
-    classes = rows.where("n > 0").groupBy("class_a", "class_b").agg(F.min("id").alias("first"))
-    named = saved(classes.join(component, classes["first"] == component["id"], "left").select("class_a", "class_b", F.coalesce("component", "first").alias("component")))
-    found = rows.join(named, ["class_a", "class_b"], "left")
-    component_id = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return found.select("id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), (component_id == F.col("id")).alias("kept"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "t")
+    classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "t", "n", "bands"), order).alias("least"))
+    classes = saved(classes.select("class_a", "class_b", "least.*", F.monotonically_increasing_id().alias("node")))
+    labels = labelled(docs, classes, size, percent, key, text)
+
+    linked = saved(labels.join(classes.select("node", "id", "t", "class_a", "class_b"), "node"))
+    firsts = linked.groupBy("component").agg(F.min_by(F.struct("id", "t"), order).alias("first"))
+    of_group = salted_join(linked, firsts, ["component"], ["node"]).select("class_a", "class_b", "first")
+    alone = classes.join(labels.select("node"), "node", "left_anti").select("class_a", "class_b", F.struct("id", "t").alias("first"))
+    rows = signs.select("id", "t", "n", "class_a", "class_b")
+    found = salted_join(rows.where("n > 0"), of_group.union(alone), ["class_a", "class_b"], ["id", "t"])
+    found = found.union(rows.where("n = 0").select("class_a", "class_b", "id", "t", "n", F.struct("id", "t").alias("first")).select(*found.columns))
+    kept = F.col("id").eqNullSafe(F.col("first.id"))
+    return found.select("id", "t", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), kept.alias("kept"), (kept & (F.col("t") == F.col("first.t"))).alias("chosen"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: groups of ``documents`` linked at a Jaccard of 0.85 or more on three-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return groups(docs, size=3, percent=85).withColumnRenamed("id", "doc_id")
+    return groups(docs, size=3, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

@@ -1,20 +1,27 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and joins that split hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Paths of the tables written since the outermost ``tidy`` function began.
+_open: list[list[str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
+    """The session's spark.checkpoint.dir; where it is unset on a local master, as in tests, a temporary folder."""
     set_up = spark.conf.get("spark.checkpoint.dir", None)
     if set_up:
         return set_up.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _own.setdefault("", tempfile.mkdtemp(prefix="wareflow-"))
 
 
@@ -23,9 +30,53 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``saved``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def tidy(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that return a DataFrame: it is written, and the tables that ``work`` wrote before go."""
+
+    @wraps(work)
+    def run(*args, **kwargs) -> DataFrame:
+        _open.append([])
+        try:
+            found = work(*args, **kwargs)
+            result = saved(found)
+            *spent, last = _open[-1]
+        except BaseException:
+            _open.pop()
+            raise
+        _open.pop()
+        removed(result.sparkSession, spent)
+        if _open:
+            _open[-1].append(last)
+        return result
+
+    return run
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key.
+
+    However many rows a key has, they are dealt over the tasks by a hash of ``by``: the keys first get their
+    row of the table once for each salt that occurs, and the rows then join on key and salt.
+    """
+    salts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    here = salted.select(*on, "_salt").distinct().join(table, on)
+    return salted.join(here, [*on, "_salt"], how).drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's rows an Arrow batch to ``rows``: whole texts are long, and a worker holds a batch and its results."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
