@@ -73,8 +73,8 @@ def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape
     return calibrate(model, [rows[i] for i in late], labels[late])
 
 
-def scored(docs: DataFrame, text: str, model: SubwordModel, column: str) -> DataFrame:
-    """``docs`` with the class probabilities of each whole text in ``column`` (array of double).
+def scored(docs: DataFrame, text: str, model: SubwordModel) -> DataFrame:
+    """``row``, each row of ``docs`` as a struct, and ``p``, the class probabilities of its whole text (array of double).
 
     The model that is broadcast has a fixed size: its shape's buckets and dimensions.
     """
@@ -85,7 +85,14 @@ def scored(docs: DataFrame, text: str, model: SubwordModel, column: str) -> Data
     def probabilities(texts: pd.Series) -> pd.Series:
         return pd.Series(list(sent.value.probabilities(texts)))
 
-    return docs.withColumn(column, probabilities(F.col(text)))
+    return docs.select(F.struct("*").alias("row"), probabilities(F.col(text)).alias("p"))
+
+
+def unpacked(found: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The struct column ``row`` as columns, and ``added``, which replace columns of the same name."""
+    names = {name.lower() for name in added}
+    kept = [F.col("row")[c].alias(c) for c in columns if c.lower() not in names]
+    return found.select(*kept, *[value.alias(name) for name, value in added.items()])
 
 
 def remainder(key: str, of: int) -> Column:

@@ -31,18 +31,19 @@ def fit(docs: DataFrame, each: int = SAMPLE_EACH, key: str = "doc_id", text: str
 
 def identify(docs: DataFrame, model: SubwordModel | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    found = fitting.scored(docs, text, model, "_p").withColumn("_best", F.array_max("_p"))
-    names = F.array(*[F.lit(c) for c in model.classes])
-    return found.withColumns(
-        {
-            "lang_pred": F.when(letters, F.element_at(names, F.array_position("_p", F.col("_best")).cast("int"))).otherwise(UNKNOWN),
-            "score": F.when(letters, F.col("_best")).otherwise(0.0),
-            "rejected": ~letters | (F.col("_best") < model.reject_below),
-        }
-    ).drop("_p", "_best")
+        found = docs.select(F.struct("*").alias("row"))
+        return fitting.unpacked(found, docs.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0), rejected=F.lit(True))
+    found = fitting.scored(docs, text, model)
+    letters = F.coalesce(F.col("row")[text].rlike(r"\p{L}"), F.lit(False))
+    names, best = F.array(*[F.lit(c) for c in model.classes]), F.array_max("p")
+    return fitting.unpacked(
+        found,
+        docs.columns,
+        lang_pred=F.when(letters, F.element_at(names, F.array_position("p", best).cast("int"))).otherwise(UNKNOWN),
+        score=F.when(letters, best).otherwise(0.0),
+        rejected=~letters | (best < model.reject_below),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,10 @@ def _log_ratio(part: float, most: float) -> float:
 def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold)."""
     if model is None:
-        found = docs.withColumn("score", F.lit(1.0))
+        found, likely = docs.select(F.struct("*").alias("row")), F.lit(1.0)
     else:
-        found = fitting.scored(docs, text, model, "_p").withColumn("score", F.col("_p")[1]).drop("_p")
-    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        found, likely = fitting.scored(docs, text, model), F.col("p")[1]
+    return fitting.unpacked(found, docs.columns, score=likely, predicted=(likely >= threshold).cast("int"))
 
 
 def learned_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
