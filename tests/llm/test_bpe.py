@@ -48,6 +48,30 @@ def test_the_automaton_has_one_path_a_string():
             assert machine.encode(word) == ids
 
 
+def test_one_look_up_a_byte_and_no_step_back():
+    machine = bpe.ByteBpe(bpe.read_spec(PATH)).machine
+    asked = []
+
+    class Counted(dict):
+        def get(self, key):
+            asked.append(key & 255)
+            return super().get(key)
+
+    machine.table = Counted()
+    for word in (b" tokenization", b"unhappinesses", b"zzzzzzzzzz", "\u65e5\u672c\u8a9e".encode(), b"xyxyqqqqthethe", b" tokenization"):
+        asked.clear()
+        assert machine.encode(word) == theirs(word.decode())
+        assert bytes(asked) == word
+
+
+def test_a_full_table_starts_anew(monkeypatch):
+    machine = bpe.ByteBpe(bpe.read_spec(PATH)).machine
+    monkeypatch.setattr(bpe, "MOST_ARCS", 20)
+    for word in ("alpha beta gamma delta epsilon unhappinesses " * 3).split():
+        assert machine.encode(word.encode()) == theirs(word)
+        assert len(machine.table) <= 20 + len(word)
+
+
 def test_forgetting_changes_nothing():
     small = bpe.ByteBpe(bpe.read_spec(PATH), kept=4)
     text = "one two three four five six seven, one two! three? four's"

@@ -4,11 +4,16 @@ The automaton reads token labels.  It starts as one state that loops on the 256
 gadget a merge, in rank order: the merge ``u v -> w`` takes the ``v`` arc away from the state reached by ``u``
 (a copy, so that other labels that share the state keep theirs) and adds a ``w`` arc wherever a ``u`` arc is,
 leading where ``v`` led.  After the last merge, the label sequences it accepts are exactly the BPE
-tokenizations, and each byte string has one.  Encoding runs the automaton over a pre-split word and keeps the
-one label by which each byte position is reached; decoding emits the bytes of the labels.
+tokenizations, and each byte string has one.
 
-States hold only what a copy took away, with the step at which it did; a ``w`` arc exists where the ``u`` arc
-existed at that step.  Looked-up transitions are kept in a table, so each is worked out once a worker.
+For encoding it is turned into a table over bytes: a table state is the set of (automaton state, bytes read of a
+label's spelling) that a prefix can be in, and a transition goes from state and byte to a state and the one label
+by which the prefix can end.  Encoding looks up one transition a byte, never going back, and then reads the
+labels off from the last one.  The table's states are made as texts first reach them, since all of them are far
+more than texts need; a full table starts anew.  Decoding emits the bytes of the labels.
+
+Automaton states hold only what a copy took away, with the step at which it did; a ``w`` arc exists where the
+``u`` arc existed at that step.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; texts of any length are read
 whole; strings of added tokens in a text become those tokens.  Columns of the input are kept; an output column
@@ -38,9 +43,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _MARKS = string.punctuation
 
 #: Chunks whose ids a worker remembers: about 250 bytes each.
-KEPT = 1_000_000
-#: Transitions that a worker's table holds before it starts anew.
-MOST_ARCS = 500_000
+KEPT = 600_000
+#: Transitions that a worker's table holds before it starts anew: about 300 bytes each, states included.
+MOST_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,10 +84,11 @@ class MergeAutomaton:
             self.leads_to[w] = target if target != state else self._without_last(state, step)
             sharing[self.leads_to[w]] = sharing.get(self.leads_to[w], 0) + 1
             self.left[w] = (u, step)
-        self.arcs: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
         self.histories: dict[int, list] = {}
         self.left_parts: dict[int, list] = {}
         self._spell()
+        self._start()
 
     def _without_last(self, state: int, step: int) -> int:
         """A state like ``state`` as it was before ``step``."""
@@ -92,24 +98,31 @@ class MergeAutomaton:
         return len(self.lost) - 1
 
     def _spell(self) -> None:
-        """What a label spells, and the longest label by the first four and six bytes."""
-        self.label_of = {self.labels[t]: t for t in self.leads_to}
-        self.by_four: dict[bytes, int] = {}
-        self.by_six: dict[bytes, int] = {}
-        for b in self.label_of:
-            if len(b) > 3:
-                self.by_four[b[:4]] = max(len(b), self.by_four.get(b[:4], 0))
-            if len(b) > 5:
-                self.by_six[b[:6]] = max(len(b), self.by_six.get(b[:6], 0))
+        """A tree of the labels' spellings: the node by (node, byte), and the label of each node, if there is one."""
+        self.child: dict[int, int] = {}
+        self.label_at: list[int] = [-1]
+        self.size_of = {t: len(self.labels[t]) for t in self.leads_to}
+        for t in self.leads_to:
+            node = 0
+            for b in self.labels[t]:
+                node = self.child.setdefault(node << 8 | b, len(self.label_at))
+                if node == len(self.label_at):
+                    self.label_at.append(-1)
+            self.label_at[node] = t
+
+    def _start(self) -> None:
+        """An empty table: its first state stands before any byte."""
+        self.number, self.members = {((0, 0),): 0}, [((0, 0),)]
+        self.table: dict[int, tuple[int, int]] = {}
 
     def has_arc(self, state: int, label: int) -> bool:
-        """Whether ``state`` has an arc of ``label``; kept in the transition table."""
+        """Whether ``state`` has an arc of ``label``."""
         key = state << 32 | label
-        known = self.arcs.get(key)
+        known = self.known.get(key)
         if known is None:
-            if len(self.arcs) >= MOST_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._work_out(state, label)
+            if len(self.known) >= MOST_ARCS:
+                self.known.clear()
+            known = self.known[key] = self._work_out(state, label)
         return known
 
     def _work_out(self, state: int, label: int) -> bool:
@@ -147,44 +160,38 @@ class MergeAutomaton:
             self.left_parts[label] = found
         return found
 
-    def encode(self, word: bytes) -> list[int]:
-        """The labels of the one accepted path over ``word``.
+    def _transition(self, at: int, byte: int) -> tuple[int, int]:
+        """From table state ``at`` on ``byte``: the next table state, and the label by which a path can end there."""
+        going, ended = [], -1
+        for state, node in self.members[at]:
+            node = self.child.get(node << 8 | byte)
+            if node is not None:
+                going.append((state, node))
+                label = self.label_at[node]
+                if label >= 0 and (not state or self.has_arc(state, label)):
+                    ended = label
+        going.append((self.leads_to[ended], 0))
+        members = tuple(sorted(going))
+        number = self.number.setdefault(members, len(self.members))
+        if number == len(self.members):
+            self.members.append(members)
+        found = self.table[at << 8 | byte] = number, ended
+        return found
 
-        The longest arc is followed first.  A byte position from which no arc leads on is never entered again, so
-        the walk is linear in the word.
-        """
-        label_of, by_four, by_six, leads_to, arcs = self.label_of.get, self.by_four.get, self.by_six.get, self.leads_to, self.arcs.get
-        whole = label_of(word)
-        if whole is not None:
-            return [whole]
-        n, at, path, state, closed = len(word), 0, [], 0, None
-        size = -1
-        while at < n:
-            if size < 0:
-                size = by_four(word[at : at + 4], 3)
-                if size > 5:
-                    size = by_six(word[at : at + 6], 5)
-                if size > n - at:
-                    size = n - at
-            while size:
-                label = label_of(word[at : at + size])
-                if label is not None and not (closed and at + size in closed):
-                    if not state:
-                        break
-                    allowed = arcs(state << 32 | label)
-                    if allowed or allowed is None and self.has_arc(state, label):
-                        break
-                size -= 1
-            if size:
-                path.append(label)
-                state, at, size = leads_to[label], at + size, -1
-            else:
-                closed = closed or set()
-                closed.add(at)
-                size = len(self.labels[path.pop()])
-                at -= size
-                state = leads_to[path[-1]] if path else 0
-                size -= 1
+    def encode(self, word: bytes) -> list[int]:
+        """The labels of the one accepted path over ``word``: one transition a byte, then the labels from the last one back."""
+        if len(self.table) >= MOST_ARCS:
+            self._start()
+        look_up, at, ends = self.table.get, 0, []
+        for byte in word:
+            at, label = look_up(at << 8 | byte) or self._transition(at, byte)
+            ends.append(label)
+        path, left, size_of = [], len(ends), self.size_of
+        while left:
+            label = ends[left - 1]
+            path.append(label)
+            left -= size_of[label]
+        path.reverse()
         return path
 
 
