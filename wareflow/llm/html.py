@@ -1,15 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements; elements that are boilerplate by their kind (menus, scripts) are left out with
-all that is in them.  Forms, page headers and elements with a name of boilerplate (a whole word of ``class``, ``id``
-or ``role``, such as "sidebar", not "with-sidebar") are left out too, but not where they hold a ``main``, an
-``article`` that is in no other one, or most of the page's text outside links, nor where no text would remain: what
-is in those is left to the densities.
-For each node, its characters per tag are adjusted for links: the more of its characters and tags are those of
-links, the smaller the logarithm they are multiplied with.  A node's density sum adds up the densities of its
-children.  The node with the largest sum is the content; of what stands beside it, what is at least as dense as
-the thinnest node on the way from it to the body belongs to it too.  Where that node is in an ``article`` or
-``main`` element, the content is all of the outermost such element.
+A page becomes a tree of elements.  Kinds that are never main text (menus, footers, asides, scripts, controls) are
+left out with all that is in them.  For each other node, its characters per tag are adjusted for links: the more of
+its characters and tags are those of links, the smaller the logarithm they are multiplied with.  Forms, page
+headers and elements with a name of boilerplate (a whole word of ``class``, ``id`` or ``role``, such as "sidebar",
+not "with-sidebar") may still hold the text, so for them and what is in them this density only counts by a tenth
+(``DOUBT``), once for each such element around it.
+
+A node's density sum adds up the densities of its children.  The node with the largest sum is the content, and
+the least density on the way from it to the body is the threshold:
+
+- Of what stands beside that way, nodes at least as dense as the threshold belong to the content too; below the
+  body, so do headings, paragraphs, lists and the like that are not links alone.
+- A doubted node in the content that is thinner than the threshold is left out again, unless no text is left.
 
 Text is given block by block, one a line: character references decoded, runs of white space made one space (a
 ``br`` counts as white space), blocks without text left out.  Null, empty and text-free pages give the empty text.
@@ -39,6 +42,10 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that are never main text.
 _OUT = frozenset("nav footer aside script style noscript template textarea select button input iframe svg math object canvas audio video dialog menu head title".split())
+#: Elements that running text is made of.
+_FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre ul ol dl table figure figcaption details summary address b i em strong span a".split())
+#: What the density of an element that looks like boilerplate is multiplied with.
+DOUBT = 0.1
 #: Names of boilerplate, evidence only; a "header" inside an article is kept.
 _OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay"
@@ -52,9 +59,8 @@ class _Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.last = ["#"], [-1], [False], [0]
-        #: Elements that look like boilerplate, and the outermost articles and mains.
-        self.doubted: list[int] = []
-        self.holders: list[int] = []
+        #: Elements that look like boilerplate.
+        self.doubted: set[int] = set()
         #: (node, decoded text), and (node, None) where a block starts or ends.
         self.flow: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -70,13 +76,10 @@ class _Page:
         above = self.stack[-1]
         names = {w.lower() for m in _NAMES.findall(attributes) for part in m for w in part.split()} if attributes else ()
         out = self.out[above] or tag in _OUT
-        if not out and tag in ("article", "main"):
-            if tag == "main" or not self.open.get("article"):
-                self.holders.append(node)
-        elif not out and tag not in ("html", "body"):
+        if not out and tag not in ("html", "body"):
             inside = self.open.get("article") or self.open.get("main")
             if tag == "form" or (names and not _OUT_NAMES.isdisjoint(names)) or ((tag == "header" or "header" in names) and not inside):
-                self.doubted.append(node)
+                self.doubted.add(node)
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(out)
@@ -133,34 +136,76 @@ class _Page:
             self.flow.append((self.stack[-1], source[at:]))
 
 
-def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
-    """Characters per tag, adjusted for links; ``share`` is the body's share of link characters."""
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density of a node: its characters per tag, adjusted for links.
+
+    ``share`` is the body's share of link characters.  The inner logarithm tends to nothing where a page has no
+    links, so it counts as a tenth at least.
+    """
     if not chars:
         return 0.0
     tags, plain = max(1, tags), max(1, chars - link_chars)
-    base = math.log(chars / plain * link_chars + share * chars + math.e)
-    return chars / tags * math.log(max(1.0, chars / max(1, link_chars) * (tags / max(1, link_tags)))) / max(1e-9, math.log(base)) if base > 1 + 1e-9 else chars / tags * math.log(max(1.0, chars * tags))
+    base = math.log(math.log(chars / plain * link_chars + share * chars + math.e))
+    return chars / tags * math.log(max(1.0, chars / max(1, link_chars) * (tags / max(1, link_tags)))) / max(0.1, base)
 
 
-def _leave_out(page: _Page, chars: list[int], link_chars: list[int]) -> None:
-    """Leaves out the doubted elements that are not likely to hold the content, and takes their own text from the counts."""
+def densities(page: _Page, sizes: list[int]) -> list[float]:
+    """The density of each node, given the characters of its own text; 0 for what is left out."""
+    count = len(page.tag)
+    in_link = [False] * count
+    chars, tags, link_chars, link_tags, all_chars, all_links = (x[:] for x in [[0] * count] * 6)
+    for n in range(1, count):
+        in_link[n] = in_link[page.parent[n]] or page.tag[n] == "a"
+    for n in range(count - 1, -1, -1):
+        all_chars[n] += sizes[n]
+        all_links[n] += sizes[n] * in_link[n]
+        if not page.out[n]:
+            chars[n] += sizes[n]
+            link_chars[n] += sizes[n] * in_link[n]
+        if n:
+            above, counts = page.parent[n], not page.out[n]
+            all_chars[above] += all_chars[n]
+            all_links[above] += all_links[n]
+            chars[above] += chars[n]
+            link_chars[above] += link_chars[n]
+            tags[above] += (tags[n] + 1) * counts
+            link_tags[above] += (link_tags[n] + (page.tag[n] == "a")) * counts
+    # Menus have the links of most pages, so they count in the body's share.
+    share = all_links[0] / max(1, all_chars[0])
+    return [0.0 if page.out[n] else density(chars[n], tags[n], link_chars[n], link_tags[n], share) for n in range(count)]
+
+
+def content(page: _Page, dense: list[float], doubt: float = DOUBT) -> list[bool]:
+    """Which nodes the content is made of."""
     count = len(page.tag)
-    plain, holds = [c - k for c, k in zip(chars, link_chars, strict=True)], [False] * count
-    for n in page.holders:
-        holds[n] = True
-    for n in range(count - 1, 0, -1):
-        plain[page.parent[n]] += plain[n]
-        holds[page.parent[n]] |= holds[n]
-    left = {n for n in page.doubted if not holds[n] and 2 * plain[n] <= plain[0]}
-    out = page.out[:]
+    weight = [1.0] * count
+    for n in range(1, count):
+        weight[n] = weight[page.parent[n]] * (doubt if n in page.doubted else 1.0)
+    dense = [d * w for d, w in zip(dense, weight, strict=True)]
+    sums = [0.0] * count
+    for n in range(1, count):
+        sums[page.parent[n]] += dense[n]
+    # The root and the html element only hold the body.
+    may_be = [n for n in range(count) if not page.out[n] and page.tag[n] not in ("#", "html")] or [0]
+    if all(page.tag[n] != "body" for n in may_be):
+        may_be.append(0)
+    best = max(may_be, key=lambda n: (sums[n], dense[n], -n))
+    way = [best]
+    while way[-1] > 0 and page.tag[way[-1]] != "body":
+        way.append(page.parent[way[-1]])
+    on_way, least = set(way), min(dense[n] for n in way)
+    within = [n == best for n in range(count)]
     for n in range(1, count):
-        out[n] = out[n] or out[page.parent[n]] or n in left
-    if not any(c and not o for c, o in zip(chars, out, strict=True)):
-        return
-    page.out = out
-    for n in range(count):
-        if out[n]:
-            chars[n] = link_chars[n] = 0
+        above = page.parent[n]
+        thin = doubt < 1 and n in page.doubted and n not in on_way and dense[n] < least
+        if page.out[n] or n == best or thin:
+            continue
+        flows = page.tag[n] in _FLOW and above != way[-1] and dense[n] > 0
+        within[n] = within[above] or (above in on_way and n not in on_way and (dense[n] >= least > 0 or flows))
+    # Text of the nodes on the way themselves, such as that after an inner element, is not that of a node beside it.
+    for n in way:
+        within[n] = within[n] or page.tag[n] not in ("#", "html", "body")
+    return within
 
 
 def main_text(source: str | None) -> str:
@@ -168,59 +213,24 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    count = len(page.tag)
-    chars, tags, link_chars, link_tags = [0] * count, [0] * count, [0] * count, [0] * count
-    in_link = [False] * count
-    for n in range(1, count):
-        in_link[n] = in_link[page.parent[n]] or page.tag[n] == "a"
-    decoded = []
+    sizes, decoded = [0] * len(page.tag), []
     for node, text in page.flow:
-        if text is not None and not page.out[node]:
+        if text is not None:
             text = html.unescape(text)
-            size = len(" ".join(text.split()))
-            chars[node] += size
-            link_chars[node] += size * in_link[node]
+            sizes[node] += len(" ".join(text.split()))
         decoded.append((node, text))
-    if page.doubted:
-        _leave_out(page, chars, link_chars)
-    for n in range(count - 1, 0, -1):
-        if page.out[n]:
-            continue
-        above = page.parent[n]
-        chars[above] += chars[n]
-        tags[above] += tags[n] + 1
-        link_chars[above] += link_chars[n]
-        link_tags[above] += link_tags[n] + (page.tag[n] == "a")
-    if not chars[0]:
+    if not any(n and not o for n, o in zip(sizes, page.out, strict=True)):
         return ""
-    share = link_chars[0] / chars[0]
-    density = [0.0 if page.out[n] else _density(chars[n], tags[n], link_chars[n], link_tags[n], share) for n in range(count)]
-    sums = [0.0] * count
-    for n in range(1, count):
-        sums[page.parent[n]] += density[n]
-    best = max((n for n in range(count) if not page.out[n]), key=lambda n: (sums[n], -n))
-    path = [best]
-    while path[-1] > 0 and page.tag[path[-1]] != "body":
-        path.append(page.parent[path[-1]])
-    holders = [n for n in path if page.tag[n] in ("article", "main")]
-    within = [False] * count
-    if holders:
-        within[holders[-1]] = True
-        for n in range(holders[-1] + 1, count):
-            within[n] = within[page.parent[n]]
-    else:
-        least = min(density[n] for n in path)
-        on_path = set(path)
-        within[best] = True
-        for n in range(1, count):
-            above = page.parent[n]
-            within[n] = n == best or within[above] or (above in on_path and n not in on_path and density[n] >= least > 0)
+    dense = densities(page, sizes)
+    within = content(page, dense)
+    if not any(n and w for n, w in zip(sizes, within, strict=True)):
+        within = content(page, dense, doubt=1.0)
     blocks, line = [], []
     for node, text in decoded:
         if text is None:
             blocks.append(line)
             line = []
-        elif within[node] and not page.out[node]:
+        elif within[node]:
             line.append(text)
     blocks.append(line)
     lines = (" ".join("".join(b).split()) for b in blocks if b)
