@@ -22,16 +22,39 @@ def test_price_tiers_and_their_borders(spark):
     assert {r.id: r.twd for r in items.convert_price_by_table(rows, table, "price", "0.5", "twd").collect()} == got
 
 
+def test_many_tiers_and_clashing_names(spark):
+    tiers = spark.range(1500).selectExpr("cast(id as decimal(18,4)) lo", "cast(id + 1 as decimal(18,4)) hi", "cast(id % 7 + 1 as decimal(9,4)) mult")
+    rows = spark.range(1500).selectExpr("id", "cast(id + 0.5 as decimal(18,4)) price", "'x' lo", "'y' mult", "1 bucket")
+    got = items.convert_price_by_table(rows, tiers, "price", "1", "twd")
+    assert got.columns == ["id", "price", "lo", "mult", "bucket", "twd"] and got.where("twd is null or lo != 'x'").count() == 0
+    assert got.where("twd != round((id + 0.5) * (id % 7 + 1), 2)").count() == 0
+    mapped = items.map_category(spark.createDataFrame([("a", 1, 2)], "c string, src int, dst int"), spark.createDataFrame([("a", "A")], "src string, dst string"), "c")
+    assert tuple(mapped.first()) == ("a", 1, 2, "A")
+
+
+def test_a_model_for_categories_without_a_mapping(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "big thing"), (3, None), (4, "bad")], "i int, c string")
+
+    def guess(xs):
+        if xs[0]["text"] == "bad":
+            raise ValueError("no")
+        return [x["text"].split()[-1] for x in xs]
+
+    got = items.map_category(rows, spark.createDataFrame([("a", "A")], "src string, dst string"), "c", model=Skill("guess", "string", guess, batch=1))
+    assert {r.i: r.category for r in got.collect()} == {1: "A", 2: "thing", 3: "unmapped", 4: "unmapped"}
+
+
 def test_replacements_go_in_order(spark):
     assert one(spark, T.replace_words(F.lit("a.b"), [("a", "b"), ("b", "c"), (".", "-")]).alias("x")).x == "c-c"
 
 
 def test_numbers(spark):
-    texts = ["1,200円", "¥ 3.5", "１，２３４，５６７", "no digits", "", None]
+    texts = ["1,200円", "¥ 3.5", "１，２３４，５６７", "no digits", "", None, "1,2345", "1,234,567,890", "12345678901234567.25"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     cleaned = [r[0] for r in rows.select(T.clean_numbers(F.col("t"))).collect()]
-    assert cleaned == ["1200", "3.5", "1234567", "no digits", "", None]
-    assert [r[0] for r in rows.select(T.first_number(T.clean_numbers(F.col("t")))).collect()][0] == Decimal("1200")
+    assert cleaned == ["1200", "3.5", "1234567", "no digits", "", None, "1,2345", "1234567890", "12345678901234567.25"]
+    numbers = [r[0] for r in rows.select(T.first_number(T.clean_numbers(F.col("t")))).collect()]
+    assert numbers == [Decimal(1200), Decimal("3.5"), Decimal(1234567), None, None, None, Decimal(1), Decimal(1234567890), Decimal("12345678901234567.25")]
 
 
 def test_keywords_are_literal_and_ignore_case(spark):

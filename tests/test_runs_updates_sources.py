@@ -59,9 +59,40 @@ def test_paths_and_manifests(spark):
 
 
 def test_hashes_of_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes(b"hello")
-    manifest = spark.createDataFrame([("a.txt", hashlib.sha256(b"hello").hexdigest()), ("gone.txt", "x")], "path string, sha256 string")
-    assert [r.path for r in updates.hash_mismatches(spark, str(tmp_path), manifest).collect()] == ["gone.txt"]
+    for at in ("hub/run.py", "hub/a/run.py", "seo/run.py"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(at.encode())
+    right = [("hub", "run.py"), ("hub", "a/run.py"), ("seo", "run.py")]
+    rows = [(a, p, hashlib.sha256(f"{a}/{p}".encode()).hexdigest()) for a, p in right] + [("seo", "a/run.py", "x"), ("hub", "gone", "x")]
+    manifest = spark.createDataFrame(rows, "app string, path string, sha256 string")
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        assert {(r.app, r.path) for r in updates.hash_mismatches(spark, folder, manifest).collect()} == {("seo", "a/run.py"), ("hub", "gone")}
+
+
+def test_a_version_is_seen_once_it_is_whole(spark, tmp_path):
+    root, files = str(tmp_path), spark.range(3)
+    assert updates.current(spark, root) is None
+    first = updates.publish(files, root)
+    assert updates.current(spark, root) == first
+
+    def cut_off(_):
+        raise RuntimeError("stop")
+
+    bad = files.select(F.udf(cut_off, "long")("id").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        updates.publish(bad, root)
+    assert updates.current(spark, root) == first
+    second = updates.publish(files.where("id > 0"), root)
+    assert updates.current(spark, root) == second and spark.read.parquet(second).count() == 2
+
+
+def test_row_ids_far_apart_make_few_tasks(spark, tmp_path):
+    tables.register(spark)
+    with sqlite3.connect(tmp_path / "y.db") as c:
+        c.execute("CREATE TABLE goods (id INTEGER PRIMARY KEY, title TEXT)")
+        c.executemany("INSERT INTO goods VALUES (?, ?)", [(1, "a"), (5 * 10**9, "b"), (-7, "c")])
+    got = spark.read.format("sqlite").option("path", str(tmp_path / "y.db")).option("table", "goods").option("rowsPerTask", "2").load()
+    assert got.rdd.getNumPartitions() == 2 and sorted(r.title for r in got.collect()) == ["a", "b", "c"]
 
 
 def test_sqlite_and_xlsx(spark, tmp_path):

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once a row however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def replace_words(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements in the order given; a rule sees what earlier ones made."""
     for old, new in rules:
@@ -17,19 +22,19 @@ def replace_words(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
 
 
 def clean_numbers(text: Column) -> Column:
-    """Full-width digits become ASCII, marks of currency before or after a number go, and so do thousands marks."""
+    """Full-width digits become ASCII, marks of currency before or after a number go, and so do thousands marks.
+
+    A comma is a thousands mark between a digit and exactly three digits.
+    """
     text = F.translate(text, "０１２３４５６７８９，．", "0123456789,.")
     text = F.regexp_replace(text, r"[¥￥$€] *([0-9])", "$1")
     text = F.regexp_replace(text, r"([0-9]) *[円元]", "$1")
-    # A mark takes the digits beside it, so every other mark goes each time.
-    for _ in range(2):
-        text = F.regexp_replace(text, r"([0-9]),([0-9]{3})", "$1$2")
-    return text
+    return F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
 
 
 def first_number(text: Column) -> Column:
-    """The first number of a cleaned text as decimal(18,4); null without one."""
-    return F.try_to_number(F.nullif(F.regexp_extract(text, r"[0-9]{1,14}", 0), F.lit("")), F.lit("99999999999999")).cast("decimal(18,4)")
+    """The first number of a cleaned text as decimal(38,4), further places rounded; null without one, or with more digits than fit."""
+    return F.regexp_extract(text, r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("decimal(38,4)")
 
 
 def keyword_hit(text: Column, keywords: Iterable[str]) -> Column:

@@ -13,14 +13,27 @@ from wareflow.functions import text as T
 UNMAPPED = "unmapped"
 
 
-def map_category(items: DataFrame, mapping: DataFrame, column: str, target: str = "category") -> DataFrame:
-    """Step A: the category of each item by a table (src, dst); those without one are ``unmapped``.
+def _beside(items: DataFrame, target: str, value: Column) -> DataFrame:
+    """The struct column ``row`` as columns, with ``target``, which replaces a column of that name."""
+    names = [f.name for f in items.schema["row"].dataType.fields if f.name.lower() != target.lower()]
+    return items.select(*[F.col("row")[n].alias(n) for n in names], value.alias(target))
 
-    Spark picks a broadcast join by the table's size; a mapping has one row a source category.
+
+def map_category(items: DataFrame, mapping: DataFrame, column: str, target: str = "category", model=None) -> DataFrame:
+    """Step A: the category of each item by a table (src, dst); a model's for the others, ``unmapped`` without either.
+
+    Spark picks a broadcast join by the table's size; a mapping has one row a source category, and of several the
+    least counts.  The model sees each unmapped value once; where it fails the item is unmapped.
     """
-    table = mapping.groupBy("src").agg(F.min("dst").alias("_dst"))
-    found = items.join(table, items[column] == table["src"], "left")
-    return found.withColumn(target, F.coalesce("_dst", F.lit(UNMAPPED))).drop("src", "_dst")
+    table = mapping.groupBy("src").agg(F.min("dst").alias("dst"))
+    rows = items.select(F.struct("*").alias("row"))
+    found = rows.join(table, F.col("row")[column] == F.col("src"), "left")
+    if model is None:
+        return _beside(found, target, F.coalesce("dst", F.lit(UNMAPPED)))
+    unknown = items.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct().join(table.select(F.col("src").alias("text")), "text", "left_anti")
+    guessed = model.apply(unknown, ["text"], "made").select("text", F.col("made.result").alias("guess"))
+    both = found.join(guessed, F.col("row")[column] == F.col("text"), "left")
+    return _beside(both, target, F.coalesce("dst", "guess", F.lit(UNMAPPED)))
 
 
 def tier_multiplier(price: Column, tiers: Iterable[tuple[str, str, str]]) -> Column:
@@ -37,11 +50,22 @@ def convert_price(price: Column, rate: str, tiers: Iterable[tuple[str, str, str]
     return (exact * F.lit(Decimal(rate)).cast("decimal(9,4)") * tier_multiplier(exact, tiers)).cast("decimal(18,2)")
 
 
+def _price_bucket(price: Column) -> Column:
+    """Four buckets an octave; what is under 1/128 is in the first one."""
+    return F.floor(F.log2(F.greatest(price.cast("double"), F.lit(2.0**-7))) * 4).cast("int")
+
+
 def convert_price_by_table(items: DataFrame, tiers: DataFrame, price: str, rate: str, target: str) -> DataFrame:
-    """Step B with the tiers in a table (lo, hi, mult); at most one tier may hold a price."""
-    rows = items.join(F.broadcast(tiers.limit(1000)), (F.col(price) >= F.col("lo")) & (F.col(price) < F.col("hi")), "left")
-    exact = F.col(price).cast("decimal(18,4)") * F.lit(Decimal(rate)).cast("decimal(9,4)") * F.col("mult")
-    return rows.withColumn(target, exact.cast("decimal(18,2)")).drop("lo", "hi", "mult")
+    """Step B with the tiers in a table (lo, hi, mult) of any size; at most one tier may hold a price.
+
+    Tiers are listed under each bucket that they reach into, so prices find theirs by an equality join.
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    listed = tiers.where(lo < hi).select("lo", "hi", "mult", F.explode(F.sequence(_price_bucket(lo), _price_bucket(hi))).alias("bucket"))
+    rows = items.select(F.struct("*").alias("row"), F.col(price).alias("price"), _price_bucket(F.col(price)).alias("bucket"))
+    found = rows.join(listed, (rows["bucket"] == listed["bucket"]) & (F.col("price") >= lo) & (F.col("price") < hi), "left")
+    exact = F.col("price").cast("decimal(18,4)") * F.lit(Decimal(rate)).cast("decimal(9,4)") * F.col("mult")
+    return _beside(found, target, exact.cast("decimal(18,2)"))
 
 
 def translate(items: DataFrame, column: str, model, target: str) -> DataFrame:

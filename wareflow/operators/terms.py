@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wareflow.functions.text import let
+
 SPLIT = r"[\s.,]+"
 
 
-def top_terms(docs: DataFrame, key: str, text: str, main: int = 2, secondary: int = 3, least: int = 4) -> DataFrame:
-    """(key, rank, term, times, role): the most frequent terms of a text; ties go to the smaller term.
+def counted(text: Column, least: int = 4) -> Column:
+    """The terms of a text and their numbers, most frequent first and ties by the smaller term: array of (times, term).
 
-    Terms are counted per text; the ranking window holds one text's terms only.
+    Sorted words make runs, whose ends say how long they are; all within the row.
     """
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), SPLIT)).alias("term")).where(F.length("term") >= least)
-    counts = words.groupBy(key, "term").agg(F.count("*").alias("times"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("times"), "term")).cast("long")
-    ranked = counts.withColumn("rank", rank).where(F.col("rank") <= main + secondary)
-    return ranked.withColumn("role", F.when(F.col("rank") <= main, "main").otherwise("secondary"))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: F.length(w) >= least)
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        less = lambda p, k, at: p - F.coalesce(F.get(at, k + 1), F.size(s))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(less(p, k, at).alias("less"), F.get(s, p).alias("term"))))
+
+    ordered = F.array_sort(let(F.array_sort(words), runs))
+    return F.transform(ordered, lambda x: F.struct((-x["less"]).cast("long").alias("times"), x["term"].alias("term")))
+
+
+def top_terms(docs: DataFrame, key: str, text: str, main: int = 2, secondary: int = 3, least: int = 4) -> DataFrame:
+    """(key, rank, term, times, role): the most frequent terms of a text; ties go to the smaller term.  Nothing is shuffled."""
+    top = F.slice(counted(F.col(text), least), 1, main + secondary)
+    ranked = docs.select(key, F.posexplode(top).alias("at", "t"))
+    rank = (F.col("at") + 1).cast("long")
+    return ranked.select(key, F.col("t.term").alias("term"), F.col("t.times").alias("times"), rank.alias("rank"), F.when(rank <= main, "main").otherwise("secondary").alias("role"))
 
 
 def search_title(brand: Column, terms: Column, most: int = 60) -> Column:

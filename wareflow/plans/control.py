@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareflow.functions.sequence import numbered, rolling
@@ -19,6 +19,12 @@ QUOTA = 2000
 CAP_BLOCK = 20_000
 
 
+def signals(events: DataFrame, outcome: str) -> DataFrame:
+    """The task outcomes that say something about a stage, with ``failed``; the others leave the window altogether."""
+    counted = events.where(F.col(outcome).isNotNull() & ~F.col(outcome).isin(*NO_SIGNAL))
+    return counted.withColumn("failed", F.col(outcome) == "fail")
+
+
 def fail_rates(events: DataFrame, stage: str, ts: str, key: str, failed: str, window: int = WINDOW, least: int = MIN_SAMPLE) -> DataFrame:
     """``events`` (signals only) with seq, n and fail_rate over a stage's last ``window`` ones; null under ``least``.
 
@@ -107,13 +113,21 @@ def day_usage(events: DataFrame, tenant: str, ts: str, product: str, billable: C
 
 
 def attributed(events: DataFrame, tenant: str, ts: str, key: str, product: str, refund: Column) -> DataFrame:
-    """Quota operations with the day that they count for: a refund counts for the day of the product's last consume."""
-    from pyspark.sql import Window
+    """Quota operations with the day that they count for: a refund counts for the day of the product's last consume.
 
-    rows = events.select(F.col(tenant).alias("tenant"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(product).alias("product"), refund.alias("refund"))
-    earlier = Window.partitionBy("tenant", "product").orderBy("ts", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    consumed = F.last(F.when(~F.col("refund"), quota_day(F.col("ts"))), ignorenulls=True).over(earlier)
-    return rows.withColumn("quota_day", F.coalesce(consumed, quota_day(F.col("ts"))))
+    That is the same day if the product was consumed earlier in it, else the last day before with a consume.  So
+    one summary row a tenant, product and day suffices, and the only window runs over those days.
+    """
+    own = quota_day(F.col("ts"))
+    rows = events.select(F.col(tenant).alias("tenant"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(product).alias("product"), refund.alias("refund")).withColumn("_day", own)
+    days = rows.groupBy("tenant", "product", "_day").agg(F.min(F.when(~F.col("refund"), F.struct("ts", "key"))).alias("_first"))
+    before = Window.partitionBy("tenant", "product").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_earlier", F.max(F.when(F.col("_first").isNotNull(), F.col("_day"))).over(before))
+    days = days.select(F.col("tenant").alias("_tenant"), F.col("product").alias("_product"), F.col("_day").alias("_of"), "_first", "_earlier")
+    keys = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("tenant", "_tenant"), ("product", "_product"), ("_day", "_of"))]
+    same = (F.col("_first") <= F.struct("ts", "key")) & F.col("_first").isNotNull()
+    day = F.when(same, F.col("_day")).otherwise(F.coalesce("_earlier", "_day"))
+    return rows.join(days, keys).select("tenant", "ts", "key", "product", "refund", day.alias("quota_day"))
 
 
 def ledger(operations: DataFrame, limit: int = QUOTA) -> DataFrame:
@@ -143,7 +157,20 @@ def usage(events: DataFrame, ts: str, user: str, kind: str) -> DataFrame:
     return events.groupBy(quota_day(F.col(ts)).alias("quota_day"), F.col(kind).alias("kind")).agg(F.count("*").alias("events"), F.count_distinct(F.col(user)).alias("users"))
 
 
+def last_caps(stage_caps: DataFrame, stage: str) -> DataFrame:
+    """(stage, cap): the cap that holds after the last decision."""
+    return stage_caps.groupBy(stage).agg(F.max_by("cap", "decision").alias("cap"))
+
+
+def capped(work: Callable[[DataFrame], None], caps: Callable[[], int]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each micro-batch goes to ``work`` in as many tasks as the cap then allows."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        work(batch.repartition(max(1, caps())))
+
+    return run
+
+
 def permits(stage_caps: DataFrame, stage: str) -> Iterator[tuple]:
     """The last cap of each stage, for a driver that sets the concurrency of its next batch; one row a stage."""
-    last = stage_caps.groupBy(stage).agg(F.max_by("cap", "decision").alias("cap"))
-    return ((r[stage], r["cap"]) for r in last.toLocalIterator())
+    return ((r[stage], r["cap"]) for r in last_caps(stage_caps, stage).toLocalIterator())

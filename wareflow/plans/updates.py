@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,48 @@ def refused(files: DataFrame, whitelist: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_known")
 
 
-def hash_mismatches(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Manifest rows whose file in ``folder`` is missing or has another SHA-256."""
+def mismatches(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Manifest rows (app, path, sha256) whose file is missing or has another digest in ``found`` (app, path, sha256)."""
+    there = found.select(F.col("app").alias("_app"), F.col("path").alias("_path"), F.col("sha256").alias("_found"))
+    rows = manifest.join(there, (manifest["app"] == there["_app"]) & (manifest["path"] == there["_path"]), "left")
+    return rows.where(F.col("_found").isNull() | (F.col("_found") != F.col("sha256"))).drop("_app", "_path", "_found")
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(app, path, sha256) of the files in ``folder``, which has a folder for each app."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.col("path").alias("_at"), F.sha2("content", 256).alias("_found"))
-    rows = manifest.join(found, F.col("_at").endswith(F.concat(F.lit("/"), F.col("path"))), "left")
-    return rows.where(F.col("_found").isNull() | (F.col("_found") != F.col("sha256"))).drop("_at", "_found")
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/") + "/"
+    below = F.substring(F.col("path"), F.locate(root, F.col("path")) + len(root), F.length("path"))
+    return files.select(F.substring_index(below, "/", 1).alias("app"), F.substring(below, F.locate("/", below) + 1, F.length(below)).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def hash_mismatches(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Manifest rows (app, path, sha256) whose file <folder>/<app>/<path> is missing or has another SHA-256."""
+    return mismatches(manifest, digests(spark, folder))
+
+
+POINTER = "version long, folder string"
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The folder of the version that is published under ``root``; None before the first one."""
+    try:
+        last = spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return last and f"{root}/{last.folder}"
+
+
+def publish(files: DataFrame, root: str) -> str:
+    """Writes ``files`` as a new version under ``root``, and only then the row that points to it.
+
+    Readers see the old version until that row is there; a version that was cut off is never seen.
+    """
+    spark, folder = files.sparkSession, f"version-{uuid.uuid4().hex}"
+    before = current(spark, root)
+    number = 0 if before is None else spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max("version")).first()[0] + 1
+    files.write.parquet(f"{root}/{folder}")
+    spark.createDataFrame([(number, folder)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    return f"{root}/{folder}"

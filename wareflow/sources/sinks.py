@@ -20,8 +20,8 @@ def write_listing(items: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def quarantine(rows: DataFrame, reason: str, path: str) -> None:
-    """Appends the rows that have a reason for rejection, partitioned by it."""
-    rows.where(F.col(reason).isNotNull()).write.mode("append").partitionBy(reason).parquet(path)
+    """Appends the rows that have a reason for rejection; a reason is free text, so it makes no folders."""
+    rows.where(F.col(reason).isNotNull()).write.mode("append").parquet(path)
 
 
 def emit(events: DataFrame, path: str) -> None:

@@ -36,11 +36,14 @@ class _SqliteReader(DataSourceReader):
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of about as many rows each, however the row ids are spread."""
         with self._connect() as c:
-            low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if low is None:
+            numbered = f'SELECT rowid AS at, row_number() OVER (ORDER BY rowid) AS n FROM "{self.table}"'
+            starts = [r[0] for r in c.execute(f"SELECT at FROM ({numbered}) WHERE (n - 1) % ? = 0 ORDER BY at", (self.rows,))]
+            last = c.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0]
+        if not starts:
             return [_Range(0, 0)]
-        return [_Range(at, min(at + self.rows, high + 1)) for at in range(low, high + 1, self.rows)]
+        return [_Range(low, high) for low, high in zip(starts, [*starts[1:], last + 1], strict=True)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         columns = ", ".join(f'"{n}"' for n in self.names)

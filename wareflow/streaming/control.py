@@ -1,7 +1,8 @@
 """Streaming counterparts of the failure rate and the quota ledger, and the event sink.
 
-State is per stage (its last outcomes) and per tenant and day (admitted products), so it stays small however long a
-stream runs.  Rows of one trigger are put in order by time and key before they change the state.
+State is per stage (its last outcomes) and per tenant and day (admitted products).  With ``kept_ms`` a day's state
+goes when nothing has changed it for so long, so that state stays small however long a stream runs; such a query
+keeps making micro-batches, so it is run with an available-now or a processing-time trigger.  Rows of one trigger are put in order by time and key before they change the state.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ def fail_rates(events: DataFrame) -> DataFrame:
 
 
 class _Ledger(StatefulProcessor):
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, kept_ms: int | None):
+        self.limit, self.kept_ms = limit, kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("day", "admitted array<bigint>, denied bigint, refunded bigint")
+        self.state = handle.getValueState("day", "admitted array<bigint>, denied bigint, refunded bigint", ttlDurationMs=self.kept_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows)).sort_values(["ts", "key"])
@@ -70,10 +71,10 @@ class _Ledger(StatefulProcessor):
         pass
 
 
-def ledger(operations: DataFrame, limit: int = QUOTA) -> DataFrame:
+def ledger(operations: DataFrame, limit: int = QUOTA, kept_ms: int | None = None) -> DataFrame:
     """The ledger of a stream of operations (tenant, quota_day as text, ts, key, product, refund), a row a change."""
     schema = "tenant long, quota_day string, used long, denied long, refunded long"
-    return operations.groupBy("tenant", "quota_day").transformWithStateInPandas(_Ledger(limit), schema, outputMode="Update", timeMode="None")
+    return operations.groupBy("tenant", "quota_day").transformWithStateInPandas(_Ledger(limit, kept_ms), schema, outputMode="Update", timeMode="ProcessingTime" if kept_ms else "None")
 
 
 def emit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
