@@ -15,7 +15,7 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_same_rows_as_sql(spark, sf_dir, name):
     with duckdb.connect() as c:
-        for t in ("events", "part", "documents", "labels", "pages"):
+        for t in ("events", "part", "documents", "labels", "pages", "supplier"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         expected = c.sql(catalog.ORACLE_SQL[name]).df()
     got = catalog.QUERIES[name](spark, sf_dir).toPandas()

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareflow import catalog_steps
 from wareflow.functions import text as T
 from wareflow.operators import items, rescue, terms, verdicts
 from wareflow.plans import control, updates
@@ -189,7 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ok_reject_split": ok_reject_split,
     "verify_rollback": verify_rollback,
     "manifest_check": manifest_check,
-}
+} | catalog_steps.QUERIES
 
 
 def _text(value: str) -> str:
@@ -257,7 +258,10 @@ ORACLE_SQL: dict[str, str] = {
     + " END AS DECIMAL(18,2)) AS DOUBLE) AS price_twd FROM part",
     "category_map": "SELECT p_partkey, p_type, coalesce(dst, 'unmapped') AS category FROM part LEFT JOIN (VALUES " + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in CATEGORIES) + ") m(src, dst) ON p_type = src",
     "replace_words": f"SELECT doc_id, {_nested('text')} AS text FROM documents",
-    "clean_numbers": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '０１２３４５６７８９，．', '0123456789,.'), '[¥￥$€] *([0-9])', '\1', 'g'), '([0-9]) *[円元]', '\1', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g'), '([0-9]),([0-9]{3})', '\1\2', 'g') AS text FROM documents""",
+    "clean_numbers": r"""WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(translate(text, '０１２３４５６７８９，．', '0123456789,.'), '[¥￥$€] *([0-9])', '\1', 'g'), '([0-9]) *[円元]', '\1', 'g') AS t FROM documents),
+      parts AS (SELECT doc_id, unnest(string_split(t, ',')) AS part, generate_subscripts(string_split(t, ','), 1) AS i FROM marked),
+      joined AS (SELECT doc_id, i, part, lag(part) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM parts)
+      SELECT doc_id, string_agg(CASE WHEN i = 1 THEN '' WHEN regexp_matches(before, '[0-9]$') AND regexp_matches(part, '^[0-9]{3}([^0-9]|$)') THEN '' ELSE ',' END || part, '' ORDER BY i) AS text FROM joined GROUP BY doc_id""",
     "keyword_filter": f"SELECT doc_id, lower(regexp_extract(text, '(?i)({'|'.join(KEYWORDS)})', 1)) AS hit, NOT regexp_matches(text, '(?i)({'|'.join(KEYWORDS)})') AS keep FROM documents",
     "fill_defaults": "SELECT d.doc_id, coalesce(nullif(lang, ''), 'xx') AS lang, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "title_dedup": r"SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) ORDER BY p_partkey) AS r FROM part) WHERE r = 1",
@@ -275,4 +279,5 @@ ORACLE_SQL: dict[str, str] = {
       checked AS (SELECT *, contains(candidate, '&amp;') OR contains(candidate, '<script') AS residue FROM made)
       SELECT page_id, CASE WHEN residue THEN 'rejected' ELSE 'rescued' END AS status, md5(CASE WHEN residue THEN html ELSE candidate END) AS kept_md5 FROM checked""",
     "manifest_check": r"SELECT * FROM (VALUES ('hub', 'a/run.py', 'allowed'), ('hub', '../x', 'unsafe path'), ('hub', '/abs', 'unsafe path'), ('hub', 'C:\x', 'unsafe path'), ('hub', 'a..b/c', 'allowed'), ('seo', 'a/run.py', 'not on the whitelist'), ('seo', 'b/new.py', 'allowed')) t(app, path, verdict)",
-}
+    "last_caps": f"SELECT stage, arg_max(cap, decision) AS cap FROM ({_cap_sql(_MILD)}) GROUP BY stage",
+} | catalog_steps.ORACLE_SQL

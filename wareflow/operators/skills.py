@@ -55,6 +55,12 @@ class Skill:
         return rows.withColumn(target, run(F.struct(*inputs)))
 
 
+def error_counts(rows: DataFrame, error: str) -> DataFrame:
+    """(kind, errors): how often each class of error occurs."""
+    kind = F.substring_index(F.col(error), ":", 1)
+    return rows.where(F.col(error).isNotNull()).groupBy(kind.alias("kind")).agg(F.count("*").alias("errors"))
+
+
 REGISTRY: dict[str, Skill] = {}
 
 
