@@ -43,7 +43,7 @@ from wareflow.llm.words import mix, shingles, word_hashes
 ROWS = 5
 MISSED = 1e-6
 #: Sketches of one side that a task compares at once, about.
-BLOCK = 1024
+BLOCK = 512
 #: Buckets with more than this part of all members are split; so there are fewer of them than that.
 HOT = 2000
 
@@ -134,7 +134,7 @@ def _held(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) ->
 
     # Ids may be null, and their rows many, so the text's hash is a part of the key.
     place = [F.coalesce("id", F.lit(0)).alias("id"), "t"]
-    wanted = _named(docs, key, text).select(*place, "text").join(nodes.select("node", "n", *place), ["id", "t"])
+    wanted = _named(docs, key, text).select(*place, "text").join(saved(nodes.select("node", "n", *place)), ["id", "t"])
     one = wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return one.select("node", "n", "text", sketched("text").alias("bits"))
 
@@ -193,7 +193,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
     left = salted(placed).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
-    right = salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    # Written tables have a known size, by which Spark picks the join before anything is shuffled.
+    right = saved(salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
     members = saved(left.join(right, ["key", "salt"]).select("key", "size", "node"))
     marks = members.groupBy("key", "size").agg(*[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)])
     first = marks.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
