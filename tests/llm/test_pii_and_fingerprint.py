@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -84,6 +85,79 @@ def test_looser_spans_and_redaction(spark):
     assert pii.learn(found.limit(0)) is None
 
 
+def test_secrets_by_their_context(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{token[k:] + token[:k]}" y' for k in range(30)] + ["incomprehensibilitiesandmore of it"] * 30 + [f"see checksum {token[k:] + token[:k]} z" for k in range(5)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = pii.learn(found)
+    redacted = [r.text for r in pii.redact(pii.decide(found, model)).orderBy("doc_id").collect()]
+    assert redacted[:30] == ['x token = "[SECRET]" y'] * 30 and redacted[30:60] == texts[30:60]
+    assert model["reliability"]["secret"] != model["reliability"].get("email")
+
+
+def by_hand(kinds, votes, rounds, drawn):
+    """Expectation maximisation candidate by candidate."""
+    n, labelers = len(kinds), len(votes[0])
+    p = [min(0.95, max(0.05, 0.5 + sum(v) / (2 * labelers))) for v in votes]
+    for _ in range(rounds):
+        def rate(j, side, of=None):
+            hit = total = 0.0
+            for k, v, q in zip(kinds, votes, p, strict=True):
+                if v[j] and (of is None or k == of):
+                    weight = q if side else 1 - q
+                    total += weight
+                    hit += weight * ((v[j] > 0) == bool(side))
+            return hit, total
+
+        pooled = [[(4 + h) / (5 + t) for h, t in (rate(j, side) for side in (0, 1))] for j in range(labelers)]
+        right = {k: [[(drawn * pooled[j][side] + rate(j, side, k)[0]) / (drawn + rate(j, side, k)[1]) for side in (0, 1)] for j in range(labelers)] for k in set(kinds)}
+        prior = {k: (1 + sum(q for kk, q in zip(kinds, p, strict=True) if kk == k)) / (2 + kinds.count(k)) for k in set(kinds)}
+        new = []
+        for i in range(n):
+            yes, no = prior[kinds[i]], 1 - prior[kinds[i]]
+            for j, v in enumerate(votes[i]):
+                r = right[kinds[i]][j]
+                if v:
+                    yes, no = yes * (r[1] if v > 0 else 1 - r[1]), no * (1 - r[0] if v > 0 else r[0])
+            new.append(yes / (yes + no))
+        p = new
+    return p
+
+
+def test_expectation_maximisation_equals_a_version_by_hand():
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 3, 120).tolist()
+    truth = rng.random(120) < 0.4
+    votes = [[int(v) for v in np.where(rng.random(5) < 0.2, 0, np.where(rng.random(5) < (0.9, 0.8, 0.7, 0.6, 0.5), 1, -1) * (1 if t else -1))] for t in truth]
+    rows = sorted({(k, *v) for k, v in zip(kinds, votes, strict=True)})
+    counts = [sum((k, *v) == r for k, v in zip(kinds, votes, strict=True)) for r in rows]
+    table = np.array(rows)
+    likely, right = pii.expectation_maximisation(table[:, 0], table[:, 1:], np.array(counts, float), rounds=15, drawn=10)
+    wanted = dict(zip(((k, *v) for k, v in zip(kinds, votes, strict=True)), by_hand(kinds, votes, 15, 10), strict=True))
+    assert np.allclose(likely, [wanted[r] for r in rows], atol=1e-9)
+    assert np.mean((likely > 0.5) == [truth[[(k, *v) for k, v in zip(kinds, votes, strict=True)].index(r)] for r in rows]) > 0.7
+    assert right[:, 0].mean() > right[:, 4].mean()
+
+
+def test_features_tell_apart_candidates_with_the_same_votes():
+    # Half of the candidates abstain everywhere; those share a feature with the likely ones, others do not.
+    kinds = np.full(4, 4)
+    votes = np.array([[1, 1, 1, 1, 1], [-1, -1, -1, -1, -1], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]])
+    features = np.array([[1, 1, 3, 1], [1, 1, 9, 1], [1, 1, 3, 1], [1, 1, 9, 1]])
+    weights = pii.span_classifier(kinds, votes, features, np.array([50.0, 50, 5, 5]), np.array([0.95, 0.05, 0.5, 0.5]))
+    z = pii._columns(kinds, votes, features) @ weights
+    assert z[2] > z[3] and z[0] > 0 > z[1]
+
+
+def test_very_many_spans_in_a_long_text(spark):
+    one = "mail a@b.com, tel. 415-555-2671 and 4111 1111 1111 1111; token = 04dbebab91ab85687d33eeaaf9ac699e1188f962 \u65e5 "
+    text = one * 5000
+    found = pii.candidates(spark.createDataFrame([(1, text), (2, "x" * 300_000), (3, "")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii.redact(pii.decide(found, None)).collect()}
+    assert got[1].text == (one.replace("a@b.com", "[EMAIL]").replace("4111 1111 1111 1111", "[CARD]")) * 5000
+    assert len(got[1].spans) == 10_000 and got[2].text == "x" * 300_000 and got[3].text == ""
+
+
 def test_running_sums(spark):
     row = spark.range(1).select(*[native.running_sums(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias(f"n{n}") for n in (1, 256, 257, 1500)], native.running_sums(F.array().cast("array<long>")).alias("none")).first()
     assert row.none == [] and all(row[f"n{n}"] == [k * (k + 1) // 2 for k in range(1, n + 1)] for n in (1, 256, 257, 1500))

@@ -15,22 +15,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _sums(numbers: Column) -> Column:
-    start = F.array().cast("array<long>")
-    return F.aggregate(numbers, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x)))
+def _running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        return F.concat(acc, F.array(F.when(last.isNull(), x).otherwise(combine(last, x))))
 
+    return F.aggregate(numbers, F.array().cast("array<long>"), step)
 
-def running_sums(numbers: Column) -> Column:
-    """The running sums of an array of long; in chunks, as each step copies what its chunk has so far."""
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The running results of an associative ``combine`` over an array of long; in chunks, as each step copies what its chunk has so far."""
 
     def chunked(a: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _CHUNK).cast("int"))
-        chunks = F.transform(starts, lambda k: _sums(F.slice(a, k * _CHUNK + 1, F.lit(_CHUNK))))
+        chunks = F.transform(starts, lambda k: _running(F.slice(a, k * _CHUNK + 1, F.lit(_CHUNK)), combine))
 
         def shifted(c: Column) -> Column:
-            before = _sums(F.transform(c, lambda x: F.element_at(x, -1)))
-            return let(before, lambda b: F.flatten(F.transform(c, lambda x, k: F.transform(x, lambda y: y + F.when(k > 0, b[k - 1]).otherwise(0)))))
+            before = _running(F.transform(c, lambda x: F.element_at(x, -1)), combine)
+            return let(before, lambda b: F.flatten(F.transform(c, lambda x, k: F.transform(x, lambda y: F.when(k > 0, combine(F.get(b, k - 1), y)).otherwise(y)))))
 
         return let(chunks, shifted)
 
-    return let(numbers, lambda a: F.when(F.size(a) == 0, F.array().cast("array<long>")).when(F.size(a) <= _CHUNK, _sums(a)).otherwise(chunked(a)))
+    return let(numbers, lambda a: F.when(F.size(a) == 0, F.array().cast("array<long>")).when(F.size(a) <= _CHUNK, _running(a, combine)).otherwise(chunked(a)))
+
+
+def running_sums(numbers: Column) -> Column:
+    """The running sums of an array of long."""
+    return running(numbers, lambda a, b: a + b)

@@ -1,25 +1,30 @@
 """Personal data by weak supervision, in DataFrame expressions alone.
 
 Regular expressions propose candidates: the four base kinds (email, ip, card, phone), and looser ones (written-out
-addresses, phone numbers without a plus, names after a form of address).  Labelers vote on each candidate: its
-format, gazetteers, the words before it, the marks around it and its shape.  Expectation maximisation over the
-vote patterns of all candidates estimates how reliable each labeler is, and with that how likely each pattern is
-personal data; a logistic span classifier is trained on these likelihoods and decides on the looser candidates.
-Base candidates whose format holds are kept whatever the votes.  The patterns are counted by Spark; there are at
-most kinds * 3**labelers of them, so the driver's part has that bound at any size of the corpus.
+addresses, phone numbers without a plus, names after a form of address, secrets such as access tokens).  Labelers
+vote on each candidate: its format, gazetteers, the words before it, the marks around it and its shape.
+Expectation maximisation over the vote patterns of all candidates estimates how reliable each labeler is for each
+kind, drawn towards its rates over all kinds where a kind has few candidates, and with that how likely each
+candidate is personal data.  A logistic span classifier is trained on these likelihoods; besides the votes it sees
+the span's length, its mix of letters and digits, the word before it (hashed) and the character after it, so it can
+tell apart candidates whose votes are alike.  It decides on the looser candidates.  Base candidates whose format
+holds are kept whatever the votes.
+
+The patterns of votes and features are counted by Spark; they take finitely many values, so what the driver gets
+has a bound (``kinds * 3**labelers * features``, some thousands in practice) at any size of the corpus.
 
 Starts and ends are code points, ends exclusive.  Null texts count as empty and have no spans.  Looser spans that
-touch a base span are dropped.  Repeated rows are treated alike; without any candidate nothing is learned.
+touch a base span are dropped.  Repeated rows are treated alike; without any candidate nothing is learned.  Spans of
+any length and number are found; the work grows linearly with both.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm.native import let, running_sums
+from wareflow.llm.native import let, running, running_sums
 from wareflow.llm.shared import saved
 
 #: The base kinds in their order.  Possessive loops and look-behinds change no match; they keep
@@ -30,23 +35,40 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Se(?:ñ|n)or(?:a|ita)?)"
 #: What a text must hold for a kind to be looked for.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "email_text": r"(?i)[(\[ ]at[)\] ]", "phone_text": r"[0-9]{3}[ .-][0-9]{4}", "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se(?:ñ|n)ora?)\b"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "email_text": r"(?i)[(\[ ]at[)\] ]", "phone_text": r"[0-9]{3}[ .-][0-9]{4}", "name": rf"\b{_TITLES}\b", "secret": r"[A-Za-z0-9_/+=-]{20}"}
 #: Looser candidates.
 LOOSE = {
-    "email_text": r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[a-z0-9-]{1,63}+){1,8}+",
+    "email_text": r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[a-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[a-z0-9-]++)++",
     "phone_text": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se(?:ñ|n)ora?)\b\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?",
+    "name": rf"\b{_TITLES}\b\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{19,}+",
 }
 KINDS = [*BASE, *LOOSE]
 
-_CONTEXT = r"(?i)\b(?:e-?mail|mail|contact|tel|telephone|phone|call|fax|mobile|cell|card|visa|mastercard|credit|ip|address|host|name|from|to|signed|kontakt|telefon|rufen|courriel|appelez|correo|tel[eé]fono)\W{0,3}$"
-_AGAINST = r"(?i)(?:\b(?:version|release|isbn|issn|order|invoice|ticket|section|chapter|figure|table|page|build)\W{0,3}|[=/\\#_$€£])$"
-_GIVEN = r"(?i)\b(?:James|John|Robert|Michael|William|David|Richard|Thomas|Mary|Anna|Anne|Maria|Peter|Hans|Klaus|Jean|Pierre|Marie|Jos[eé]|Juan|Carmen|Luis|Paul|Sophie|Emma)\b"
-_DOMAIN = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at)$"
-_PRIVATE = r"^(?:0|10|127|255|192\.168|169\.254)\."
+#: Words that speak for a kind when they stand before it, and marks and words that speak against any.
+_CONTEXT = {
+    "email": r"e-?mail|mail|contact|write|from|to|kontakt|courriel|contactez|correo|escriba",
+    "ip": r"ip|address|host|server|client|adresse|serveur|servidor|direcci[oó]n",
+    "card": r"card|visa|mastercard|amex|credit|debit|pan|karte|kreditkarte|carte|tarjeta",
+    "phone": r"tel|telephone|phone|call|fax|mobile|cell|telefon|rufen|appelez|t[eé]l[eé]phone|tel[eé]fono|ll[aá]menos",
+    "name": r"from|to|signed|dear|by|name|liebe[rs]?|geehrter?|cher|ch[eè]re|estimad[oa]",
+    "secret": r"token|secret|password|passwd|pwd|passwort|contrase[nñ]a|(?:api|access|private|auth)[ _-]?key|key|bearer|authorization",
+}
+_AGAINST = r"(?i)(?:\b(?:version|release|isbn|issn|order|invoice|ticket|section|chapter|figure|table|page|build|commit|checksum|sha(?:1|256)|md5)\W{0,4}|[\\#_$€£])$"
+_GIVEN = (
+    r"(?i)\b(?:James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Matthew|Mark|George|Steven|Edward|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Sarah|Karen|Emma|Alice"
+    r"|Anna|Anne|Maria|Peter|Hans|Klaus|J[uü]rgen|Wolfgang|Stefan|Heinz|Ursula|Monika|Sabine|Petra|Jean|Pierre|Marie|Jacques|Michel|Philippe|Nathalie|Isabelle|Sophie|Claire|Paul|Luc"
+    r"|Jos[eé]|Juan|Carmen|Luis|Carlos|Antonio|Manuel|Francisco|Javier|Pablo|Luc[ií]a|Elena|Rosa|Pilar)\b"
+)
+_DOMAIN = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at|nl|be|pl|ca|us|br|mx|ar|jp|cn|au)$"
+_PRIVATE = r"^(?:0|10|127|255|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+_KEYS = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abpr]-|sk-|pk_live_|eyJ)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 LABELERS = ("format", "gazetteer", "before", "around", "shape")
+#: Numbers of values of the classifier's features: length, mix of characters, word before, character after.
+FEATURES = {"size": 4, "mix": 4, "word": 16, "next": 4}
 
 
 def _luhn(digits: Column) -> Column:
@@ -58,42 +80,63 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
-def _holds(kind: str, value: Column) -> Column:
-    """Whether a candidate passes its kind's test of format."""
+def _format(kind: str, value: Column) -> Column:
+    """Whether a candidate passes its kind's test of format; null for digits that are too few or many for a card."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
         return value.rlike(_OCTETS)
     if kind == "card":
-        return let(digits, lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
+        return let(digits, lambda d: F.when(F.length(d).between(14, 19), _luhn(d)))
     if kind in ("phone", "phone_text"):
         return F.length(digits).between(10, 15)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
 def _votes(kind: str, value: Column, before: Column, after: Column) -> dict[str, Column]:
     """1: personal data, -1: not, 0: abstains."""
+    yes, no, none = (F.lit(x).cast("tinyint") for x in (1, -1, 0))
+    otherwise = none
     if kind in ("email", "email_text"):
-        known, shape = F.regexp_replace(value, r"(?i) ?(?:\(dot\)|\[dot\]) ?", ".").rlike(_DOMAIN), F.length(value).between(6, 80)
+        known, shape = F.regexp_replace(value, r"(?i) ?(?:\(dot\)|\[dot\]) ?", ".").rlike(_DOMAIN), value.rlike(r"^[A-Za-z0-9]") & value.rlike(r"[A-Za-z]{2}$")
     elif kind == "ip":
-        known, shape = ~value.rlike(_PRIVATE), F.length(value) >= 9
+        known, shape, otherwise = ~value.rlike(_PRIVATE), ~value.rlike(r"(?:^|\.)0[0-9]") & (F.length(value) >= 9), no
     elif kind == "card":
-        known, shape = value.rlike("^[3-6]"), F.length(F.regexp_replace(value, "[^0-9]", "")).between(14, 19)
+        known, shape = value.rlike("^[3-6]"), value.rlike(r"^(?:[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$")
     elif kind in ("phone", "phone_text"):
         known, shape = value.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1-6]|9[0-5])") | value.rlike(r"^\("), value.rlike(r"[ ().-]")
+    elif kind == "secret":
+        # Letters and digits that take turns, as in no word or date.
+        turns = F.length(F.regexp_replace(F.regexp_replace(value, "[^0-9]++", "a"), "[0-9]++", "0"))
+        known, shape = value.rlike(_KEYS), (turns >= 4) & ~value.rlike(r"^[A-Za-z]++(?:[-_/][A-Za-z0-9]++)*+$")
     else:
         known, shape = value.rlike(_GIVEN), value.rlike(r" [A-Z][a-z]+ [A-Z]")
-    yes, no, none = (F.lit(x).cast("tinyint") for x in (1, -1, 0))
+    context = rf"(?i)\b(?:{_CONTEXT[kind.removesuffix('_text')]})\W{{0,5}}$"
+    format_ = _format(kind, value)
     return {
-        "format": F.when(_holds(kind, value), yes).otherwise(no),
-        "gazetteer": F.when(known, yes).otherwise(no if kind == "ip" else none),
-        "before": F.when(before.rlike(_CONTEXT), yes).when(before.rlike(_AGAINST), no).otherwise(none),
-        "around": F.when(before.rlike(r"[A-Za-z0-9_]$") | after.rlike(r"^[A-Za-z0-9_]"), no).otherwise(none),
+        "format": F.when(format_, yes).when(~format_, no),
+        "gazetteer": F.when(known, yes).otherwise(otherwise),
+        "before": F.when(before.rlike(context), yes).when(before.rlike(_AGAINST), no).otherwise(none),
+        "around": F.when(before.rlike(r"[A-Za-z0-9_]$") | after.rlike(r"^[A-Za-z0-9_]"), no).when(before.rlike(r"[\"'(<\[|:=]\s?$"), yes).otherwise(none),
         "shape": F.when(shape, yes).otherwise(no),
     }
 
 
+def _features(value: Column, before: Column, after: Column) -> dict[str, Column]:
+    """What the classifier sees besides the votes, each a small number."""
+    n, word = F.length(value), F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]{0,5}$", 1))
+    made = {
+        "size": F.when(n < 12, 0).when(n < 18, 1).when(n < 30, 2).otherwise(3),
+        "mix": F.when(value.rlike("[A-Za-z]"), 0).otherwise(2) + F.when(value.rlike("[0-9]"), 0).otherwise(1),
+        "word": F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(FEATURES["word"] - 1)) + 1),
+        "next": F.when(after == "", 0).when(after.rlike(r"^\s"), 1).when(after.rlike(r"^[.,;:!?)\]\"']"), 2).otherwise(3),
+    }
+    return {name: column.cast("tinyint") for name, column in made.items()}
+
+
 def _found(kind: str, text: Column) -> Column:
-    """The candidates of a kind: array of (start, kind number, end, base, votes)."""
+    """The candidates of a kind: array of (start, kind number, end, base, votes, features)."""
     pattern = BASE.get(kind) or LOOSE[kind]
 
     def placed(x: Column) -> Column:
@@ -103,100 +146,132 @@ def _found(kind: str, text: Column) -> Column:
         def one(starts: Column, h: Column, i: Column) -> Column:
             before, after = F.right(pieces[i], F.lit(24)), F.left(pieces[i + 1], F.lit(2))
             votes = _votes(kind, h, before, after)
-            base = votes["format"] == 1 if kind in BASE else F.lit(False)
-            return F.struct(starts[i].alias("start"), F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), (starts[i] + F.length(h)).alias("end"), base.alias("base"), *[v.alias(k) for k, v in votes.items()])
+            base = F.coalesce(votes["format"] == 1, F.lit(False)) if kind in BASE else F.lit(False)
+            more = [v.alias(k) for k, v in (votes | _features(h, before, after)).items()]
+            return F.struct(starts[i].alias("start"), F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), (starts[i] + F.length(h)).alias("end"), base.alias("base"), *more)
 
         return let(running_sums(steps), lambda starts: F.transform(hits, lambda h, i: one(starts, h, i)))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    votes = ",".join(f"{k}:tinyint" for k in LABELERS)
-    empty = F.array().cast(f"array<struct<start:bigint,kind:tinyint,end:bigint,base:boolean,{votes}>>")
+    small = ",".join(f"{k}:tinyint" for k in (*LABELERS, *FEATURES))
+    empty = F.array().cast(f"array<struct<start:bigint,kind:tinyint,end:bigint,base:boolean,{small}>>")
     needed = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
     return F.when(needed, let(both, placed)).otherwise(empty)
 
 
 def candidates(docs: DataFrame, text: str = "text", column: str = "candidates") -> DataFrame:
-    """``docs`` with all candidates of each whole text.  Short digit runs that can be no card are left out."""
+    """``docs`` with all candidates of each whole text.  Digit runs that can be no card are left out."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    each = [_found(kind, whole) for kind in KINDS]
-    all_kinds = F.concat(*each)
-    return docs.withColumn(column, F.filter(all_kinds, lambda c: (c["kind"] != KINDS.index("card")) | (c["shape"] == 1)))
+    return docs.withColumn(column, F.filter(F.concat(*[_found(kind, whole) for kind in KINDS]), lambda c: c["format"].isNotNull()))
 
 
-def learn(found: DataFrame, column: str = "candidates", rounds: int = 40) -> dict | None:
-    """Labeler reliabilities by expectation maximisation, then a logistic classifier on the likelihoods."""
-    each = found.select(F.explode(column).alias("c")).select("c.kind", *[F.col(f"c.{k}").alias(k) for k in LABELERS])
-    patterns = [(r["kind"], [r[k] for k in LABELERS], r["n"]) for r in each.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()]
-    if not patterns:
-        return None
-    patterns.sort()
-    likely = [min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(v)))) for _, v, _ in patterns]
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def expectation_maximisation(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, rounds: int = 40, drawn: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """How likely each pattern is personal data, and the labelers' rates of right votes: [kind, labeler, side (not, is)].
+
+    A kind's rates are drawn towards those over all kinds with the weight of ``drawn`` candidates, and these towards
+    four fifths, so labelers start out better than chance.  Patterns come with their kind, votes and count.
+    """
+    likely = np.clip(0.5 + votes.sum(axis=1) / (2 * votes.shape[1]), 0.05, 0.95)
+    each = np.unique(kinds)
+    right = np.full((kinds.max() + 1, votes.shape[1], 2), 0.8)
     for _ in range(rounds):
-        # M: shares of personal data by kind, and the labelers' rates of right votes on either side, smoothed.
-        prior = {k: (1 + sum(n * p for (kk, _, n), p in zip(patterns, likely, strict=True) if kk == k)) / (2 + sum(n for kk, _, n in patterns if kk == k)) for k in {k for k, _, _ in patterns}}
-        right = []
-        for j in range(len(LABELERS)):
-            hit, of = [4.0, 4.0], [5.0, 5.0]
-            for (_, v, n), p in zip(patterns, likely, strict=True):
-                if v[j]:
-                    of[1] += n * p
-                    of[0] += n * (1 - p)
-                    hit[v[j] > 0] += n * (p if v[j] > 0 else 1 - p)
-            right.append([hit[0] / of[0], hit[1] / of[1]])
+        # M: the rates over all kinds, then by kind, and each kind's share of personal data.
+        side = np.stack([1 - likely, likely], axis=1) * counts[:, None]
+        correct = np.stack([votes < 0, votes > 0], axis=2)
+        voted = (votes != 0)[:, :, None]
+        hit, of = correct * side[:, None, :], voted * side[:, None, :]
+        pooled = (4 + hit.sum(axis=0)) / (5 + of.sum(axis=0))
+        prior = np.full(kinds.max() + 1, 0.5)
+        for k in each:
+            here = kinds == k
+            right[k] = (drawn * pooled + hit[here].sum(axis=0)) / (drawn + of[here].sum(axis=0))
+            prior[k] = (1 + side[here, 1].sum()) / (2 + counts[here].sum())
         # E
-        likely = []
-        for k, v, _ in patterns:
-            odds = math.log(prior[k] / (1 - prior[k]))
-            for j, vote in enumerate(v):
-                if vote:
-                    yes = right[j][1] if vote > 0 else 1 - right[j][1]
-                    no = 1 - right[j][0] if vote > 0 else right[j][0]
-                    odds += math.log(yes / no)
-            likely.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
-    return {"reliability": dict(zip(LABELERS, right, strict=True)), **_span_classifier(patterns, likely)}
-
-
-def _span_classifier(patterns: list, likely: list[float], steps: int = 200, rate: float = 1.0) -> dict:
-    """Logistic regression of the likelihoods on the votes and the kind."""
-    total = sum(n for _, _, n in patterns)
-    weights, bias = [[0.0, 0.0] for _ in LABELERS], {k: 0.0 for k, _, _ in patterns}
+        r = np.clip(right[kinds], 1e-6, 1 - 1e-6)
+        odds = np.where(votes > 0, np.log(r[:, :, 1] / (1 - r[:, :, 0])), np.where(votes < 0, np.log((1 - r[:, :, 1]) / r[:, :, 0]), 0.0))
+        likely = _sigmoid(np.log(prior / (1 - prior))[kinds] + odds.sum(axis=1))
+    return likely, right
+
+
+def _columns(kinds: np.ndarray, votes: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The classifier's inputs: a place for each kind, each labeler's yes and no, and each value of each feature."""
+    parts = [kinds[:, None] == np.arange(len(KINDS))]
+    parts += [votes[:, j : j + 1] == np.array([-1, 1]) for j in range(votes.shape[1])]
+    parts += [features[:, j : j + 1] == np.arange(n) for j, n in enumerate(FEATURES.values())]
+    return np.concatenate(parts, axis=1).astype(float)
+
+
+def span_classifier(kinds: np.ndarray, votes: np.ndarray, features: np.ndarray, counts: np.ndarray, likely: np.ndarray, steps: int = 500, rate: float = 2.0) -> np.ndarray:
+    """The weights of a logistic regression of the likelihoods on votes and features, by gradient descent."""
+    x, share = _columns(kinds, votes, features), counts / counts.sum()
+    weights = np.zeros(x.shape[1])
     for _ in range(steps):
-        step, shift = [[0.0, 0.0] for _ in LABELERS], dict.fromkeys(bias, 0.0)
-        for (k, v, n), p in zip(patterns, likely, strict=True):
-            z = bias[k] + sum(weights[j][x > 0] for j, x in enumerate(v) if x)
-            error = n / total * (1 / (1 + math.exp(-max(-30, min(30, z)))) - p)
-            shift[k] += error
-            for j, x in enumerate(v):
-                if x:
-                    step[j][x > 0] += error
-        for j in range(len(LABELERS)):
-            for s in (0, 1):
-                weights[j][s] -= rate * (step[j][s] + 1e-4 * weights[j][s])
-        for k in bias:
-            bias[k] -= rate * shift[k]
-    return {"weights": weights, "bias": bias}
-
-
-def _accepted(c: Column, model: dict | None) -> Column:
-    if model is None:
-        return c["base"]
-    z = F.lit(0.0)
-    for k, b in model["bias"].items():
-        z = z + F.when(c["kind"] == k, F.lit(b)).otherwise(0.0)
-    for j, name in enumerate(LABELERS):
-        z = z + F.when(c[name] > 0, F.lit(model["weights"][j][1])).when(c[name] < 0, F.lit(model["weights"][j][0])).otherwise(0.0)
-    return c["base"] | ((c["kind"] >= len(BASE)) & (z >= 0))
+        weights -= rate * (x.T @ (share * (_sigmoid(x @ weights) - likely)) + 1e-4 * weights)
+    return weights
+
+
+def learn(found: DataFrame, column: str = "candidates") -> dict | None:
+    """Labeler reliabilities by expectation maximisation, then a logistic classifier on the likelihoods."""
+    names = ["kind", *LABELERS, *FEATURES]
+    each = found.select(F.explode(column).alias("c")).select(*[F.col(f"c.{k}").alias(k) for k in names])
+    rows = sorted(tuple(r) for r in each.groupBy(*names).agg(F.count("*").alias("n")).collect())
+    if not rows:
+        return None
+    table = np.array(rows, np.int64)
+    kinds, votes, features, counts = table[:, 0], table[:, 1 : 1 + len(LABELERS)], table[:, 1 + len(LABELERS) : -1], table[:, -1].astype(float)
+    likely, right = expectation_maximisation(kinds, votes, counts)
+    reliability = {KINDS[k]: {name: right[k, j].tolist() for j, name in enumerate(LABELERS)} for k in np.unique(kinds)}
+    return {"reliability": reliability, "weights": span_classifier(kinds, votes, features, counts, likely).tolist()}
+
+
+def _score(c: Column, model: dict) -> Column:
+    """The classifier's log odds of a candidate."""
+    left = iter(model["weights"])
+
+    def table(n: int) -> Column:
+        return F.array(*[F.lit(next(left)) for _ in range(n)])
+
+    z = F.get(table(len(KINDS)), c["kind"].cast("int"))
+    for name in LABELERS:
+        no, yes = next(left), next(left)
+        z = z + F.when(c[name] > 0, F.lit(yes)).when(c[name] < 0, F.lit(no)).otherwise(F.lit(0.0))
+    for name, n in FEATURES.items():
+        z = z + F.get(table(n), c[name].cast("int"))
+    return z
+
+
+def _before_and_after(spans: Column, body) -> Column:
+    """``body`` of the furthest end among the spans so far, and the nearest start among those still to come, by place.
+
+    Spans are in order of their start; ends of spans that do not count are -1, starts of such the largest number.
+    """
+    ends = running(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(-1).cast("long"))), lambda a, b: F.greatest(a, b))
+    starts = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(F.lit((1 << 63) - 1)))), lambda a, b: F.least(a, b)))
+    return let(ends, lambda e: let(starts, lambda s: body(e, s)))
 
 
 def decide(found: DataFrame, model: dict | None, column: str = "candidates", spans: str = "spans") -> DataFrame:
     """``found`` with ``spans``: the accepted candidates (start, kind, end, base), by start and kind."""
 
-    def chosen(cands: Column) -> Column:
-        base = F.filter(cands, lambda c: c["base"])
-        return let(base, lambda b: F.filter(cands, lambda c: c["base"] | (_accepted(c, model) & ~F.exists(b, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"])))))
+    def slim(c: Column) -> Column:
+        return F.struct(c["start"], c["kind"], c["end"], c["base"])
 
-    slim = F.transform(chosen(F.col(column)), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"]))
-    return found.withColumn(spans, F.array_sort(slim))
+    def accepted(c: Column) -> Column:
+        return c["base"] if model is None else c["base"] | ((c["kind"] >= len(BASE)) & (_score(c, model) >= 0))
+
+    def apart(ordered: Column) -> Column:
+        # A looser span stays where no base span before it ends in it and none after it starts in it.
+        def free(ends: Column, starts: Column) -> Column:
+            return F.filter(ordered, lambda c, i: c["base"] | ((F.get(ends, i) <= c["start"]) & (F.get(starts, i) >= c["end"])))
+
+        return F.when(F.exists(ordered, lambda c: ~c["base"]), _before_and_after(ordered, free)).otherwise(ordered)
+
+    taken = F.array_sort(F.transform(F.filter(F.col(column), accepted), slim))
+    return found.withColumn(spans, let(taken, apart))
 
 
 def kind_name(kind: Column) -> Column:
@@ -210,19 +285,34 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of the pieces that a text is cut into before parts of it are taken out.
+_PIECE = 4096
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text cut into pieces."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor((end - 1) / _PIECE).cast("int")
+    at, to = (start % _PIECE + 1).cast("int"), (end - F.floor((end - 1) / _PIECE) * _PIECE).cast("int")
+    long = F.concat(F.substring(F.get(pieces, first), at, F.lit(_PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.left(F.get(pieces, last), to))
+    return F.when(end <= start, "").when(first == last, F.substring(F.get(pieces, first), at, (end - start).cast("int"))).otherwise(long)
+
+
 def redact(docs: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; spans that overlap become one."""
+    whole = F.col(text)
+
+    def made(s: Column, pieces: Column, ends: Column) -> Column:
+        # What stands before a span and its mark; nothing for a span that starts within an earlier one.
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long"))
+            return F.when(x["start"] >= before, F.concat(_part(pieces, before, x["start"]), F.lit("["), F.upper(kind_name(x["kind"])), F.lit("]"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        whole = F.col(text)
-        apart = s["start"] >= acc["at"]
-        gap = F.substring(whole, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(apart, F.concat(acc["parts"], F.array(gap, F.concat(F.lit("["), F.upper(kind_name(s["kind"])), F.lit("]"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+        return F.concat(F.array_join(F.transform(s, piece), ""), _part(pieces, F.element_at(ends, -1), F.length(whole).cast("long")))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text)))
+    cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    redacted = let(cut, lambda pieces: let(ends, lambda e: made(F.col(spans), pieces, e)))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, redacted).otherwise(whole))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
