@@ -93,7 +93,7 @@ def test_index_finds_all_within_the_radius():
     index = decontam.Items.of(rows)
     probes = index.prints[:100].copy()
     for k in range(100):
-        for bit in rng.choice(64, k % 14, replace=False):
+        for bit in rng.choice(64, k % 18, replace=False):
             probes[k] ^= np.uint64(1) << np.uint64(bit)
     near = np.bitwise_count(probes[:, None] ^ index.prints[None, :]) <= decontam.RADIUS
     assert set(zip(*index.within(probes), strict=True)) == set(zip(*np.nonzero(near), strict=True))

@@ -9,7 +9,9 @@ threshold.
 
 Windows that share no shingle with any item cannot pass the verification; a bitmap of the items' shingles tells
 where the others are, and only those are fingerprinted.  A text somewhat shorter than an item is one window.
-Items are sent to the tasks in blocks of ``BLOCK_WORDS`` words; a larger benchmark takes more passes.
+Items are sent to the tasks in blocks of at most about ``BLOCK_WORDS`` words and ``BLOCK_ITEMS`` items, which bounds
+an index by about 100 MB.  A larger benchmark takes a pass for each block, whose results are written before the
+next block is sent.
 
 Defined cases: null and empty texts match nothing; items without a word are left out; items with fewer words than
 a shingle are compared as one shingle.  Repeated rows and repeated items each get their matches.
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import small_batches
+from wareflow.llm.shared import saved, small_batches
 from wareflow.llm.words import LOWER, shingles, span_hashes, spans
 
-SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 11, 4
-#: Words of the benchmark that one broadcast holds, about.
-BLOCK_WORDS = 1_000_000
+SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 15, 4
+#: Words and items of the benchmark that one broadcast holds, about.
+BLOCK_WORDS, BLOCK_ITEMS = 1_000_000, 5_000
 _MAP_BITS = 22
 #: Words of a text that are fingerprinted at once.
 _STRETCH = 8192
@@ -90,7 +92,7 @@ class Items:
             value = prints >> np.uint64(width * block) & np.uint64((1 << width) - 1)
             for flip in near:
                 keys.append((value ^ flip).astype(np.int64) + (block << width))
-                listed.append(np.arange(len(kept)))
+                listed.append(np.arange(len(kept), dtype=np.int32))
         keys, listed = np.concatenate(keys), np.concatenate(listed)
         order = np.argsort(keys, kind="stable")
         starts = np.zeros((BLOCKS << width) + 1, np.int64)
@@ -178,38 +180,45 @@ def _stretches(hits: np.ndarray, reach: int, total: int):
 
 
 def _blocks(items: DataFrame, key: str, text: str):
-    """The benchmark as lists of (id, text) of a bounded number of words each."""
+    """The benchmark as lists of (id, text) of a bounded number of words and items each."""
     rough = F.coalesce(F.length(text), F.lit(0)) / 4
-    blocks = max(1, math.ceil((items.agg(F.sum(rough)).first()[0] or 0) / BLOCK_WORDS))
+    words, rows = items.agg(F.sum(rough), F.count(F.lit(1))).first()
+    blocks = max(1, math.ceil((words or 0) / BLOCK_WORDS), math.ceil(rows / BLOCK_ITEMS))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64(key, text), F.lit(blocks)) == k) if blocks > 1 else items
         yield [(r[0], r[1]) for r in part.select(key, text).toLocalIterator()]
 
 
-def matched(docs: DataFrame, items: DataFrame, text: str = "text", column: str = "matches", percent: int = PERCENT, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``column``: for each item that a text contains, (item, likeness, first_word, n_words)."""
-    kind = "array<struct<item: bigint, likeness: double, first_word: int, n_words: int>>"
+_MATCHES = "array<struct<item: bigint, likeness: double, first_word: int, n_words: int>>"
 
-    def against(rows: list[tuple]) -> Column | None:
-        index = Items.of(rows)
-        if index is None:
-            return None
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.arrow_udf(kind)
-        def find(texts: pa.Array) -> pa.Array:
-            index, ends, flat = sent.value, [0], []
-            for t in texts:
-                flat += [(index.ids[i], *m) for i, m in sorted(index.matches(t.as_py(), percent).items())]
-                ends.append(len(flat))
-            fields = [pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int32(), pa.int32()))]
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["item", "likeness", "first_word", "n_words"]))
+def _against(docs: DataFrame, index: Items, text: str, percent: int) -> Column:
+    """The matches of each whole text with a block of the benchmark."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf(_MATCHES)
+    def find(texts: pa.Array) -> pa.Array:
+        index, ends, flat = sent.value, [0], []
+        for t in texts:
+            flat += [(index.ids[i], *m) for i, m in sorted(index.matches(t.as_py(), percent).items())]
+            ends.append(len(flat))
+        fields = [pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int32(), pa.int32()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["item", "likeness", "first_word", "n_words"]))
 
-        return find(F.col(text))
+    return find(F.col(text))
 
+
+def matched(docs: DataFrame, items: DataFrame, text: str = "text", column: str = "matches", percent: int = PERCENT, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with ``column``: for each item that a text contains, (item, likeness, first_word, n_words)."""
     small_batches(docs.sparkSession)
-    found = [c for c in (against(rows) for rows in _blocks(items, item_key, item_text)) if c is not None]
-    return docs.withColumn(column, F.concat(*found) if found else F.array().cast(kind))
+    found, waiting = docs.withColumn(column, F.array().cast(_MATCHES)), False
+    for rows in _blocks(items, item_key, item_text):
+        index = Items.of(rows)
+        if index is not None:
+            # One block's index at a time: what the block before found is written first.
+            found = saved(found) if waiting else found
+            found, waiting = found.withColumn(column, F.concat(column, _against(found, index, text, percent))), True
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
