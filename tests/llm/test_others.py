@@ -138,7 +138,7 @@ def test_warc_records_and_files(spark, tmp_path):
     warc.written(warc.derived(responses), f"{tmp_path}/w")
     back = warc.read(spark, f"{tmp_path}/w").collect()
     assert all(r.intact for r in back)
-    assert {(r.headers["WARC-Record-ID"], r.headers["WARC-Refers-To"], r.block) for r in back} == {(r.record_id, r.refers_to, r.block) for r in rows}
+    assert {(r.headers["WARC-Record-ID"], r.headers["WARC-Refers-To"], r.text) for r in back} == {(r.record_id, r.refers_to, r.block) for r in rows}
     assert warc.derived(responses.limit(0)).count() == 0
 
 

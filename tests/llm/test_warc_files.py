@@ -1,0 +1,82 @@
+"""WARC files whose blocks hold separators, gzip members, both versions, and the query against a version by hand."""
+
+from __future__ import annotations
+
+import gzip
+import hashlib
+from html.parser import HTMLParser
+
+from wareflow.llm import warc
+
+
+def record(version, block, more="", length=None):
+    size = len(block) if length is None else length
+    return f"WARC/{version}\r\nWARC-Type: response\r\n{more}Content-Length: {size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_blocks_may_hold_separators_and_versions(spark, tmp_path):
+    blocks = [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"", b"x\r\n\r\n\r\n\r\ny", bytes(range(256)), "t\u00e9xt \u65e5".encode()]
+    (tmp_path / "plain.warc").write_bytes(b"".join(record("1.1" if k % 2 else "1.0", b) for k, b in enumerate(blocks)))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(record("1.1", b)) for b in blocks))
+    whole = b"".join(record("1.0", b) for b in blocks)
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "split.warc.gz").write_bytes(b"".join(gzip.compress(whole[k : k + 50]) for k in range(0, len(whole), 50)))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 * len(blocks) and all(r.intact for r in rows)
+    assert sorted(bytes(r.block) for r in rows) == sorted(4 * blocks)
+    assert {r.text for r in rows if bytes(r.block) == blocks[-1]} == {"t\u00e9xt \u65e5"}
+
+
+def test_damaged_files(spark, tmp_path):
+    folded = "X-Note: one\r\n two\r\ncontent-type: a:b\r\n"
+    data = b"junk\r\n" + record("1.1", b"good", folded) + b"more junk\r\n" + record("1.1", b"no length").replace(b"Content-Length: 9\r\n", b"") + record("1.1", b"cut", length=50)
+    (tmp_path / "x.warc").write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert [bytes(r.block)[:9] for r in rows] == [b"good", b"no length", b"cut\r\n\r\n"] and [r.intact for r in rows] == [True, False, False]
+    assert rows[0].headers["X-Note"] == "one two" and rows[0].headers["content-type"] == "a:b"
+
+
+class _Text(HTMLParser):
+    BREAKS = {"p", "div", "h1", "li", "ul", "article", "nav", "footer", "br", "html", "body"}
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "script", "style", "title")
+        self.parts.append("\n" if tag in self.BREAKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "script", "style", "title")
+        self.parts.append("\n" if tag in self.BREAKS else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data.replace("\n", " "))
+
+
+def test_query_against_a_version_by_hand(spark, sf_dir):
+    def urn(*parts):
+        h = hashlib.md5("\n".join(parts).encode()).hexdigest()
+        return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+    sha = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    rows = {(r.page_id, r.record_type): r for r in warc.query(spark, sf_dir).collect()}
+    assert len(rows) == 2 * len(pages)
+    for p in pages:
+        headers = ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(p.html.encode())}"]
+        source = "\r\n".join(["HTTP/1.1 200 OK", *headers]) + "\r\n\r\n" + p.html
+        text = _Text()
+        text.feed(p.html)
+        lines = [" ".join(x.split()) for x in "".join(text.parts).split("\n")]
+        notes, plain = rows[p.page_id, "metadata"], rows[p.page_id, "conversion"]
+        for r, kind in ((notes, "metadata"), (plain, "conversion")):
+            assert (r.record_id, r.refers_to, r.target_uri) == (urn(str(p.page_id), p.url, kind), urn(str(p.page_id), p.url, "response"), p.url)
+            assert (r.source_digest, r.payload_digest, r.block_digest, r.content_length) == (sha(source), sha(p.html), sha(r.block), len(r.block.encode()))
+            assert list(r.source_headers) == headers
+        # Line ends within text count as white space of the line in one reading and as a new line in the other.
+        assert plain.block.split() == " ".join(x for x in lines if x).split()
+        assert [f"source-header: {h}" in notes.block for h in headers] == [True, True] and f"source-payload-digest: {sha(p.html)}" in notes.block

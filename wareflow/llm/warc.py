@@ -2,18 +2,23 @@
 
 Each response gives two records that refer to it by its record id: a metadata record with the page's title,
 language and outlinks, the response's HTTP headers and payload digest; and a conversion record with the page's
-plain text.  Both keep the target URI and date.  Records are DataFrame rows; ``written`` and ``read`` turn them
-into WARC files and back with Spark's text source.
+plain text.  Both keep the target URI and date.  Records are DataFrame rows; ``written`` makes WARC files of them with
+Spark's text source, and ``read`` reads WARC 1.0 and 1.1 files, plain or gzipped by record or whole.  A block is as
+long as its Content-Length says, whatever it holds.  A file is read by one task, which holds it whole: WARC files
+are of 1 GB by convention.
 
 Defined cases: a null or empty page is a response with an empty payload, whose conversion is empty too; a null
-URI is the empty one.  Record ids follow from key, URI and kind, so repeated rows have equal records.  A payload
-that holds the record separator itself reads back with ``intact`` false.
+URI is the empty one.  Record ids follow from key, URI and kind, so repeated rows have equal records.  A record that
+is cut off, or without a length, is read as far as it goes, with ``intact`` false; what stands between records is
+skipped.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,7 +83,8 @@ def derived(records: DataFrame) -> DataFrame:
     head, body = _split_head(F.col("block"))
     parts = records.select("key", "record_id", "target_uri", "date", head.alias("head"), body.alias("body"), _digest(F.col("block")).alias("source_digest"))
     parts = parts.select("*", _digest(F.col("body")).alias("payload_digest"), plain("body").alias("plain"))
-    lines = F.slice(F.split("head", _END), 2, 1_000_000)
+    head_lines = F.split("head", _END)
+    lines = F.slice(head_lines, F.lit(2), F.size(head_lines))
     links = F.regexp_extract_all("body", F.lit(r"(?i)<a\s[^>]*?href=[\"']?([^\"'\s>]+)"), F.lit(1))
     title = F.trim(F.regexp_replace(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
     language = F.regexp_extract("body", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)
@@ -122,15 +128,83 @@ def written(records: DataFrame, path: str) -> None:
     serialized(records).write.option("lineSep", _END + _END).text(path)
 
 
+_START = re.compile(rb"^WARC/1\.[01]\r?$", re.M)
+_BLANK = re.compile(rb"\r?\n\r?\n")
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """The data itself, or that of each gzip member."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+    while data[:2] == b"\x1f\x8b":
+        inflate = zlib.decompressobj(wbits=31)
+        try:
+            yield inflate.decompress(data)
+        except zlib.error:
+            return
+        data = inflate.unused_data.lstrip(b"\0")
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields; a line that starts with white space goes on from the one before."""
+    found: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = (x.strip() for x in line.split(":", 1))
+            found[name] = value
+    return found
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """The records of a WARC file: headers, block, and whether it is whole."""
+    waiting = b""
+
+    def of(buffer: bytes, last: bool) -> Iterator[tuple[int, tuple | None]]:
+        """Records and the places where they end."""
+        at = 0
+        while (start := _START.search(buffer, at)) and (blank := _BLANK.search(buffer, start.end())):
+            fields = _fields(buffer[start.start() : blank.start()])
+            length = next((v for k, v in fields.items() if k.lower() == "content-length"), "")
+            after = _START.search(buffer, blank.end())
+            end = blank.end() + int(length) if length.isdigit() else after.start() if after else len(buffer)
+            if end > len(buffer) and not last:
+                return
+            block = buffer[blank.end() : end]
+            yield min(end, len(buffer)), (fields, block, length.isdigit() and len(block) == int(length))
+            at = end
+
+    for member in _members(data):
+        waiting, done = waiting + member, 0
+        for done, record in of(waiting, False):  # noqa: B007
+            yield record
+        waiting = waiting[done:]
+    for _, record in of(waiting, True):
+        yield record
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: headers (map) and block, and whether its length is the stated one."""
-    raw = spark.read.option("lineSep", VERSION + _END).text(path).where(F.trim("value") != "")
-    at = F.locate(_END + _END, F.col("value"))
-    lines = F.split(F.substring(F.col("value"), F.lit(1), at - 1), _END)
-    headers = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1), F.substring(x, F.locate(": ", x) + 2, F.length(x)))))
-    rest = F.substring(F.col("value"), at + 4, F.length("value") - at - 7)
-    found = raw.select(headers.alias("headers"), rest.alias("block"))
-    return found.withColumn("intact", F.octet_length("block") == F.col("headers")["Content-Length"].cast("long"))
+    """Records of WARC files: headers (map), block (binary), text (the block as UTF-8) and intact (whether it is whole)."""
+    schema = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("intact", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for fields, block, whole in parsed(content.as_py() or b""):
+                    rows.append({"headers": list(fields.items()), "block": block, "intact": whole})
+                    size += len(block)
+                    if len(rows) >= 1000 or size >= 1 << 24:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = files.where("length > 0").select("content").mapInArrow(run, "headers map<string,string>, block binary, intact boolean")
+    return found.select("headers", "block", F.expr("try_validate_utf8(cast(block as string))").alias("text"), "intact")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
