@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm import bpe, decontam, neardup, pii, quality
-from wareflow.llm.shared import saved
+from wareflow.llm.shared import saved, shuffled_join
 
 
 def _carried(docs: DataFrame, *more: Column) -> DataFrame:
@@ -43,8 +43,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     changed = saved(gone.withColumn("repeated", F.lit(False)).union(repeated.withColumn("repeated", F.lit(True))))
     number = F.col("doc_id").cast("long")
     rows = _carried(docs, number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
-    once = rows.join(changed.where("repeated"), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
-    return rows.join(changed, key, "left_anti").select("row").union(once.select("row")).select("row.*")
+    kept = shuffled_join(rows, changed, key, "left_anti").select("row")
+    again = changed.where("repeated")
+    if not again.isEmpty():
+        once = shuffled_join(rows, again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        kept = kept.union(once.select("row"))
+    return kept.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, and digests of them and of what they decode to; empty and null texts have no tokens."""
     path = bpe.default_path()
     # Workers still hold what earlier stages left them, so they remember less here.
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, kept=300_000), path, kept=300_000)
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, kept=150_000), path, kept=150_000)
     return both.select("doc_id", "lang", "source", "ids", *bpe.digests(both))
 
 

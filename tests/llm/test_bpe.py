@@ -64,9 +64,8 @@ def test_one_look_up_a_byte_and_no_step_back():
         assert bytes(asked) == word
 
 
-def test_a_full_table_starts_anew(monkeypatch):
-    machine = bpe.ByteBpe(bpe.read_spec(PATH)).machine
-    monkeypatch.setattr(bpe, "MOST_ARCS", 20)
+def test_a_full_table_starts_anew():
+    machine = bpe.ByteBpe(bpe.read_spec(PATH), kept=20).machine
     for word in ("alpha beta gamma delta epsilon unhappinesses " * 3).split():
         assert machine.encode(word.encode()) == theirs(word)
         assert len(machine.table) <= 20 + len(word)

@@ -58,8 +58,8 @@ def byte_letters() -> dict[str, int]:
 class MergeAutomaton:
     """The deterministic automaton of a merge list, its labels being token ids."""
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
-        self.labels = labels
+    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], most: int | None = None):
+        self.labels, self.most = labels, most or MOST_ARCS
         #: By state: the state it was copied from, the step of the copy, and the labels it lost with the step of each.
         self.origin, self.copied_at, self.lost = [-1], [0], [{}]
         #: The state that a label leads to; for a merged label its left part and its step.
@@ -120,7 +120,7 @@ class MergeAutomaton:
         key = state << 32 | label
         known = self.known.get(key)
         if known is None:
-            if len(self.known) >= MOST_ARCS:
+            if len(self.known) >= self.most:
                 self.known.clear()
             known = self.known[key] = self._work_out(state, label)
         return known
@@ -180,7 +180,7 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path over ``word``: one transition a byte, then the labels from the last one back."""
-        if len(self.table) >= MOST_ARCS:
+        if len(self.table) >= self.most:
             self._start()
         look_up, at, ends = self.table.get, 0, []
         for byte in word:
@@ -200,7 +200,7 @@ class _WhiteSpaceBesideSpace(Exception):
 
 
 class ByteBpe:
-    """A byte-level BPE tokenizer file, compiled; ``kept`` bounds the chunks whose ids are remembered."""
+    """A byte-level BPE tokenizer file, compiled; ``kept`` bounds the chunks whose ids are remembered, and the table."""
 
     def __init__(self, spec: str, kept: int = KEPT):
         spec = json.loads(spec)
@@ -209,7 +209,7 @@ class ByteBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         as_bytes = [tuple(bytes(letters[c] for c in part) for part in pair) for pair in pairs]
         self.labels = {i: b for b, i in vocab.items()}
-        self.machine = MergeAutomaton(self.labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in as_bytes])
+        self.machine = MergeAutomaton(self.labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in as_bytes], min(kept, MOST_ARCS))
         added = sorted(spec.get("added_tokens") or [], key=lambda t: -len(t["content"]))
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None

@@ -13,6 +13,9 @@ Equal texts have equal fingerprints.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,46 +79,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
-def _place(key: Column, bounds: list[float], low: int, high: int) -> Column:
-    """How many of the descending bounds are over the key, found by halving."""
-    if low >= high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(key < bounds[middle], _place(key, bounds, middle + 1, high)).otherwise(_place(key, bounds, low, middle))
+def _over(bounds: list[int], key: Column) -> Column:
+    """How many of the descending bounds are over the key; by steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    firsts, every = (F.array(*[F.lit(b) for b in x]) for x in (bounds[::step], bounds))
+    coarse = F.size(F.filter(firsts, lambda b: b > key))
+    # The last step whose first bound is over the key is gone through.
+    rest = F.slice(every, F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(rest, lambda b: b > key)))
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
     """``docs`` with next_<column> of the row that follows in descending order of the key; the first follows the last.
 
-    Rows go to ranges of the key, of about equal size, by bounds from a quantile sketch.  The rows at the head of
-    a range are also sent to the one before it, so that each range has what follows its last row.  Rows of one key
-    follow each other by a hash of the columns; null keys come last.
+    Rows go to ranges of about equal size, by bounds from a quantile sketch of the key; a key that takes up several
+    ranges is dealt over them by a hash of the row.  The head row of a range is also sent to the one before it, so
+    that each range has what follows its last row.  Rows of one key follow each other by that hash; null keys come
+    last.
     """
     spark = docs.sparkSession
+    # Several ranges a shuffle partition, as they are dealt out by hash; that number grows with the cluster's setting.
+    parts = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    # Several ranges a shuffle partition, as they are dealt out by hash.
-    parts = max(2, min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ids = docs.select(place.alias("k"))
-    cuts = ids.approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    bounds = sorted(set(cuts), reverse=True)
-    part = _place(place, bounds, 0, len(bounds))
-    heads = {r["p"]: r["k"] for r in ids.groupBy(_place(F.col("k"), bounds, 0, len(bounds)).alias("p")).agg(F.max("k").alias("k")).collect()}
-    order = sorted(heads)
-    first = [(order[i - 1], p, heads[p]) for i, p in enumerate(order)]
-    # Head rows: the range that gets a copy of them.
-    copies = F.lit(None).cast("int")
-    if first:
-        head = F.create_map(*[F.lit(p) if x == 0 else F.struct(F.lit(k).alias("k"), F.lit(before).alias("to")) for before, p, k in first for x in (0, 1)])[F.col("_part")]
-        copies = F.when(head["k"] == F.col("_key"), head["to"])
-    last = order[-1] if order else 0
-    rows = docs.withColumns({"_key": place, "_part": part}).withColumn("_copy", copies)
-    own = F.struct(F.col("_part").alias("to"), F.lit(0).alias("wraps"), F.lit(False).alias("copied"))
-    wraps = F.when((F.col("_part") == (order[0] if order else 0)) & (F.col("_copy") == last), 1).otherwise(0)
-    copy = F.struct(F.col("_copy").alias("to"), wraps.alias("wraps"), F.lit(True).alias("copied"))
-    dealt = rows.withColumn("_at", F.explode(F.when(F.col("_copy").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    window = Window.partitionBy("_at.to").orderBy("_at.wraps", F.desc("_key"), F.xxhash64(*columns), "_at.copied")
-    found = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
-    return found.where(~F.col("_at.copied")).drop("_key", "_part", "_copy", "_at")
+    plain = docs.select(F.struct("*").alias("row"), place.alias("key"), F.xxhash64(*columns).alias("hash"))
+    cuts = plain.approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    bounds = sorted((int(c) for c in cuts), reverse=True)
+    at = {b: (bounds.index(b), bounds.count(b)) for b in {b for b, c in Counter(bounds).items() if c > 1}}
+    part = _over(sorted(set(bounds), reverse=True), F.col("key"))
+    if at:
+        # Keys with several equal bounds: where their ranges start, and how many there are.
+        keys = F.map_from_arrays(F.array(*[F.lit(k) for k in at]), F.array(*[F.lit(n) for _, n in at.values()]))
+        share = F.col("hash") / F.lit(2.0**64) + F.lit(0.5)
+        split = F.least(F.floor(share * keys[F.col("key")]).cast("int"), keys[F.col("key")] - 1)
+        part = F.struct(part.alias("a"), F.coalesce(split, F.lit(0)).alias("b"))
+    else:
+        part = F.struct(part.alias("a"), F.lit(0).alias("b"))
+    rows = plain.withColumn("part", part)
+    # Descending keys and then rising hashes: the head has the largest (key, -hash).
+    found = rows.groupBy("part").agg(F.max(F.struct("key", F.bitwise_not("hash").alias("turned"))).alias("head")).collect()
+    heads = sorted((tuple(r["part"]), tuple(r["head"])) for r in found)
+    number = {p: i for i, (p, _) in enumerate(heads)}
+    if not heads:
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    width = max(b for (_, b), _ in heads) + 1
+    of = F.map_from_arrays(F.array(*[F.lit(a * width + b) for (a, b), _ in heads]), F.array(*[F.lit(i) for i in number.values()]))
+    rows = rows.withColumn("to", of[F.col("part.a") * width + F.col("part.b")])
+    keys, turned = (F.get(F.array(*[F.lit(h[k]) for _, h in heads]), F.col("to")) for k in (0, 1))
+    is_head = (F.col("key") == keys) & (F.bitwise_not("hash") == turned)
+    own = F.struct("to", F.lit(False).alias("wraps"), F.lit(False).alias("copied"))
+    # The first range's head follows the last range's rows, whatever its key.
+    copy = F.struct(F.pmod(F.col("to") - 1, F.lit(len(heads))).alias("to"), (F.col("to") == 0).alias("wraps"), F.lit(True).alias("copied"))
+    dealt = rows.select("row", "key", "hash", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    window = Window.partitionBy("at.to").orderBy("at.wraps", F.desc("key"), "hash", "at.copied")
+    beside = dealt.select("row", "at", *[F.lead(F.col("row")[c]).over(window).alias(f"next_{c}") for c in columns])
+    return beside.where(~F.col("at.copied")).select("row.*", *[f"next_{c}" for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

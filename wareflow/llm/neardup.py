@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import connected
-from wareflow.llm.shared import salted_join, saved, small_batches, tidy
+from wareflow.llm.shared import salted_join, saved, shuffled_join, small_batches, tidy
 from wareflow.llm.words import mix, shingles, word_hashes
 
 ROWS = 5
@@ -134,17 +134,24 @@ def _held(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) ->
 
     # Ids may be null, and their rows many, so the text's hash is a part of the key.
     place = [F.coalesce("id", F.lit(0)).alias("id"), "t"]
-    wanted = _named(docs, key, text).select(*place, "text").join(saved(nodes.select("node", "n", *place)), ["id", "t"])
+    wanted = shuffled_join(_named(docs, key, text).select(*place, "text"), nodes.select("node", "n", *place), ["id", "t"], "inner")
     one = wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return one.select("node", "n", "text", sketched("text").alias("bits"))
 
 
 def _beside(pairs: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with columns of both nodes; a node may be in any number of pairs."""
-    for side, other in (("a", "b"), ("b", "a")):
+    """Pairs (a, b) with columns of both nodes; a node may be in any number of pairs.
+
+    As in ``salted_join``, but the nodes' columns are looked up by the narrow pairs before the pairs get wide.
+    """
+    salts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = pairs.select("a", "b", *[F.pmod(F.xxhash64(other), F.lit(salts)).cast("int").alias(f"salt_{side}") for side, other in (("a", "b"), ("b", "a"))])
+    found = salted
+    for side in ("a", "b"):
         named = held.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        pairs = salted_join(pairs, named, [side], [other])
-    return pairs
+        here = salted.select(side, f"salt_{side}").distinct().join(named, side)
+        found = found.join(here, [side, f"salt_{side}"])
+    return found
 
 
 def _possible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -193,9 +200,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
     left = salted(placed).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
-    # Written tables have a known size, by which Spark picks the join before anything is shuffled.
-    right = saved(salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
-    members = saved(left.join(right, ["key", "salt"]).select("key", "size", "node"))
+    right = salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    members = saved(shuffled_join(left, right, ["key", "salt"], "inner").select("key", "size", "node"))
     marks = members.groupBy("key", "size").agg(*[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)])
     first = marks.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
     return saved(salted_join(members, first, ["key"], ["node"]))

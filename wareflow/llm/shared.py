@@ -77,6 +77,11 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str],
     return salted.join(here, [*on, "_salt"], how).drop("_salt")
 
 
+def shuffled_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with a table that grows with them: by shuffles at every size, so that plans do not change with it."""
+    return rows.join(table.hint("merge"), on, how)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's rows an Arrow batch to ``rows``: whole texts are long, and a worker holds a batch and its results."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
