@@ -1,12 +1,13 @@
 """Supervised text classification by averaged subword embeddings.
 
 A text's features are its words, its pairs of neighbouring words (a word next to itself is one feature, whichever
-the word) and its byte n-grams, each hashed into a table of learned vectors.  The mean of each kind's vectors,
+the word) and the character n-grams of its words, each hashed into a table of learned vectors.  N-grams are of code
+points and lie within a word and the white space on either side of it, which stands for the word's bounds.  The mean of each kind's vectors,
 averaged over the kinds, goes through a linear layer and a softmax.  Table and layer are trained in numpy by
 stochastic gradient descent on a bounded sample of labelled rows; scoring runs over all rows.
 
-Texts are read whole, in blocks of ``BLOCK`` bytes cut at white space where there is some; no feature crosses a
-cut.  A text without features has the mean vector zero, so its score is the bias alone.
+Texts are read whole, in blocks of ``BLOCK`` characters cut at white space where there is some; no feature crosses
+a cut.  A text without features has the mean vector zero, so its score is the bias alone.
 """
 
 from __future__ import annotations
@@ -31,37 +32,48 @@ class Shape:
     lower: bool = True
 
 
-def blocks(raw: bytes):
-    """Pieces of ``raw`` that make it up, each at most BLOCK bytes."""
+def blocks(text: str):
+    """Pieces of ``text`` that make it up, each at most BLOCK characters."""
     at = 0
-    while len(raw) - at > BLOCK:
-        cut = max(raw.rfind(b" ", at, at + BLOCK), raw.rfind(b"\n", at, at + BLOCK)) + 1
+    while len(text) - at > BLOCK:
+        cut = max(text.rfind(" ", at, at + BLOCK), text.rfind("\n", at, at + BLOCK)) + 1
         cut = cut if cut > at else at + BLOCK
-        yield raw[at:cut]
+        yield text[at:cut]
         at = cut
-    if at < len(raw):
-        yield raw[at:]
+    if at < len(text):
+        yield text[at:]
+
+
+def _grams(text: str, shape: Shape) -> list[np.ndarray]:
+    """The bucket numbers of the character n-grams of each size."""
+    wide = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    if shape.lower:
+        wide = np.where((wide >= 65) & (wide <= 90), wide + np.uint32(32), wide)
+    space = (wide == 32) | (wide >= 9) & (wide <= 13)
+    wide = np.where(space, np.uint32(32), wide)
+    down, found = np.uint32(32 - (shape.buckets.bit_length() - 1)), []
+    for n in shape.grams:
+        count = max(0, len(wide) - n + 1)
+        h, outside = np.zeros(count, np.uint32), np.zeros(count, bool)
+        for k in range(n):
+            h = (h + wide[k : k + count]) * np.uint32(0x01000193) ^ (h >> np.uint32(15))
+            if 0 < k < n - 1:
+                outside |= space[k : k + count]
+        found.append(((h[~outside] * np.uint32(0x9E3779B1)) >> down).astype(np.int64))
+    return found
 
 
 def features(text: str | None, shape: Shape):
     """For each block of the text, the bucket numbers of each kind."""
     bits = np.uint64(64 - (shape.buckets.bit_length() - 1))
-    for block in blocks((text or "").encode("utf-8", "surrogatepass")):
-        letters = np.frombuffer(block, np.uint8)
+    for block in blocks(text or ""):
+        letters = np.frombuffer(block.encode("utf-8", "surrogatepass"), np.uint8)
         if shape.lower:
             letters = LOWER[letters]
         words = span_hashes(letters, *spans(letters, SPACES))
         pairs = mix(words[:-1] * np.uint64(3) + words[1:])
         pairs[words[:-1] == words[1:]] = np.uint64(0x9E3779B97F4A7C15)
-        found = [(words >> bits).astype(np.int64), (pairs >> bits).astype(np.int64)]
-        wide = letters.astype(np.uint32)
-        down = np.uint32(32 - (shape.buckets.bit_length() - 1))
-        for n in shape.grams:
-            count = max(0, len(wide) - n + 1)
-            h = np.zeros(count, np.uint32)
-            for k in range(n):
-                h = (h + wide[k : k + count]) * np.uint32(0x01000193) ^ (h >> np.uint32(15))
-            found.append(((h * np.uint32(0x9E3779B1)) >> down).astype(np.int64))
+        found = [(words >> bits).astype(np.int64), (pairs >> bits).astype(np.int64), *_grams(block, shape)]
         yield [kind * shape.buckets + f for kind, f in enumerate(found)]
 
 
