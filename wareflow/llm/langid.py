@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wareflow.llm import fitting
 from wareflow.llm.subword import Shape, SubwordModel
 
-SHAPE = Shape(lower=True)
+SHAPE = Shape(lower=True, repeats=False)
 #: Rows of each language that training reads at most; fewer with more than ten languages (fitting.MAX_ROWS).
 SAMPLE_EACH = 600
 FOLDS, HELD_OUT = 4, 2

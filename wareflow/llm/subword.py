@@ -30,6 +30,8 @@ class Shape:
     dim: int = 8
     grams: tuple[int, int] = (3, 4)
     lower: bool = True
+    #: Whether a word next to itself is a feature: it tells of a text's quality, but not of its language.
+    repeats: bool = True
 
 
 def blocks(text: str):
@@ -72,7 +74,9 @@ def features(text: str | None, shape: Shape):
             letters = LOWER[letters]
         words = span_hashes(letters, *spans(letters, SPACES))
         pairs = mix(words[:-1] * np.uint64(3) + words[1:])
-        pairs[words[:-1] == words[1:]] = np.uint64(0x9E3779B97F4A7C15)
+        same = words[:-1] == words[1:]
+        pairs[same] = np.uint64(0x9E3779B97F4A7C15)
+        pairs = pairs if shape.repeats else pairs[~same]
         found = [(words >> bits).astype(np.int64), (pairs >> bits).astype(np.int64), *_grams(block, shape)]
         yield [kind * shape.buckets + f for kind, f in enumerate(found)]
 
