@@ -1,0 +1,89 @@
+"""Each stage on nulls, empty and very long texts, repeated rows, clashing ids, clashing columns and empty tables."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use for columns of their own.
+CLASHING = ["_p", "score", "predicted", "spans", "matches", "candidates", "row", "p", "t", "id", "key", "no_id", "repeated", "node", "ids", "decoded", "size"]
+ITEM = " ".join(f"item{k}" for k in range(30))
+WORDS = " ".join(f"word{k}" for k in range(40))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def table(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], SCHEMA)
+    return docs.select("*", *[F.concat(F.lit(f"{name}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(name) for name in CLASHING])
+
+
+def labelled(k):
+    return f"{WORDS} good prose number{k}" if k % 2 else f"bad bad bad spam{k} spam spam"
+
+
+LABELLED = [(k, labelled(k)) for k in range(40)]
+FILTERS = [corpus_pipeline.keep_quality, corpus_pipeline.keep_one_of_each_group, corpus_pipeline.drop_contaminated, corpus_pipeline.redact_personal_data]
+
+
+@pytest.mark.parametrize("stage", FILTERS, ids=lambda f: f.__name__)
+def test_columns_and_odd_rows(spark, folder, stage):
+    odd = [(101, None), (102, ""), (None, "no id here"), (None, None), (103, "x" * 100_000), (104, "word " * 30_000)]
+    docs = table(spark, LABELLED + odd)
+    out = stage(spark, docs, folder)
+    assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert [r[c] for c in CLASHING] == [f"{c}-{'none' if r.doc_id is None else r.doc_id}" for c in CLASHING]
+    empty = stage(spark, docs.limit(0), folder)
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_quality(spark, folder):
+    rows = [*LABELLED, (1, labelled(1)), (200, labelled(51)), (201, labelled(52)), (202, labelled(51))]
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, table(spark, rows), folder).collect())
+    assert kept == sorted([1, *range(1, 40, 2), 200, 202])
+
+
+def test_one_of_each_group_by_row(spark, folder):
+    other, third = WORDS.replace("word20 ", "new20 "), " ".join(f"else{k}" for k in range(40))
+    near = f"{WORDS} end"
+    rows = [(1, WORDS), (5, WORDS), (5, third), (7, near), (7, near), (8, third), (8, None), (8, None), (9, ""), (9, ""), (2, other), (2, other)]
+    rows += [(20, "alone in this table but twice"), (20, "alone in this table but twice"), (None, "a text without any id of its own"), (None, "a text without any id of its own"), (None, WORDS)]
+    rows += [(0, "zero and null have the same stand in"), (None, "zero and null have the same stand in")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, table(spark, rows), folder).collect()), key=str)
+    wanted = [(1, WORDS), (5, third), (8, None), (8, None), (9, ""), (9, ""), (20, "alone in this table but twice"), (None, "a text without any id of its own"), (0, "zero and null have the same stand in"), (2, other)]
+    # Edits of one word leave 31 of 41 five-word shingles shared, less than 0.8, so (2, other) is a group of its own.
+    assert got == sorted(wanted, key=str)
+
+
+def test_decontamination(spark, folder):
+    rows = [(1, f"before {ITEM} after"), (1, "clean"), (2, f"before {ITEM} after"), (2, f"before {ITEM} after"), (3, None), (3, None), (4, ITEM.upper())]
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, table(spark, rows), folder).collect()), key=str)
+    assert kept == sorted([(1, "clean"), (3, None), (3, None)], key=str)
+
+
+def test_redaction(spark, folder):
+    many = "a@b.com " * 20_000
+    rows = [(1, "mail a@b.com or +1 (415) 555-2671"), (1, "mail a@b.com or +1 (415) 555-2671"), (2, None), (3, ""), (4, many), (5, "nothing here")]
+    got = corpus_pipeline.redact_personal_data(spark, table(spark, rows), folder).collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got if r.doc_id != 2) == sorted([(1, "mail [EMAIL] or [PHONE]", 23)] * 2 + [(3, "", 0), (4, "[EMAIL] " * 20_000, 160_000), (5, "nothing here", 12)])
+    assert [(r.text, r.n_chars) for r in got if r.doc_id == 2] == [(None, None)]
+    bare = spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")
+    assert corpus_pipeline.redact_personal_data(spark, bare, folder).collect() == [(1, "[EMAIL]")]
+
+
+def test_encoding(spark, folder):
+    got = corpus_pipeline.encode_texts(spark, table(spark, [(1, "hi"), (1, "hi"), (2, None), (3, ""), (None, "x " * 50_000)]), folder)
+    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == [("1", 1), ("1", 1), ("2", 0), ("3", 0), ("None", 50_001)]
+    assert corpus_pipeline.encode_texts(spark, table(spark, []), folder).count() == 0
