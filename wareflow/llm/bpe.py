@@ -45,7 +45,7 @@ _MARKS = string.punctuation
 #: Chunks whose ids a worker remembers: about 250 bytes each.
 KEPT = 600_000
 #: Transitions that a worker's table holds before it starts anew: about 300 bytes each, states included.
-MOST_ARCS = 300_000
+MOST_ARCS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
