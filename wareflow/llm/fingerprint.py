@@ -91,19 +91,21 @@ def _over(bounds: list[int], key: Column) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(rest, lambda b: b > key)))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", ties: list[str] | None = None) -> DataFrame:
     """``docs`` with next_<column> of the row that follows in descending order of the key; the first follows the last.
 
     Rows go to ranges of about equal size, by bounds from a quantile sketch of the key; a key that takes up several
     ranges is dealt over them by a hash of the row.  The head row of a range is also sent to the one before it, so
-    that each range has what follows its last row.  Rows of one key follow each other by that hash; null keys come
-    last.
+    that each range has what follows its last row.  Rows of one key follow each other by that hash, which is of the
+    columns, or of ``ties``; null keys come last.
     """
     spark = docs.sparkSession
     # Several ranges a shuffle partition, as they are dealt out by hash; that number grows with the cluster's setting.
     parts = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    plain = docs.select(F.struct("*").alias("row"), place.alias("key"), F.xxhash64(*columns).alias("hash"))
+    # What the window reads stands beside the row: fields of a struct would be sent twice.
+    others, sent = [c for c in docs.columns if c not in columns], {c: f"c{i}" for i, c in enumerate(columns)}
+    plain = docs.select(F.struct(F.lit(0).alias("none"), *others).alias("row"), *[F.col(c).alias(n) for c, n in sent.items()], place.alias("key"), F.xxhash64(*(ties or columns)).alias("hash"))
     cuts = plain.approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts))
     bounds = sorted((int(c) for c in cuts), reverse=True)
     at = {b: (bounds.index(b), bounds.count(b)) for b in {b for b, c in Counter(bounds).items() if c > 1}}
@@ -131,10 +133,11 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     own = F.struct("to", F.lit(False).alias("wraps"), F.lit(False).alias("copied"))
     # The first range's head follows the last range's rows, whatever its key.
     copy = F.struct(F.pmod(F.col("to") - 1, F.lit(len(heads))).alias("to"), (F.col("to") == 0).alias("wraps"), F.lit(True).alias("copied"))
-    dealt = rows.select("row", "key", "hash", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    dealt = rows.select("row", *sent.values(), "key", "hash", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
     window = Window.partitionBy("at.to").orderBy("at.wraps", F.desc("key"), "hash", "at.copied")
-    beside = dealt.select("row", "at", *[F.lead(F.col("row")[c]).over(window).alias(f"next_{c}") for c in columns])
-    return beside.where(~F.col("at.copied")).select("row.*", *[f"next_{c}" for c in columns])
+    beside = dealt.select("row", *sent.values(), "at", *[F.lead(n).over(window).alias(f"next_{n}") for n in sent.values()])
+    whole = [(F.col(sent[c]) if c in sent else F.col("row")[c]).alias(c) for c in docs.columns]
+    return beside.where(~F.col("at.copied")).select(*whole, *[F.col(f"next_{n}").alias(f"next_{c}") for c, n in sent.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +146,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.withColumn("fingerprint", fingerprint(F.col("text")))
     half = F.floor(F.length("text") / 2).cast("int")
     # One sort by range carries the text; fingerprints of the edited texts are worked out after it.
-    beside = with_next(known, ["text", "fingerprint"])
+    beside = with_next(known, ["text", "fingerprint"], ties=["text"])
     edited = beside.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
