@@ -77,6 +77,14 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str],
     return salted.join(here, [*on, "_salt"], how).drop("_salt")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``table``, one row a key: broadcast where it has at most ``most`` rows, dealt by ``salted_join`` where it has more."""
+    table = saved(table)
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), on)
+    return salted_join(rows, table, on, by)
+
+
 def shuffled_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
     """``rows`` joined with a table that grows with them: by shuffles at every size, so that plans do not change with it."""
     return rows.join(table.hint("merge"), on, how)
