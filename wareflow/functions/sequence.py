@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str = "seq") -> DataFrame:
-    """``df`` with ``name``: the row's number from 1 within its keys, in ``order``; ``bucket`` must not fall along it."""
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    found = rows.withColumn("_inside", inside).join(starts, [*keys, "_bucket"])
-    return found.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_start", "_inside")
+    """``df`` with ``name``: the row's number from 1 within its keys, in ``order``; ``bucket`` must not fall along it.
+
+    No row is lost: null keys are a key of their own, and null buckets come first, as nulls do in ``order``.  Structs
+    hold them, since structs with equal fields are equal, nulls among them.
+    """
+    rows = df.withColumn("__key", F.struct(*keys)).withColumn("__bucket", F.struct(bucket))
+    counts = rows.groupBy("__key", "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(*order))
+    found = rows.withColumn("__inside", inside).join(starts, ["__key", "__bucket"])
+    return found.withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__key", "__bucket", "__start", "__inside")
 
 
 def rolling(df: DataFrame, keys: list[str], seq: str, width: int, columns: dict[str, Callable[[Window], Column]], block: int = 50_000) -> DataFrame:
