@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, codes, decontam, fingerprint, html, langid, neardup, packing, pii, quality, warc
+from wareflow.llm import bpe, codes, decontam, fingerprint, html, langid, merkle, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_personal_data": pii.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_near_duplicates": neardup.query,
     "op11_vector_codes": codes.query,
+    "op12_manifest": merkle.query,
 }
 #: A pair of documents that share no shingle links with nothing, so the join on shingles sees every link.
 NEAR_DUPLICATES = r"""WITH RECURSIVE
@@ -31,4 +32,4 @@ NEAR_DUPLICATES = r"""WITH RECURSIVE
   least AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
   SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, root = doc_id AS kept FROM sets JOIN least ON least.id = doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op10_near_duplicates": NEAR_DUPLICATES, "op11_vector_codes": codes.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_near_duplicates": NEAR_DUPLICATES, "op11_vector_codes": codes.ORACLE_SQL, "op12_manifest": merkle.ORACLE_SQL}
