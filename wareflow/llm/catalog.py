@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareflow.llm import bpe, codes, decontam, fingerprint, html, langid, merkle, neardup, packing, pii, quality, warc
+from wareflow.llm import bpe, codes, decontam, fingerprint, html, langid, merkle, monoid, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_personal_data": pii.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_duplicates": neardup.query,
     "op11_vector_codes": codes.query,
     "op12_manifest": merkle.query,
+    "op13_tree_bpe": monoid.query,
 }
 #: A pair of documents that share no shingle links with nothing, so the join on shingles sees every link.
 NEAR_DUPLICATES = r"""WITH RECURSIVE
