@@ -1,0 +1,114 @@
+"""Manifests against trees built in plain Python, and against SQL."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from wareflow.llm import merkle
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def rise(nodes, fanout):
+    """The root of nodes and, for each, its steps (siblings before, siblings after)."""
+    steps = [[] for _ in nodes]
+    place = list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+        for k, at in enumerate(place):
+            run, inside = runs[at // fanout], at % fanout
+            steps[k].append((run[:inside], run[inside + 1 :]))
+            place[k] = at // fanout
+        nodes = [h(*run) for run in runs]
+    return nodes[0], steps
+
+
+def plain(rows, fanout=2):
+    """Rows (doc_id, text, lang, source, n_chars) as the query gives them."""
+    leaves = {}
+    for doc_id, text, lang, source, n in rows:
+        tampered = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0
+        own, other = (h(*map(field, (doc_id, source, lang, m, text))) for m in (n, n + 1 if tampered and n is not None else n))
+        leaves.setdefault(lang, []).append((doc_id is not None, doc_id or 0, own, other))
+    langs = sorted(leaves, key=lambda x: (x is not None, (x or "").encode()))
+    inner = {}
+    for lang in langs:
+        leaves[lang].sort()
+        inner[lang] = rise([x[2] for x in leaves[lang]], fanout)
+    root, upper = rise([inner[lang][0] for lang in langs], fanout)
+    out = []
+    for k, lang in enumerate(langs):
+        for (known, doc_id, own, other), steps in zip(leaves[lang], inner[lang][1], strict=True):
+            at, proof = other, ""
+            for before, after in steps + upper[k]:
+                at, proof = h(*before, at, *after), proof + "".join(before + after)
+            out.append((doc_id if known else None, own, inner[lang][0], root, h(proof), at, at == root))
+    return sorted(out, key=str)
+
+
+def rows_of(n, seed, langs=("de", "en", None, "zz", "é")):
+    rng = random.Random(seed)
+    return [(i * 3, rng.choice(["", None, "text", "日本語 x", "y" * 5000]), rng.choice(langs), rng.choice([None, "s"]), rng.choice([None, i])) for i in range(n)]
+
+
+def got(spark, tmp_path, rows, sub="t"):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, leaf int, _idx int, tree string"
+    spark.createDataFrame([(*r, 1, 2, "x") for r in rows], schema).write.mode("overwrite").parquet(f"{tmp_path}/{sub}/documents.parquet")
+    return sorted((tuple(r) for r in merkle.query(spark, f"{tmp_path}/{sub}").collect()), key=str)
+
+
+def test_trees_of_many_sizes(spark, tmp_path):
+    rows = rows_of(61, 1) + [(1000 + i, "x", "only", None, i) for i in range(1)] + [(2000 + i, "x", "two", None, i) for i in range(2)] + [(3000 + i, "x", "five", None, i) for i in range(5)]
+    assert got(spark, tmp_path, rows) == plain(rows)
+
+
+def test_repeated_rows_null_ids_and_one_tree(spark, tmp_path):
+    rows = rows_of(20, 2, ("en",)) + [(None, "404", "en", None, 3)] * 13 + [(7, "same", "en", "s", 1)] * 6 + [(7, "other", "en", "s", 1)]
+    assert got(spark, tmp_path, rows) == plain(rows)
+
+
+def test_one_row_and_none(spark, tmp_path):
+    one = [(5, "x", None, None, None)]
+    assert got(spark, tmp_path, one) == plain(one)
+    found = got(spark, tmp_path, [], "e")
+    assert found == []
+
+
+@pytest.mark.parametrize("fanout", [3, 16])
+def test_other_fanouts(spark, fanout):
+    rows = rows_of(50, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    leaf = merkle.leaf(*[F.col(c) for c in merkle.FIELDS])
+    found = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), leaf, F.lit(1), fanout)
+    end = merkle.folded(F.col("leaf"), F.col("before"), F.col("after"), F.col("siblings"))
+    seen = found.select("order", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")), 256).alias("p"), end.alias("end")).collect()
+    assert all(r.end == r.root for r in seen)
+    assert sorted((r.order, r.leaf, r.subroot, r.root, r.p) for r in seen) == sorted(r[:5] for r in plain(rows, fanout))
+
+
+def test_a_changed_leaf_or_sibling_is_found(spark):
+    docs = spark.createDataFrame(rows_of(40, 4), "doc_id long, text string, lang string, source string, n_chars long")
+    found = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), merkle.leaf(F.col("doc_id"), F.col("text")), F.lit(None).cast("int"))
+    wrong = F.concat(F.lit(b"\x00" * 32), F.expr("substring(siblings, 33)"))
+    for start, siblings in ((F.sha2(F.lit("x"), 256), F.col("siblings")), (F.col("leaf"), wrong)):
+        assert found.where(merkle.folded(start, F.col("before"), F.col("after"), siblings) == F.col("root")).count() == 0
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        wanted = c.sql(merkle.ORACLE_SQL).df()
+    found = merkle.query(spark, sf_dir).toPandas()[list(wanted.columns)]
+    assert sorted(map(tuple, found.values.tolist())) == sorted(map(tuple, wanted.values.tolist()))
+    assert 0 < (~found.verified).sum() < len(found)

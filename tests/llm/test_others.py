@@ -37,8 +37,8 @@ def test_models_on_odd_texts(spark):
 
 
 def test_blocks_make_up_the_text():
-    for raw in (b"", b"ab cd", b"x" * (subword.BLOCK * 2 + 5), b"word " * 500_000):
-        assert b"".join(subword.blocks(raw)) == raw and all(len(b) <= subword.BLOCK for b in subword.blocks(raw))
+    for text in ("", "ab cd", "x" * (subword.BLOCK * 2 + 5), "word " * 500_000, "söz\n日本 " * 300_000, "é" * (subword.BLOCK + 1)):
+        assert "".join(subword.blocks(text)) == text and all(len(b) <= subword.BLOCK for b in subword.blocks(text))
 
 
 ITEM = "Seven quick foxes jump over nine lazy dogs while the old farmer counts his brown hens beside a red barn at dawn"
