@@ -35,12 +35,12 @@ from wareflow.llm.bpe import SPLIT, ByteBpe, _Remembered, packed
 from wareflow.llm.shared import small_batches
 
 #: Up to so many bytes are merged at once; longer words are halved.
-LEAF = 4
+LEAF = 8
+#: Leaves, windows and pairs of up to so many bytes come again and again.
+SHORT = 6
 #: Up to so many bytes a window is merged by looking through all its pairs; a wider one keeps them in a heap.
 NARROW = 96
-#: Tokens on each side of a seam that the first window holds.
-WINDOW = 1
-#: Chunks, leaves and pairs of tokens that a worker remembers, of each so many.
+#: Chunks, short strings and pairs of tokens that a worker remembers, of each so many.
 KEPT = 600_000
 
 
@@ -59,8 +59,8 @@ class TreeEncoder:
             raise ValueError(f"no token for bytes {missing}")
         self.ranks, self.kept = ranks, kept
         self.spelled = {i: b for b, i in ranks.items()}
-        self.stays: dict[tuple[bytes, bytes], bool] = {}
-        self.leaves: dict[bytes, list[bytes]] = {}
+        self.seams: dict[tuple[bytes, bytes], list[bytes] | None] = {}
+        self.short: dict[bytes, list[bytes]] = {}
 
     def encode(self, word: bytes) -> list[int]:
         ranks = self.ranks
@@ -70,45 +70,48 @@ class TreeEncoder:
     def tree(self, word: bytes) -> list[bytes]:
         """The tokens of ``word``: its halves' tokens, joined."""
         if len(word) <= LEAF:
-            return self._leaf(word)
+            return self.merged(word)
         half = len(word) // 2
         return self.joined(self.tree(word[:half]), self.tree(word[half:]))
 
-    def _leaf(self, word: bytes) -> list[bytes]:
-        found = self.leaves.get(word)
-        if found is None:
-            if len(self.leaves) >= self.kept:
-                self.leaves.clear()
-            found = self.leaves[word] = self.merged(word)
-        return found
-
-    def pair_stays(self, a: bytes, b: bytes) -> bool:
-        """Whether two tokens, merged by themselves, stay those two."""
-        found = self.stays.get((a, b))
-        if found is None:
-            if len(self.stays) >= self.kept:
-                self.stays.clear()
-            found = self.stays[a, b] = self.merged(a + b) == [a, b]
+    def seam(self, a: bytes, b: bytes) -> list[bytes] | None:
+        """What two tokens, merged by themselves, become; None where they stay those two."""
+        found = self.seams.get((a, b), self)
+        if found is self:
+            if len(self.seams) >= self.kept:
+                self.seams.clear()
+            found = self.merged(a + b)
+            found = self.seams[a, b] = None if found == [a, b] else found
         return found
 
     def joined(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of two neighbours together, from the encodings of each."""
-        if not left or not right or self.pair_stays(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        # The first window is a token on each side.
+        window, before, after = self.seam(left[-1], right[0]), 1, 1
+        if window is None:
             return left + right
-        before, after = WINDOW, WINDOW
         while True:
-            before, after = min(before, len(left)), min(after, len(right))
-            window = self.merged(b"".join(left[len(left) - before :] + right[:after]))
-            first = before == len(left) or self.pair_stays(left[len(left) - before - 1], window[0])
-            last = after == len(right) or self.pair_stays(window[-1], right[after])
+            first = before == len(left) or self.seam(left[-before - 1], window[0]) is None
+            last = after == len(right) or self.seam(window[-1], right[after]) is None
             if first and last:
-                return left[: len(left) - before] + window + right[after:]
-            before, after = before * (1 if first else 2), after * (1 if last else 2)
+                return left[:-before] + window + right[after:]
+            before, after = (before if first else min(2 * before, len(left))), (after if last else min(2 * after, len(right)))
+            window = self.merged(b"".join(left[-before:] + right[:after]))
 
     def merged(self, word: bytes) -> list[bytes]:
-        """Merging from single bytes: the lowest rank first, the leftmost of equals."""
-        if len(word) > NARROW:
-            return self._merged_long(word)
+        """Merging from single bytes: the lowest rank first, the leftmost of equals.  What short strings give is remembered."""
+        if len(word) > SHORT:
+            return self._merged_long(word) if len(word) > NARROW else self._merged_short(word)
+        found = self.short.get(word)
+        if found is None:
+            if len(self.short) >= self.kept:
+                self.short.clear()
+            found = self.short[word] = self._merged_short(word)
+        return found
+
+    def _merged_short(self, word: bytes) -> list[bytes]:
         get = self.ranks.get
         parts = [word[i : i + 1] for i in range(len(word))]
         over = 1 << 62
