@@ -116,9 +116,9 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = terms.top_terms(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.col("t.term").alias("terms"))
-    return lists.select("doc_id", terms.search_title(F.lit("Shop"), F.slice("terms", 1, 2)).alias("title"), F.array_join(terms.tags(F.col("terms")), ",").alias("tags"))
+    found = F.slice(terms.counted(F.col("text")), 1, 5)["term"]
+    rows = _table(spark, sf_dir, "documents").select("doc_id", found.alias("terms")).where(F.size("terms") > 0)
+    return rows.select("doc_id", terms.search_title(F.lit("Shop"), F.slice("terms", 1, 2)).alias("title"), F.array_join(terms.tags(F.col("terms")), ",").alias("tags"))
 
 
 def image_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,10 +66,15 @@ def item_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F.A to F.D with the context passed on."""
-    part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.concat(F.col("p_type"), F.lit("  "), F.col("p_name"), F.when(F.col("p_size") == 7, "\n weapon").otherwise("")).alias("body"))
-    found = steps.describe(part, "body", "brand")
-    return found.select("p_partkey", F.col("f_a.clean").alias("clean"), F.col("f_a.prohibited").alias("prohibited"), F.col("f_c.title").alias("title"), F.col("f_c.prohibited").alias("title_prohibited"), F.array_join("f_d", ",").alias("tags"))
+    """F.A to F.D with the context and the images passed on; some items have a weapon in the text, others in a picture."""
+    part = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.col("p_brand").alias("brand"),
+        F.concat(F.col("p_type"), F.lit("  "), F.col("p_name"), F.when(F.col("p_size") == 7, "\n weapon").otherwise("")).alias("body"),
+        F.when(F.col("p_size") > 3, F.array(F.lit("front"), F.when(F.col("p_size") == 9, "weapon-2").otherwise("back"))).alias("pictures"),
+    )
+    found = steps.describe(part, "body", "brand", "pictures")
+    return found.select("p_partkey", F.col("f_a.clean").alias("clean"), F.col("f_a.prohibited").alias("prohibited"), F.col("f_c.title").alias("title"), F.col("f_c.prohibited").alias("title_prohibited"), F.array_join("f_d", ",").alias("tags"), "error")
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,17 +141,90 @@ def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K0.10: workers by memory and failures, over suppliers as machines."""
-    memory, failed = (F.col("s_suppkey") % 32).cast("int"), (F.col("s_suppkey") % 3).cast("int")
-    size = F.lit(1)
-    for least, n in reversed(rescue.POOLS):
-        size = F.when(memory >= least, n).otherwise(size)
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.greatest(F.lit(1), F.floor(size / F.pow(F.lit(2), failed)).cast("int")).cast("long").alias("workers"))
+    memory, failed = F.col("s_suppkey") % 32, F.when(F.col("s_suppkey") % 5 > 0, (F.col("s_suppkey") % 3).cast("int"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", rescue.pool_size(memory, failed).alias("workers"))
 
 
 def rescued_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K0: gate, locate, inpaint, verify and roll back, over all images."""
-    found = steps.rescued(_images(spark, sf_dir).withColumnRenamed("path", "at"), "at", "kind")
-    return found.select("doc_id", F.col("n_boxes").cast("long").alias("n_boxes"), "kept", "status")
+    """K0: gate, locate, inpaint, verify what was made, and roll back, over all images; some fail in a model."""
+
+    def painted(xs: list) -> list:
+        if xs[0]["path"].endswith("13"):
+            raise OSError("no memory")
+        return skills.INPAINT.backend(xs)
+
+    inpaint = skills.Skill("inpaint", "string", painted, batch=1)
+    found = steps.rescued(_images(spark, sf_dir).withColumnRenamed("path", "at"), "at", "kind", inpaint=inpaint)
+    return found.select("doc_id", F.col("n_boxes").cast("long").alias("n_boxes"), "kept", "status", "error")
+
+
+def failed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F.y: where the scan of a batch fails or gives no verdict, the whole batch is unqualified, and no other one."""
+
+    def scan(xs: list) -> list:
+        if any(p.endswith("17") for p in xs[0]["paths"]):
+            raise TimeoutError("no answer")
+        return ["I would rather not" if any(p.endswith("29") for p in xs[0]["paths"]) else skills.REJECT_SCAN.backend(xs)[0]]
+
+    found = steps.reject_scan(_images(spark, sf_dir), "item", "doc_id", F.floor(F.col("doc_id") / 4096), "path", skills.Skill("scan", "string", scan, batch=1))
+    return verdicts.qualified(found).select("doc_id", "batch", "status", "error")
+
+
+def loose_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F.E.1: images of no item, and some without an order, are batched too."""
+    n = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.when(n % 4 > 0, F.floor(n / 100).cast("long")).alias("item"), F.when(n % 7 > 0, -n).alias("shown"))
+    return verdicts.batches(rows, "item", ["shown", "doc_id"], F.floor(F.col("shown") / 512)).select("doc_id", F.coalesce("item", F.lit(-1)).alias("item"), "batch", "position")
+
+
+def nested_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F.E.2: verdicts among nested objects, braces and escaped quotes in strings, prose with braces, and second verdicts."""
+    n = F.col("doc_id")
+    own = F.concat(F.lit('"reject_indices": ['), n.cast("string"), F.lit('], "reject_scores": [0.5]'))
+    shapes = [
+        F.concat(F.lit('The 5" frame: {"note": {"why": "a } brace", "deep": {"x": [1, {"y": 2}]}}, '), own, F.lit("} and {more}")),
+        F.concat(F.lit('{"verdict": {"quote": "she said \\"}{\\" twice", '), own, F.lit('}, "model": "m"}')),
+        F.concat(F.lit('{"about": "reject_indices"} {'), own, F.lit('} {"reject_indices": [7], "reject_scores": [1]}')),
+        F.concat(F.lit('{"reject_indices": [1], "reject_scores": [{"of": 2}], '), F.lit("never closed")),
+        F.concat(F.lit('a set {x, y} of braces, then {'), own, F.lit(', "back": "\\\\"}')),
+    ]
+    raw = F.element_at(F.array(*shapes), (n % 5 + 1).cast("int"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", verdicts.parse(raw).alias("v"))
+    return found.select("doc_id", F.coalesce(F.get("v.reject_indices", F.lit(0)), F.lit(-1)).alias("picked"), F.coalesce(F.get("v.reject_scores", F.lit(0)), F.lit(-1.0)).alias("score"))
+
+
+def untitled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I: items without a title are no duplicates of each other."""
+    title = F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 5 == 1, F.lit("  ")).otherwise(F.col("p_name"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", title.cast("string").alias("title"))
+    return items.dedup_titles(rows, "p_partkey", "title")
+
+
+def answers_by_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M0: JSON answers held against the skill's result type; what is not valid is asked again once and then kept."""
+    asked: dict[int, int] = {}
+
+    def backend(xs: list) -> list:
+        out = []
+        for x in xs:
+            k = int(x["doc_id"])
+            asked[k] = asked.get(k, 0) + 1
+            whole = '{"label": "l%d", "score": %d}' % (k, k % 100)
+            shapes = (whole, whole[:-1], '{"label": "l"}', '{"label": 5, "score": 1}', '{"label": "m%d", "score": 1, "more": {}}' % k, "[]")
+            # Every sixth document answers well when asked again.
+            out.append(whole if k % 36 >= 30 and asked[k] > 1 else shapes[k % 6])
+        return out
+
+    skill = skills.Skill("label", "struct<label: string, score: int>", backend, answers="json", retries=1)
+    found = skill.apply(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "made")
+    return found.select("doc_id", F.col("made.result.label").alias("label"), F.coalesce("made.result.score", F.lit(-1)).alias("score"), F.col("made.error").alias("error"), F.col("made.answer").alias("answer"), F.col("made.tries").alias("tries"))
+
+
+def null_stage_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AC1 and AC9: signals of no stage make a stage of their own."""
+    stage = F.col("user_id") % 4
+    rows = _table(spark, sf_dir, "events").where("event_type != 'view'").select("event_id", "ts", F.when(stage > 0, stage).alias("stage"), F.expr("event_type = 'error' and value > 60").alias("failed"))
+    return control.cap_path(control.fail_rates(rows, "stage", "ts", "event_id", "failed"), "stage").select(F.coalesce("stage", F.lit(-1)).alias("stage"), "decision", "fail_rate", "cap")
 
 
 def first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +298,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         price_table, category_model, translate_titles, first_numbers, distinct_title_words, item_steps, describe_items, reject_scan, rejected_images, reject_classes,
-        image_gate, rescue_boxes, rescue_residue, mask_boxes, pool_sizes, rescued_images, first_images, start_caps, stage_signals, last_caps, step_errors, manifest_changes,
+        image_gate, rescue_boxes, rescue_residue, mask_boxes, pool_sizes, rescued_images, failed_batches, loose_images, nested_verdicts, untitled_items,
+        answers_by_schema, null_stage_caps, first_images, start_caps, stage_signals, last_caps, step_errors, manifest_changes,
         hash_check, page_sites, secondary_terms,
     )
 }
@@ -233,8 +312,8 @@ def _list(values: tuple[str, ...]) -> str:
 _IMAGES_SQL = f"""images AS (SELECT doc_id, doc_id // 50 AS item, ({_list(KINDS)})[doc_id % 6 + 1] AS kind,
       CASE WHEN doc_id % 3 = 0 THEN 'reject-' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'mark-' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'sticky-' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN 'url-' ELSE '' END || doc_id AS path FROM documents)"""
 _RESIDUE = f"(doc_id % 4 = 1 OR doc_id % 13 < {len(rescue.RESIDUE_CLASSES)})"
-_DESCRIBED = """body AS (SELECT p_partkey, p_brand, p_type || '  ' || p_name || CASE WHEN p_size = 7 THEN chr(10) || ' weapon' ELSE '' END AS text FROM part),
-      cleaned AS (SELECT p_partkey, p_brand, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM body),
+_DESCRIBED = """body AS (SELECT p_partkey, p_brand, p_size, p_type || '  ' || p_name || CASE WHEN p_size = 7 THEN chr(10) || ' weapon' ELSE '' END AS text FROM part),
+      cleaned AS (SELECT p_partkey, p_brand, p_size, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM body),
       words AS (SELECT p_partkey, term, count(*) AS times FROM (SELECT p_partkey, unnest(string_split_regex(lower(clean), '[\\s.,]+')) AS term FROM cleaned) WHERE length(term) >= 4 GROUP BY 1, 2),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY times DESC, term) AS r FROM words),
       lists AS (SELECT p_partkey, string_agg(term, ' ' ORDER BY r) FILTER (r <= 2) AS main, string_agg(term, ',' ORDER BY r) FILTER (r <= 5) AS tags FROM ranked GROUP BY 1)"""
@@ -259,7 +338,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN p_size > 9 THEN p_brand ELSE 'no brand' END AS brand FROM part),
       kept AS (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY p_partkey) AS r FROM rows WHERE NOT contains(lower(body), 'brass') AND NOT contains(lower(body), 'tin'))
       SELECT p_partkey, title, CAST(price AS DOUBLE) AS price, body || chr(10) || 'Brand: ' || brand AS description FROM kept WHERE r = 1""",
-    "describe_items": f"""WITH {_DESCRIBED} SELECT c.p_partkey, clean, contains(lower(text), 'weapon') AS prohibited, substring(p_brand || ' ' || main, 1, 60) AS title, contains(lower(text), 'weapon') AS title_prohibited, tags
+    "describe_items": f"""WITH {_DESCRIBED} SELECT c.p_partkey, clean, contains(lower(text), 'weapon') AS prohibited, substring(p_brand || ' ' || main, 1, 60) AS title, p_size = 9 AS title_prohibited, tags, CAST(NULL AS VARCHAR) AS error
       FROM cleaned c JOIN lists USING (p_partkey)""",
     "reject_scan": f"""WITH {_IMAGES_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY doc_id) - 1 AS i FROM images)
       SELECT doc_id, item, i // 4 AS batch, CAST(i % 4 AS INTEGER) AS position, doc_id % 3 = 0 AS rejected, CAST(NULL AS VARCHAR) AS error FROM placed""",
@@ -273,11 +352,37 @@ ORACLE_SQL: dict[str, str] = {
       CASE WHEN {_RESIDUE} OR doc_id % 10 = 0 THEN 'rejected' ELSE 'rescued' END AS status FROM documents""",
     "mask_boxes": """WITH points AS (SELECT doc_id, doc_id * i * 3 % 101 AS x, doc_id * i * 7 % 101 AS y FROM documents, range(1, 8) t(i) WHERE i <= doc_id % 8)
       SELECT d.doc_id, CAST(coalesce(min(x), -1) AS INTEGER) AS x0, CAST(coalesce(min(y), -1) AS INTEGER) AS y0, CAST(coalesce(max(x), -1) AS INTEGER) AS x1, CAST(coalesce(max(y), -1) AS INTEGER) AS y1 FROM documents d LEFT JOIN points p USING (doc_id) GROUP BY 1""",
-    "pool_sizes": """SELECT s_suppkey, CAST(greatest(1, CASE WHEN s_suppkey % 32 >= 24 THEN 28 WHEN s_suppkey % 32 >= 12 THEN 16 WHEN s_suppkey % 32 >= 8 THEN 10 ELSE 1 END // CAST(pow(2, s_suppkey % 3) AS INTEGER)) AS BIGINT) AS workers FROM supplier""",
-    "rescued_images": f"""WITH {_IMAGES_SQL}, tried AS (SELECT *, kind IS NULL OR kind = 'photo' AS open, contains(path, 'mark') AS boxed FROM images),
-      done AS (SELECT *, open AND boxed AND NOT contains(path, 'sticky') AND NOT contains(path, 'url') AS saved FROM tried)
-      SELECT doc_id, CAST(CASE WHEN open AND boxed THEN 1 ELSE 0 END AS BIGINT) AS n_boxes, CASE WHEN saved THEN path || '.clean' ELSE path END AS kept,
-        CASE WHEN saved THEN 'rescued' WHEN open THEN 'rejected' ELSE 'given up' END AS status FROM done""",
+    "pool_sizes": """SELECT s_suppkey, CAST(greatest(1, CASE WHEN s_suppkey % 32 >= 24 THEN 28 WHEN s_suppkey % 32 >= 12 THEN 16 WHEN s_suppkey % 32 >= 8 THEN 10 ELSE 1 END // CAST(pow(2, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 3 ELSE 0 END) AS INTEGER)) AS BIGINT) AS workers FROM supplier""",
+    "rescued_images": f"""WITH {_IMAGES_SQL}, tried AS (SELECT *, kind IS NULL OR kind = 'photo' AS open, contains(path, 'mark') AS boxed, ends_with(path, '13') AS broken FROM images),
+      done AS (SELECT *, open AND boxed AND NOT broken AND NOT contains(path, 'sticky') AND NOT contains(path, 'url') AS saved FROM tried)
+      SELECT doc_id, CAST(CASE WHEN open AND boxed THEN 1 ELSE 0 END AS BIGINT) AS n_boxes, CASE WHEN saved THEN replace(path, 'mark-', '') || '.clean' ELSE path END AS kept,
+        CASE WHEN saved THEN 'rescued' WHEN open THEN 'rejected' ELSE 'given up' END AS status, CASE WHEN open AND boxed AND broken THEN 'inpaint: OSError: no memory' END AS error FROM done""",
+    "failed_batches": f"""WITH {_IMAGES_SQL}, placed AS (SELECT *, (row_number() OVER (PARTITION BY item ORDER BY doc_id) - 1) // 4 AS batch FROM images),
+      bad AS (SELECT *, bool_or(ends_with(path, '17')) OVER b AS late, bool_or(ends_with(path, '29')) OVER b AS mute FROM placed WINDOW b AS (PARTITION BY item, batch))
+      SELECT doc_id, batch, CASE WHEN late OR mute THEN 'unqualified' WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'ok' END AS status,
+        CASE WHEN late THEN 'TimeoutError: no answer' WHEN mute THEN 'no readable verdict' END AS error FROM bad""",
+    "loose_images": """WITH rows AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN doc_id // 100 END AS item, CASE WHEN doc_id % 7 > 0 THEN -doc_id END AS shown FROM documents),
+      placed AS (SELECT doc_id, item, row_number() OVER (PARTITION BY item ORDER BY shown NULLS FIRST, doc_id) - 1 AS i FROM rows)
+      SELECT doc_id, coalesce(item, -1) AS item, i // 4 AS batch, CAST(i % 4 AS INTEGER) AS position FROM placed""",
+    "nested_verdicts": "SELECT doc_id, CAST(CASE WHEN doc_id % 5 <> 3 THEN doc_id ELSE -1 END AS INTEGER) AS picked, CAST(CASE WHEN doc_id % 5 <> 3 THEN 0.5 ELSE -1 END AS DOUBLE) AS score FROM documents",
+    "untitled_items": r"""WITH rows AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE p_name END AS title FROM part)
+      SELECT p_partkey, title FROM rows WHERE coalesce(trim(title), '') = '' OR p_partkey IN (SELECT min(p_partkey) FROM rows GROUP BY trim(regexp_replace(lower(title), '\s+', ' ', 'g')))""",
+    "answers_by_schema": """WITH a AS (SELECT doc_id, doc_id % 6 AS k, doc_id % 36 >= 30 AS better, '{"label": "l' || doc_id || '", "score": ' || doc_id % 100 || '}' AS whole FROM documents),
+      r AS (SELECT *, k IN (0, 4) AS good FROM a)
+      SELECT doc_id, CASE WHEN k = 4 AND good THEN 'm' || doc_id WHEN good OR better THEN 'l' || doc_id END AS label, CAST(CASE WHEN k = 4 THEN 1 WHEN good OR better THEN doc_id % 100 ELSE -1 END AS INTEGER) AS score,
+        CASE WHEN NOT good AND NOT better THEN 'Invalid: ' || CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'missing: answer.score' WHEN 3 THEN 'type: answer.label is no string' ELSE 'type: answer is no object' END END AS error,
+        CASE WHEN NOT good AND NOT better THEN CASE k WHEN 1 THEN whole[:-2] WHEN 2 THEN '{"label": "l"}' WHEN 3 THEN '{"label": 5, "score": 1}' ELSE '[]' END END AS answer,
+        CAST(CASE WHEN good THEN 1 ELSE 2 END AS INTEGER) AS tries FROM r""",
+    "null_stage_caps": """WITH RECURSIVE signals AS (SELECT nullif(user_id % 4, 0) AS stage, event_id, ts, CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END AS failed FROM events WHERE event_type <> 'view'),
+      rates AS (SELECT stage, row_number() OVER s AS seq, count(*) OVER w AS n, sum(failed) OVER w AS bad FROM signals
+        WINDOW s AS (PARTITION BY stage ORDER BY ts, event_id), w AS (PARTITION BY stage ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+      steps AS (SELECT stage, seq // 5 AS decision, CAST(bad AS DOUBLE) / n AS fail_rate FROM rates WHERE seq % 5 = 0),
+      path AS (SELECT stage, CAST(0 AS BIGINT) AS decision, CAST(NULL AS DOUBLE) AS fail_rate, CAST(8 AS BIGINT) AS cap, false AS jumped FROM (SELECT DISTINCT stage FROM steps)
+        UNION ALL SELECT s.stage, s.decision, s.fail_rate,
+          CAST(CASE WHEN s.fail_rate > 0.30 THEN greatest(1, p.cap // 2) WHEN s.fail_rate >= 0.15 THEN greatest(1, p.cap * 4 // 5)
+            WHEN NOT p.jumped THEN greatest(p.cap, (p.cap + 64) // 2) ELSE least(64, greatest(p.cap + 1, p.cap * 5 // 4)) END AS BIGINT), p.jumped OR s.fail_rate < 0.15
+        FROM path p JOIN steps s ON s.stage IS NOT DISTINCT FROM p.stage AND s.decision = p.decision + 1)
+      SELECT coalesce(stage, -1) AS stage, decision, fail_rate, cap FROM path WHERE decision > 0""",
     "first_images": "SELECT p_partkey, '1-' || p_partkey || ',0-' || p_partkey || CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 1 THEN '.edited' ELSE '' END || ',2-' || p_partkey AS paths FROM part",
     "start_caps": "SELECT user_id % 12 AS stage, CAST(greatest(1, least(64, floor(60.0 * (count(*) / 100.0) / greatest(1, count(DISTINCT user_id))))) AS BIGINT) AS cap FROM events GROUP BY 1",
     "stage_signals": """WITH s AS (SELECT event_id, ts, user_id % 5 AS stage, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM events WHERE event_type NOT IN ('view', 'signup'))

@@ -13,27 +13,29 @@ from wareflow.functions import text as T
 UNMAPPED = "unmapped"
 
 
-def _beside(items: DataFrame, target: str, value: Column) -> DataFrame:
-    """The struct column ``row`` as columns, with ``target``, which replaces a column of that name."""
-    names = [f.name for f in items.schema["row"].dataType.fields if f.name.lower() != target.lower()]
-    return items.select(*[F.col("row")[n].alias(n) for n in names], value.alias(target))
+def _beside(items: DataFrame, made: Mapping[str, Column]) -> DataFrame:
+    """The struct column ``row`` as columns, with those of ``made``, which replace columns of their names."""
+    taken = {name.lower() for name in made}
+    names = [f.name for f in items.schema["row"].dataType.fields if f.name.lower() not in taken]
+    return items.select(*[F.col("row")[n].alias(n) for n in names], *[value.alias(name) for name, value in made.items()])
 
 
 def map_category(items: DataFrame, mapping: DataFrame, column: str, target: str = "category", model=None) -> DataFrame:
     """Step A: the category of each item by a table (src, dst); a model's for the others, ``unmapped`` without either.
 
     Spark picks a broadcast join by the table's size; a mapping has one row a source category, and of several the
-    least counts.  The model sees each unmapped value once; where it fails the item is unmapped.
+    least counts.  The model sees each unmapped value once; where it fails the item is unmapped, and with a model the
+    column ``<target>_error`` says why.
     """
     table = mapping.groupBy("src").agg(F.min("dst").alias("dst"))
     rows = items.select(F.struct("*").alias("row"))
     found = rows.join(table, F.col("row")[column] == F.col("src"), "left")
     if model is None:
-        return _beside(found, target, F.coalesce("dst", F.lit(UNMAPPED)))
+        return _beside(found, {target: F.coalesce("dst", F.lit(UNMAPPED))})
     unknown = items.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct().join(table.select(F.col("src").alias("text")), "text", "left_anti")
-    guessed = model.apply(unknown, ["text"], "made").select("text", F.col("made.result").alias("guess"))
+    guessed = model.apply(unknown, ["text"], "made").select("text", F.col("made.result").alias("guess"), F.col("made.error").alias("guess_error"))
     both = found.join(guessed, F.col("row")[column] == F.col("text"), "left")
-    return _beside(both, target, F.coalesce("dst", "guess", F.lit(UNMAPPED)))
+    return _beside(both, {target: F.coalesce("dst", "guess", F.lit(UNMAPPED)), f"{target}_error": F.col("guess_error")})
 
 
 def tier_multiplier(price: Column, tiers: Iterable[tuple[str, str, str]]) -> Column:
@@ -65,7 +67,7 @@ def convert_price_by_table(items: DataFrame, tiers: DataFrame, price: str, rate:
     rows = items.select(F.struct("*").alias("row"), F.col(price).alias("price"), _price_bucket(F.col(price)).alias("bucket"))
     found = rows.join(listed, (rows["bucket"] == listed["bucket"]) & (F.col("price") >= lo) & (F.col("price") < hi), "left")
     exact = F.col("price").cast("decimal(18,4)") * F.lit(Decimal(rate)).cast("decimal(9,4)") * F.col("mult")
-    return _beside(found, target, exact.cast("decimal(18,2)"))
+    return _beside(found, {target: exact.cast("decimal(18,2)")})
 
 
 def translate(items: DataFrame, column: str, model, target: str) -> DataFrame:
@@ -91,11 +93,13 @@ def fill_defaults(items: DataFrame, defaults: Mapping[str, object]) -> DataFrame
 def dedup_titles(items: DataFrame, key: str, title: str) -> DataFrame:
     """Step I: of items whose titles are equal but for case and spaces, the one with the smallest key.
 
-    A minimum by group, which Spark sums up before the shuffle: a title of a third of all items is no hot spot.
+    Items without a title, null or blank, are no duplicates of each other and all stay.  A minimum by group, which
+    Spark sums up before the shuffle: a title of a third of all items is no hot spot.
     """
-    rows = items.withColumn("_norm", T.normalized_title(F.col(title)))
-    first = rows.groupBy("_norm").agg(F.min_by(F.struct(*items.columns), key).alias("_row"))
-    return first.select("_row.*")
+    norm = F.coalesce(T.normalized_title(F.col(title)), F.lit(""))
+    rows = items.select(F.struct(*items.columns).alias("_row"), F.col(key).alias("_key"), norm.alias("_norm"))
+    first = rows.where("_norm != ''").groupBy("_norm").agg(F.min_by("_row", "_key").alias("_row"))
+    return first.select("_row.*").unionByName(rows.where("_norm = ''").select("_row.*"))
 
 
 def append_template(description: Column, *lines: Column) -> Column:

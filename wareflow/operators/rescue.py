@@ -48,10 +48,12 @@ def commit_or_roll_back(rows: DataFrame, original: str, candidate: str, left: Co
     return rows.withColumn(target, F.when(back, F.col(original)).otherwise(F.col(candidate))).withColumn("status", F.when(back, "rejected").otherwise("rescued"))
 
 
-def pool_size(memory_gb: float, failures: int = 0) -> int:
-    """Workers for a card's memory; each failure for want of memory halves them, one at least."""
-    size = next((n for least, n in POOLS if memory_gb >= least), 1)
-    return max(1, size >> failures)
+def pool_size(memory_gb: Column, failures: Column) -> Column:
+    """Workers for a card's memory; each failure for want of memory halves them, one at least.  Unknown memory has one."""
+    size = F.lit(1)
+    for least, workers in reversed(POOLS):
+        size = F.when(memory_gb >= least, workers).otherwise(size)
+    return F.greatest(F.lit(1), F.call_function("shiftright", size, F.coalesce(F.least(failures, F.lit(30)), F.lit(0)).cast("int"))).cast("long")
 
 
 def replace_first(images: Column, better: Column) -> Column:

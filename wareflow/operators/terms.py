@@ -23,7 +23,7 @@ def counted(text: Column, least: int = 4) -> Column:
         less = lambda p, k, at: p - F.coalesce(F.get(at, k + 1), F.size(s))
         return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(less(p, k, at).alias("less"), F.get(s, p).alias("term"))))
 
-    ordered = F.array_sort(let(F.array_sort(words), runs))
+    ordered = F.sort_array(let(F.sort_array(words), runs))
     return F.transform(ordered, lambda x: F.struct((-x["less"]).cast("long").alias("times"), x["term"].alias("term")))
 
 

@@ -67,7 +67,9 @@ def cap_path(rates: DataFrame, stage: str, first: int = 8, low: int = 1, high: i
     # Rates are null only at a stage's start, so decisions number on with the signals.
     offset = -(-MIN_SAMPLE // cooldown) - 1
     decision = (F.col("seq") / cooldown).cast("long") - offset
-    steps = due.select(stage, "seq", "fail_rate", signal.cast("int").alias("signal"), decision.alias("decision")).withColumn("block", F.floor((F.col("decision") - 1) / block).cast("long"))
+    # The stage travels as JSON, so that a null one is a key like others.
+    of, kind = F.to_json(F.struct(F.col(stage).alias("stage"))), dict(rates.dtypes)[stage]
+    steps = due.select(of.alias("of"), "seq", "fail_rate", signal.cast("int").alias("signal"), decision.alias("decision")).withColumn("block", F.floor((F.col("decision") - 1) / block).cast("long"))
     states = [(cap, jumped) for jumped in (False, True) for cap in range(low, high + 1)]
 
     def through(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,19 +77,18 @@ def cap_path(rates: DataFrame, stage: str, first: int = 8, low: int = 1, high: i
         for s in pdf.sort_values("decision")["signal"]:
             step = {state: next_cap(*state, s, low, high) for state in set(ends)}
             ends = [step[e] for e in ends]
-        return pd.DataFrame({stage: [pdf[stage].iloc[0]], "block": [pdf["block"].iloc[0]], "ends": [[states.index(e) for e in ends]]})
+        return pd.DataFrame({"of": [pdf["of"].iloc[0]], "block": [pdf["block"].iloc[0]], "ends": [[states.index(e) for e in ends]]})
 
-    kind = dict(rates.dtypes)[stage]
-    tables = steps.groupBy(stage, "block").applyInPandas(through, f"{stage} {kind}, block long, ends array<int>")
+    tables = steps.groupBy("of", "block").applyInPandas(through, "of string, block long, ends array<int>")
 
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         at, found = states.index((first, False)), []
         for row in pdf.sort_values("block").itertuples():
             found.append(at)
             at = row.ends[at]
-        return pd.DataFrame({stage: pdf.sort_values("block")[stage], "block": pdf.sort_values("block")["block"], "start": found})
+        return pd.DataFrame({"of": pdf.sort_values("block")["of"], "block": pdf.sort_values("block")["block"], "start": found})
 
-    begun = tables.groupBy(stage).applyInPandas(starts, f"{stage} {kind}, block long, start int")
+    begun = tables.groupBy("of").applyInPandas(starts, "of string, block long, start int")
 
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("decision")
@@ -96,9 +97,10 @@ def cap_path(rates: DataFrame, stage: str, first: int = 8, low: int = 1, high: i
         for s in rows["signal"]:
             cap, jumped = next_cap(cap, jumped, s, low, high)
             caps.append(cap)
-        return rows.assign(cap=caps)[[stage, "decision", "seq", "fail_rate", "cap"]]
+        return rows.assign(cap=caps)[["of", "decision", "seq", "fail_rate", "cap"]]
 
-    return steps.join(begun, [stage, "block"]).groupBy(stage, "block").applyInPandas(path, f"{stage} {kind}, decision long, seq long, fail_rate double, cap long")
+    done = steps.join(begun, ["of", "block"]).groupBy("of", "block").applyInPandas(path, "of string, decision long, seq long, fail_rate double, cap long")
+    return done.select(F.from_json("of", f"stage {kind}")["stage"].alias(stage), "decision", "seq", "fail_rate", "cap")
 
 
 def quota_day(ts: Column) -> Column:

@@ -14,15 +14,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareflow.operators.skills import Pause
+
+__all__ = ["ORDER", "Pause", "Run", "remaining"]
+
 #: The order of the steps.
 ORDER = ("0", "A", "B", "C", "D", "E", "G", "F", "H", "I", "J", "K0", "K")
 MANIFEST = "number int, stage string, folder string"
 
 
-class Pause(Exception):
-    """Stops a run; what is done stays done."""
-
-
 class Run:
     """A run of ``stages`` (name, DataFrame -> DataFrame) kept under ``folder``, which all executors see."""
 
