@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow import catalog_steps
+from wareflow import catalog_files, catalog_steps
 from wareflow.functions import text as T
 from wareflow.operators import items, rescue, terms, verdicts
 from wareflow.plans import control, updates
@@ -190,7 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ok_reject_split": ok_reject_split,
     "verify_rollback": verify_rollback,
     "manifest_check": manifest_check,
-} | catalog_steps.QUERIES
+} | catalog_steps.QUERIES | catalog_files.QUERIES
 
 
 def _text(value: str) -> str:
@@ -280,4 +280,4 @@ ORACLE_SQL: dict[str, str] = {
       SELECT page_id, CASE WHEN residue THEN 'rejected' ELSE 'rescued' END AS status, md5(CASE WHEN residue THEN html ELSE candidate END) AS kept_md5 FROM checked""",
     "manifest_check": r"SELECT * FROM (VALUES ('hub', 'a/run.py', 'allowed'), ('hub', '../x', 'unsafe path'), ('hub', '/abs', 'unsafe path'), ('hub', 'C:\x', 'unsafe path'), ('hub', 'a..b/c', 'allowed'), ('seo', 'a/run.py', 'not on the whitelist'), ('seo', 'b/new.py', 'allowed')) t(app, path, verdict)",
     "last_caps": f"SELECT stage, arg_max(cap, decision) AS cap FROM ({_cap_sql(_MILD)}) GROUP BY stage",
-} | catalog_steps.ORACLE_SQL
+} | catalog_steps.ORACLE_SQL | catalog_files.ORACLE_SQL
