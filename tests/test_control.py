@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,3 +85,62 @@ def test_usage_counts_products_once(spark):
     ops = operations(spark, [(1, 5, 1, "consume"), (1, 6, 1, "consume"), (1, 7, 2, "consume")])
     assert control.day_usage(ops, "tenant", "ts", "product", ~F.col("refund")).first().units == 2
     assert control.day_usage(ops, "tenant", "ts", "product", F.col("refund")).count() == 0
+
+
+def folded(rows, limit):
+    """The ledger's days one operation at a time; rows (tenant, day, seq, product, refund)."""
+    days = {}
+    for tenant, day, _, product, refund in sorted(rows, key=lambda r: r[2]):
+        d = days.setdefault((tenant, day), [set(), 0, 0])
+        if refund and product in d[0]:
+            d[0].discard(product)
+            d[2] += 1
+        elif not refund and product not in d[0]:
+            if len(d[0]) < limit:
+                d[0].add(product)
+            else:
+                d[1] += 1
+    return sorted(((*k, len(a), n, r) for k, (a, n, r) in days.items()), key=str)
+
+
+def ledger_rows(seed, n=900):
+    rng = random.Random(seed)
+    # A tenant with a third of all rows, one without a name, and products without one.
+    tenants = [7] * 10 + [None] * 4 + list(range(8, 24))
+    return [(rng.choice(tenants), rng.choice(["d1", "d2", None]), k, rng.choice([None, *range(seed % 5 + 3)]), rng.random() < (0.1, 0.3, 0.5)[seed % 3]) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ledger_by_blocks_equals_the_fold(spark, seed):
+    rows = ledger_rows(seed)
+    ops = spark.createDataFrame([(t, d, T0 + dt.timedelta(minutes=13 * k), k, p, r) for t, d, k, p, r in rows], "tenant long, quota_day string, ts timestamp_ntz, key long, product long, refund boolean").repartition(5)
+    for limit, block in ((1, 4), (3, 7), (4, 50), (2000, 5), (0, 9)):
+        got = sorted((tuple(r) for r in control.ledger(ops, limit, block).collect()), key=str)
+        assert got == folded(rows, limit), (limit, block)
+
+
+def test_a_ledger_gathers_no_day_in_a_row(spark):
+    ops = spark.createDataFrame([(1, "d", T0, 1, 1, False)], "tenant long, quota_day string, ts timestamp_ntz, key long, product long, refund boolean")
+    plan = control.ledger(ops)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_blocks_are_cut_down_to_what_may_change_something(spark):
+    rows = [(0, "a", False), (1, "a", False), (2, "b", False), (3, "a", False), (4, "a", True), (5, "a", True), (6, "b", False), (7, "b", False), (8, "b", True)]
+    last, out = {}, []
+    for seq, product, refund in rows:
+        out.append(("x", 0, seq, product, refund, last.get(product)))
+        last[product] = refund
+    df = spark.createDataFrame(out, "of string, block long, seq long, product string, refund boolean, before boolean")
+    got = sorted((r.seq, r.product, r.refund, r.times) for r in control.decisive(df).collect())
+    assert got == [(0, "a", False, 3), (2, "b", False, 1), (4, "a", True, 1), (6, "b", False, 2), (8, "b", True, 1)]
+
+
+def test_no_row_of_a_null_stage_is_lost(spark):
+    rows = signals(spark, [i % 3 == 0 for i in range(60)]).withColumn("stage", F.when(F.col("event_id") % 2 == 0, F.col("stage")))
+    rates = control.fail_rates(rows, "stage", "ts", "event_id", "failed")
+    assert rates.count() == 60 and rates.where("stage is null").agg(F.max("seq")).first()[0] == 30
+    path = control.cap_path(rates, "stage")
+    assert sorted(((r.stage, r.decision) for r in path.collect()), key=str) == sorted(((s, d) for s in ("s", None) for d in range(1, 7)), key=str)
+    null_time = rows.withColumn("ts", F.when(F.col("event_id") > 9, F.col("ts")))
+    assert control.fail_rates(null_time, "stage", "ts", "event_id", "failed").count() == 60

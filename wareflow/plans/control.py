@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wareflow.functions.sequence import numbered, rolling
@@ -17,6 +18,8 @@ NO_SIGNAL = ("network_blip", "cascade_pause")
 QUOTA = 2000
 #: Decisions of a stage that one task steps through.
 CAP_BLOCK = 20_000
+#: Operations of a tenant's day that make a block of the ledger.
+LEDGER_BLOCK = 50_000
 
 
 def signals(events: DataFrame, outcome: str) -> DataFrame:
@@ -132,26 +135,78 @@ def attributed(events: DataFrame, tenant: str, ts: str, key: str, product: str,
     return rows.join(days, keys).select("tenant", "ts", "key", "product", "refund", day.alias("quota_day"))
 
 
-def ledger(operations: DataFrame, limit: int = QUOTA) -> DataFrame:
+def ledger(operations: DataFrame, limit: int = QUOTA, block: int = LEDGER_BLOCK) -> DataFrame:
     """(tenant, quota_day, used, denied, refunded) of operations (tenant, quota_day, ts, key, product, refund).
 
     Within a tenant's day: a product is one unit, however often it consumes; over the limit it is denied; a refund
-    gives an admitted product's unit back, once.  The fold holds a tenant-day's operations; for tenants without
-    such a bound use the streaming ledger, whose state is the admitted products.
+    gives an admitted product's unit back, once.  Null tenants, days and products count as values of their own, a null
+    refund as a consume.
+
+    A day is cut into blocks of operations, so that no task and no row holds a tenant's day.  Where its products are no
+    more than the limit nothing is ever denied, and each product goes its own way: a block says of each of its
+    products what it did first and last and how often it gave back in between, and these are put together by product.
+    Other days need their order: each block is cut down to the operations that may change something (of repeated
+    consumes with no refund between them the first, with their number; of repeated refunds the first), and these
+    pass in order through one fold, whose state is the admitted products, at most ``limit``.
     """
-    history = F.array_sort(F.collect_list(F.struct("ts", "key", "product", "refund")))
-    days = operations.groupBy("tenant", "quota_day").agg(history.alias("history"))
-    start = F.struct(F.array().cast("array<bigint>").alias("admitted"), F.lit(0).cast("long").alias("denied"), F.lit(0).cast("long").alias("refunded"))
-
-    def step(acc: Column, op: Column) -> Column:
-        has = F.array_contains(acc["admitted"], op["product"])
-        give_back, fits = op["refund"] & has, F.size(acc["admitted"]) < limit
-        takes = ~op["refund"] & ~has
-        admitted = F.when(give_back, F.array_remove(acc["admitted"], op["product"])).when(takes & fits, F.concat(acc["admitted"], F.array(op["product"]))).otherwise(acc["admitted"])
-        return F.struct(admitted.alias("admitted"), (acc["denied"] + (takes & ~fits).cast("long")).alias("denied"), (acc["refunded"] + give_back.cast("long")).alias("refunded"))
-
-    done = days.withColumn("end", F.aggregate("history", start, step))
-    return done.select("tenant", "quota_day", F.size("end.admitted").cast("long").alias("used"), F.col("end.denied").alias("denied"), F.col("end.refunded").alias("refunded"))
+    day = F.to_json(F.struct("tenant", "quota_day"))
+    rows = operations.select(day.alias("of"), "ts", "key", F.to_json(F.struct("product")).alias("product"), F.coalesce("refund", F.lit(False)).alias("refund"))
+    rows = numbered(rows, ["of"], F.date_trunc("hour", F.col("ts")), ["ts", "key", "refund", "product"]).withColumn("block", F.floor((F.col("seq") - 1) / block))
+    inside = Window.partitionBy("of", "block", "product").orderBy("seq")
+    rows = rows.select("of", "block", "seq", "product", "refund", F.lag("refund").over(inside).alias("before"))
+    gives_back = F.col("refund") & ~F.coalesce("before", F.lit(True))
+    parts = rows.groupBy("of", "product", "block").agg(F.min_by("refund", "seq").alias("first"), F.max_by("refund", "seq").alias("last"), F.sum(gives_back.cast("long")).alias("back"), F.bool_or(~F.col("refund")).alias("takes"))
+    across = F.col("first") & ~F.coalesce(F.lag("last").over(Window.partitionBy("of", "product").orderBy("block")), F.lit(True))
+    each = parts.withColumn("back", F.col("back") + across.cast("long")).groupBy("of", "product").agg(F.max_by("last", "block").alias("last"), F.sum("back").alias("back"), F.bool_or("takes").alias("takes"))
+    days = each.groupBy("of").agg(F.sum((~F.col("last")).cast("long")).alias("used"), F.lit(0).cast("long").alias("denied"), F.sum("back").alias("refunded"), F.sum(F.col("takes").cast("long")).alias("products"))
+    ordered = decisive(rows.join(days.where(F.col("products") > limit).select("of"), "of", "left_semi"))
+    schema = "of string, used long, denied long, refunded long"
+    chained = ordered.repartition("of").sortWithinPartitions("of", "seq").mapInPandas(_folded(limit), schema)
+    both = days.where(F.col("products") <= limit).select("of", "used", "denied", "refunded").unionByName(chained)
+    kinds = dict(operations.dtypes)
+    key = F.from_json("of", f"tenant {kinds['tenant']}, quota_day {kinds['quota_day']}")
+    return both.select(key["tenant"].alias("tenant"), key["quota_day"].alias("quota_day"), "used", "denied", "refunded")
+
+
+def decisive(rows: DataFrame) -> DataFrame:
+    """(of, seq, product, refund, times): the operations that may change a day's state.
+
+    ``rows`` has of, block, seq, product, refund and before (whether the product's operation before it in its block
+    was a refund).  Consumes of a product with no refund between them in their block end alike: all denied or none.
+    """
+    stretch = F.sum(F.col("refund").cast("int")).over(Window.partitionBy("of", "block").orderBy("seq"))
+    marked = rows.withColumn("stretch", stretch).where(~F.col("refund") | ~F.coalesce("before", F.lit(False)))
+    grouped = marked.groupBy("of", "block", "stretch", "refund", "product").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
+    return grouped.select("of", "seq", "product", "refund", "times")
+
+
+def _folded(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A pass over days, each whole and in its order: only the current day's admitted products are held."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["of", "used", "denied", "refunded"]
+        current, admitted, denied, refunded = None, set(), 0, 0
+        for frame in frames:
+            done = []
+            for of, product, refund, times in zip(frame["of"], frame["product"], frame["refund"], frame["times"], strict=True):
+                if of != current:
+                    if current is not None:
+                        done.append((current, len(admitted), denied, refunded))
+                    current, admitted, denied, refunded = of, set(), 0, 0
+                if refund:
+                    if product in admitted:
+                        admitted.discard(product)
+                        refunded += 1
+                elif product not in admitted:
+                    if len(admitted) < limit:
+                        admitted.add(product)
+                    else:
+                        denied += times
+            yield pd.DataFrame(done, columns=names)
+        if current is not None:
+            yield pd.DataFrame([(current, len(admitted), denied, refunded)], columns=names)
+
+    return fold
 
 
 def usage(events: DataFrame, ts: str, user: str, kind: str) -> DataFrame:
@@ -165,7 +220,7 @@ def last_caps(stage_caps: DataFrame, stage: str) -> DataFrame:
 
 
 def capped(work: Callable[[DataFrame], None], caps: Callable[[], int]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each micro-batch goes to ``work`` in as many tasks as the cap then allows."""
+    """For ``foreachBatch``: each micro-batch goes to ``work`` in as many tasks as the cap then allows, as ``LiveCaps.cap`` says it."""
 
     def run(batch: DataFrame, number: int) -> None:
         work(batch.repartition(max(1, caps())))
@@ -173,6 +228,44 @@ def capped(work: Callable[[DataFrame], None], caps: Callable[[], int]) -> Callab
     return run
 
 
+class LiveCaps:
+    """The cap of each stage as it is now: ``foreachBatch`` of a stream of decisions (stage, decision, cap) keeps it up to date.
+
+    The driver holds a row a stage.  Each micro-batch's caps are written under its number before they count, so a batch
+    that is given again changes nothing and a new process begins where the last one ended.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, first: int = 8):
+        self.spark, self.folder, self.first = spark, folder.rstrip("/"), first
+        self.caps, self.last = self._kept()
+
+    def _kept(self) -> tuple[dict, int]:
+        try:
+            rows = self.spark.read.parquet(f"{self.folder}/caps")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return {}, -1
+        last = rows.agg(F.max("batch")).first()[0]
+        return {r["stage"]: r["cap"] for r in rows.where(F.col("batch") == last).toLocalIterator()}, last
+
+    def __call__(self, decisions: DataFrame, number: int) -> None:
+        if number <= self.last:
+            return
+        new = {r["stage"]: r["cap"] for r in last_caps(decisions, "stage").toLocalIterator()}
+        caps = self.caps | new
+        if new:
+            kind = dict(decisions.dtypes)["stage"]
+            rows = self.spark.createDataFrame(list(caps.items()), f"stage {kind}, cap long")
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/caps/batch={number}")
+            self.last = number
+        self.caps = caps
+
+    def cap(self, stage) -> int:
+        """The cap that the stage's next batch may use; the first one until there is a decision."""
+        return self.caps.get(stage, self.first)
+
+
 def permits(stage_caps: DataFrame, stage: str) -> Iterator[tuple]:
     """The last cap of each stage, for a driver that sets the concurrency of its next batch; one row a stage."""
     return ((r[stage], r["cap"]) for r in last_caps(stage_caps, stage).toLocalIterator())

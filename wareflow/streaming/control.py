@@ -1,6 +1,6 @@
-"""Streaming counterparts of the failure rate and the quota ledger, and the event sink.
+"""Streaming counterparts of the failure rate, the adaptive cap and the quota ledger, and the event sink.
 
-State is per stage (its last outcomes) and per tenant and day (admitted products).  With ``kept_ms`` a day's state
+State is per stage (its last outcomes, its cap) and per tenant and day (admitted products).  With ``kept_ms`` a day's state
 goes when nothing has changed it for so long, so that state stays small however long a stream runs; such a query
 keeps making micro-batches, so it is run with an available-now or a processing-time trigger.  Rows of one trigger are put in order by time and key before they change the state.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from wareflow.plans.control import MIN_SAMPLE, QUOTA, WINDOW
+from wareflow.plans.control import COOLDOWN, HARD, MIN_SAMPLE, QUOTA, SOFT, WINDOW, next_cap
 
 
 class _Rates(StatefulProcessor):
@@ -42,6 +42,44 @@ def fail_rates(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").transformWithStateInPandas(_Rates(), schema, outputMode="Append", timeMode="None")
 
 
+class _Caps(StatefulProcessor):
+    """A stage's last outcomes, how many it has had, its cap, and whether the first jump is done."""
+
+    def __init__(self, first: int, low: int, high: int, cooldown: int):
+        self.first, self.low, self.high, self.cooldown = first, low, high, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("stage", "outcomes array<int>, seq bigint, cap bigint, jumped boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        kept, seq, cap, jumped = [], 0, self.first, False
+        if self.state.exists():
+            kept, seq, cap, jumped = self.state.get()
+            kept = list(kept)
+        offset, made = -(-MIN_SAMPLE // self.cooldown) - 1, []
+        for failed in pdf["failed"]:
+            kept, seq = [*kept, int(failed)][-WINDOW:], seq + 1
+            if seq % self.cooldown == 0 and len(kept) >= MIN_SAMPLE:
+                rate = sum(kept) / len(kept)
+                cap, jumped = next_cap(cap, jumped, 2 if rate > HARD else 1 if rate >= SOFT else 0, self.low, self.high)
+                made.append((key[0], seq // self.cooldown - offset, seq, rate, cap))
+        self.state.update((kept, seq, cap, jumped))
+        yield pd.DataFrame(made, columns=["stage", "decision", "seq", "fail_rate", "cap"])
+
+    def close(self) -> None:
+        pass
+
+
+def caps(events: DataFrame, first: int = 8, low: int = 1, high: int = 64, cooldown: int = COOLDOWN) -> DataFrame:
+    """(stage, decision, seq, fail_rate, cap): the decisions on a stream of signals (event_id, ts, stage, failed), as they fall.
+
+    They are those of ``control.cap_path``.  ``control.LiveCaps`` takes them in ``foreachBatch`` and says what holds now.
+    """
+    schema = f"stage {dict(events.dtypes)['stage']}, decision long, seq long, fail_rate double, cap long"
+    return events.groupBy("stage").transformWithStateInPandas(_Caps(first, low, high, cooldown), schema, outputMode="Append", timeMode="None")
+
+
 class _Ledger(StatefulProcessor):
     def __init__(self, limit: int, kept_ms: int | None):
         self.limit, self.kept_ms = limit, kept_ms
