@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareflow.sources import archives
+from wareflow.sources.archives import UNSAFE
+
 
 def safe_path(path: Column) -> Column:
     """Whether a path stays below the folder that it is unpacked in: relative, no drive letter, no ``..`` part."""
-    return F.coalesce(~path.rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)") & (path != ""), F.lit(False))
+    return F.coalesce(~path.rlike(UNSAFE) & (path != ""), F.lit(False))
 
 
 def manifest_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -57,6 +60,32 @@ def hash_mismatches(spark: SparkSession, folder: str, manifest: DataFrame) -> Da
 POINTER = "version long, folder string"
 
 
+class Refused(ValueError):
+    """An update that is not what its manifest says."""
+
+
+def update(spark: SparkSession, folder: str, manifest: DataFrame, whitelist: DataFrame, root: str) -> str:
+    """Publishes the files of the archives <folder>/<app>/*.zip as the new version under ``root``; its folder.
+
+    Only members that are safe and on the whitelist (app, path) are unpacked, and their digests come from the same pass.
+    The unpacked rows are written first.  Where a file of the manifest (app, path, sha256) that the whitelist has is
+    missing, damaged, there twice or of another digest, the update is refused and the old version stays.
+    """
+    named = f"{root}/version-{uuid.uuid4().hex}"
+    found = archives.members(spark, folder, whitelist)
+    found.where(F.col("reason").isNull()).select("app", "path", "size", "sha256", "content").write.parquet(named)
+    written = spark.read.parquet(named)
+    wanted = allowed(manifest, whitelist)
+    wrong = mismatches(wanted, written.select("app", "path", "sha256")).select("app", "path")
+    twice = written.groupBy("app", "path").count().where("count > 1").select("app", "path")
+    extra = written.select("app", "path").join(wanted.select("app", "path"), ["app", "path"], "left_anti")
+    bad = wrong.unionByName(twice).unionByName(extra).distinct()
+    first = bad.orderBy("app", "path").first()
+    if first is not None:
+        raise Refused(f"{bad.count()} files are not what the manifest says, first {first['app']}/{first['path']}")
+    return _point(spark, root, named)
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the version that is published under ``root``; None before the first one."""
     try:
@@ -73,9 +102,13 @@ def publish(files: DataFrame, root: str) -> str:
 
     Readers see the old version until that row is there; a version that was cut off is never seen.
     """
-    spark, folder = files.sparkSession, f"version-{uuid.uuid4().hex}"
-    before = current(spark, root)
-    number = 0 if before is None else spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max("version")).first()[0] + 1
-    files.write.parquet(f"{root}/{folder}")
-    spark.createDataFrame([(number, folder)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
-    return f"{root}/{folder}"
+    folder = f"{root}/version-{uuid.uuid4().hex}"
+    files.write.parquet(folder)
+    return _point(files.sparkSession, root, folder)
+
+
+def _point(spark: SparkSession, root: str, folder: str) -> str:
+    """Lets the pointer of ``root`` point to a written folder below it."""
+    number = 0 if current(spark, root) is None else spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max("version")).first()[0] + 1
+    spark.createDataFrame([(number, folder.rsplit("/", 1)[1])], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    return folder

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sqlite3
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from wareflow.sources.workbooks import XlsxSource
+
 ITEM = "item_id long, title string, desc string, price decimal(18,4), category string, images array<struct<idx: int, path: string, sha256: string>>"
 
 
@@ -68,56 +68,6 @@ class SqliteSource(DataSource):
         return _SqliteReader(schema, self.options)
 
 
-_XLSX = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-class _XlsxReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.width, self.path = len(schema.names), options["path"]
-        self.sheet, self.header = options.get("sheet", "sheet1"), options.get("header", "true").lower() == "true"
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with zipfile.ZipFile(self.path) as z:
-            shared = []
-            if "xl/sharedStrings.xml" in z.namelist():
-                shared = ["".join(t.text or "" for t in item.iter(f"{_XLSX}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-            with z.open(f"xl/worksheets/{self.sheet}.xml") as f:
-                rows = (e for _, e in ElementTree.iterparse(f) if e.tag == f"{_XLSX}row")
-                for number, row in enumerate(rows):
-                    if number or not self.header:
-                        yield self._cells(row, shared)
-                    row.clear()
-
-    def _cells(self, row, shared: list[str]) -> tuple:
-        cells: list[str | None] = [None] * self.width
-        for at, cell in enumerate(row):
-            letters = "".join(c for c in cell.get("r", "") if c.isalpha())
-            column = at
-            if letters:
-                column = 0
-                for c in letters:
-                    column = column * 26 + ord(c) - 64
-                column -= 1
-            value = "".join(t.text or "" for t in cell.iter() if t.tag in (f"{_XLSX}v", f"{_XLSX}t"))
-            if column < self.width:
-                cells[column] = shared[int(value)] if cell.get("t") == "s" else value
-        return tuple(cells)
-
-
-class XlsxSource(DataSource):
-    """``spark.read.format("xlsx").schema(...)``: a sheet as strings; a workbook is read by one task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def schema(self) -> str:
-        raise ValueError("give a schema of strings for an xlsx sheet")
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _XlsxReader(schema, self.options)
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
     spark.dataSource.register(XlsxSource)
