@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from wareflow.operators import rescue, verdicts
 from wareflow.operators.skills import EDIT_FIRST, INPAINT, LOCATE, REJECT_SCAN, VERIFY, Skill
+from wareflow.plans import steps
 from wareflow.plans.runner import Pause
 
 ANSWERS = [
@@ -70,13 +73,49 @@ def test_gated_images_never_reach_the_model(spark):
     assert seen.value == 2
 
 
-def test_rescue_chain(spark):
-    rows = spark.createDataFrame([("mark.jpg",), ("sticky-mark.jpg",), ("url.jpg",)], "path string")
-    located = LOCATE.apply(rows, ["path"], "boxes")
-    made = INPAINT.apply(located, ["path"], "made").withColumn("candidate", F.col("made.result"))
-    checked = VERIFY.apply(made.select("path", "candidate"), ["path"], "v")
-    got = rescue.commit_or_roll_back(checked, "path", "candidate", rescue.residue(F.col("v.result.in_boxes"), F.col("v.result.whole")), "kept")
-    assert {r.path: r.kept for r in got.collect()} == {"mark.jpg": "mark.jpg.clean", "sticky-mark.jpg": "sticky-mark.jpg", "url.jpg": "url.jpg"}
+def rescued(spark, paths, **skills):
+    rows = spark.createDataFrame([(p, "screenshot" if "shot" in p else "photo") for p in paths], "at string, kind string")
+    return {r.at: r for r in steps.rescued(rows, "at", "kind", **skills).collect()}
+
+
+def test_rescue_verifies_what_was_made(spark):
+    paths = ["mark-1", "sticky-mark-2", "mark-url-3", "plain", "mark-shot"]
+    got = rescued(spark, paths)
+    assert {p: (r.kept, r.status) for p, r in got.items()} == {"mark-1": ("1.clean", "rescued"), "sticky-mark-2": ("sticky-mark-2", "rejected"), "mark-url-3": ("mark-url-3", "rejected"), "plain": ("plain", "rejected"), "mark-shot": ("mark-shot", "given up")}
+    assert got["mark-1"].n_boxes == 1 and got["plain"].n_boxes == 0 and got["mark-shot"].n_boxes == 0
+    # Residue that only the edited image has is found, too.
+    dirty = Skill("inpaint", "string", lambda xs: [x["path"].replace("mark-", "sticky-") for x in xs])
+    assert rescued(spark, ["mark-1"], inpaint=dirty)["mark-1"].status == "rejected"
+
+
+def test_the_inpainter_gets_the_boxes_that_are_left(spark):
+    boxes = [(0.0, 0.0, 0.1, 0.1), (0.4, 0.4, 0.6, 0.6), (0.9, 0.9, 1.0, 1.0)]
+    locate = Skill("locate", LOCATE.kind, lambda xs: [[dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in boxes] for _ in xs])
+    inpaint = Skill("inpaint", "string", lambda xs: [f"{x['path']} {[(b['x0'], b['y1']) for b in x['boxes']]}" for x in xs])
+    verify = Skill("verify", VERIFY.kind, lambda xs: [{"in_boxes": len(x["boxes"]) != 2, "whole": []} for x in xs])
+    got = rescued(spark, ["a"], locate=locate, inpaint=inpaint, verify=verify)["a"]
+    assert (got.kept, got.status, got.n_boxes) == ("a [(0.0, 0.1), (0.9, 1.0)]", "rescued", 2)
+
+
+def test_errors_of_the_rescue_are_kept(spark):
+    def fail(xs):
+        raise OSError("gone")
+
+    for name, skill in (("locate", LOCATE), ("inpaint", INPAINT), ("verify", VERIFY)):
+        got = rescued(spark, ["mark-1", "plain"], **{name: Skill(name, skill.kind, fail, batch=1)})
+        assert (got["mark-1"].status, got["mark-1"].kept, got["mark-1"].error) == ("rejected", "mark-1", f"{name}: OSError: gone")
+        assert got["plain"].error == ("locate: OSError: gone" if name == "locate" else None)
+
+
+def test_gated_images_reach_no_model_of_the_rescue(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(xs):
+        seen.add(len(xs))
+        return LOCATE.backend(xs)
+
+    rescued(spark, ["mark-1", "shot-2", "shot-3", "4"], locate=Skill("locate", LOCATE.kind, count))
+    assert seen.value == 2
 
 
 def test_first_image(spark):
@@ -90,7 +129,9 @@ def test_first_image(spark):
 def test_masks_and_pools(spark):
     rows = spark.createDataFrame([([3, 1], [5, 9]), ([], [])], "x array<int>, y array<int>").select(rescue.mask_box(F.col("x"), F.col("y")).alias("b")).collect()
     assert tuple(rows[0].b) == (1, 5, 3, 9) and rows[1].b is None
-    assert [rescue.pool_size(g) for g in (24, 12, 8, 4)] == [28, 16, 10, 1] and rescue.pool_size(24, 2) == 7
+    cases = [(24.0, 0, 28), (12.0, None, 16), (8.0, 0, 10), (4.0, 0, 1), (24.0, 2, 7), (12.0, 60, 1), (None, 1, 1)]
+    rows = spark.createDataFrame(cases, "gb double, failures int, wanted int")
+    assert rows.where(rescue.pool_size(F.col("gb"), F.col("failures")) != F.col("wanted")).count() == 0
 
 
 def test_a_pause_is_no_error(spark):
@@ -99,6 +140,48 @@ def test_a_pause_is_no_error(spark):
 
     rows = spark.createDataFrame([("a",)], "path string")
     with pytest.raises(Exception, match="Pause"):
-        Skill("stop", "string", stop, propagate=(Pause,)).apply(rows, ["path"], "x").collect()
-    got = Skill("fail", "string", stop).apply(rows, ["path"], "x").first().x
-    assert got.result is None and got.error == "Pause: stop"
+        Skill("stop", "string", stop).apply(rows, ["path"], "x").collect()
+    with pytest.raises(Exception, match="Pause"):
+        rescued(spark, ["mark-1"], inpaint=Skill("stop", "string", stop))
+
+
+def test_verdicts_among_other_braces(spark):
+    own = '"reject_indices": [1], "reject_scores": [0.5]'
+    cases = {
+        '{"a": {"b": "}"}, %s, "c": {"reject": {}}} x' % own: True,
+        '{"deep": {"verdict": {%s}}}' % own: True,
+        r'{"q": "say \"}{\" or \\", %s}' % own: True,
+        'an unclosed { and then {%s}' % own: True,
+        '5" wide, {%s}, 7" high' % own: True,
+        '{"name": "reject_indices"} {%s}' % own: True,
+        '{"n": "reject_indices", "v": [1]}': False,
+        '{%s' % own: False,
+        "{}": False,
+        '{"reject_indices": [1]}': False,
+        '"reject_indices": [1]': False,
+        "": False,
+    }
+    rows = spark.createDataFrame([(k, raw, wanted) for k, (raw, wanted) in enumerate(cases.items())], "k int, raw string, wanted boolean")
+    got = {r.k: r.v for r in rows.select("k", verdicts.parse(F.col("raw")).alias("v")).collect()}
+    assert [got[k] is not None for k in sorted(got)] == list(cases.values())
+    assert all(v is None or (v.reject_indices, v.reject_scores) == ([1], [0.5]) for v in got.values())
+    two = spark.range(1).select(verdicts.verdict_json(F.lit('x {"reject_indices": [{"a": 1}]} {"reject_indices": 2}')).alias("j")).first().j
+    assert two == '{"reject_indices": [{"a": 1}]}'
+
+
+def test_the_scan_takes_time_in_proportion(spark):
+    def took(n):
+        raw = '{"a": {"b": ["%s"]}}, ' % ("x } " * 40) * n + '{"reject_indices": [1], "reject_scores": [1]}'
+        row = spark.createDataFrame([(raw,)], "raw string")
+        began = time.time()
+        assert row.select(verdicts.parse(F.col("raw")).alias("v")).first().v.reject_indices == [1]
+        return time.time() - began
+
+    took(5)
+    assert took(800) < 20 * max(took(100), 0.2)
+
+
+def test_batches_lose_no_image(spark):
+    rows = spark.createDataFrame([(1, None, 3), (2, None, None), (3, "a", None), (4, "a", 1), (5, None, 1)], "id int, item string, at int")
+    got = {r.id: (r.batch, r.position) for r in verdicts.batches(rows, "item", ["at", "id"], F.col("at")).collect()}
+    assert got == {2: (0, 0), 5: (0, 1), 1: (0, 2), 3: (0, 0), 4: (0, 1)}

@@ -156,15 +156,18 @@ def verify_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.commit_or_roll_back(pages, "html", "candidate", left, "kept").select("page_id", "status", F.md5("kept").alias("kept_md5"))
 
 
-MANIFEST_FILES = (("hub", "a/run.py", "1"), ("hub", "../x", "2"), ("hub", "/abs", "3"), ("hub", "C:\\x", "4"), ("hub", "a..b/c", "5"), ("seo", "a/run.py", "9"), ("seo", "b/new.py", "7"))
-WHITELIST = (("hub", "a/run.py"), ("hub", "../x"), ("hub", "a..b/c"), ("seo", "b/new.py"))
+#: What stands before and after a file's name: safe at first, then ways out of the folder, then safe again.
+PATHS = (("a/", ""), ("../", ""), ("/abs/", ""), ("C:\\", ""), ("a..b/", ""), ("a/", "/../../x"), ("a\\..\\", ""))
 
 
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(MANIFEST_FILES, "app string, path string, sha256 string")
-    white = spark.createDataFrame(WHITELIST, "app string, path string")
-    taken = updates.allowed(files, white).select("app", "path", F.lit("allowed").alias("verdict"))
-    return taken.unionByName(updates.refused(files, white).select("app", "path", F.col("reason").alias("verdict")))
+    """UP4 and UP5: pages as the files of three apps, with safe and unsafe paths, held against whitelists."""
+    n = F.col("page_id")
+    at = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PATHS]), (n % len(PATHS) + 1).cast("int"))
+    files = _table(spark, sf_dir, "pages").select(F.concat(F.lit("app"), (n % 3).cast("string")).alias("app"), F.concat(at(0), n.cast("string"), at(1)).alias("path"), F.sha2("html", 256).alias("sha256"), n)
+    white = files.where("page_id % 4 != 1").select("app", "path")
+    taken = updates.allowed(files, white).select("app", "path", "sha256", F.lit("allowed").alias("verdict"))
+    return taken.unionByName(updates.refused(files, white).select("app", "path", "sha256", F.col("reason").alias("verdict")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -278,6 +281,10 @@ ORACLE_SQL: dict[str, str] = {
     "verify_rollback": """WITH made AS (SELECT page_id, html, regexp_replace(html, '<script>[^<]*(<[^<]*)?</script>', '', 'g') AS candidate FROM pages),
       checked AS (SELECT *, contains(candidate, '&amp;') OR contains(candidate, '<script') AS residue FROM made)
       SELECT page_id, CASE WHEN residue THEN 'rejected' ELSE 'rescued' END AS status, md5(CASE WHEN residue THEN html ELSE candidate END) AS kept_md5 FROM checked""",
-    "manifest_check": r"SELECT * FROM (VALUES ('hub', 'a/run.py', 'allowed'), ('hub', '../x', 'unsafe path'), ('hub', '/abs', 'unsafe path'), ('hub', 'C:\x', 'unsafe path'), ('hub', 'a..b/c', 'allowed'), ('seo', 'a/run.py', 'not on the whitelist'), ('seo', 'b/new.py', 'allowed')) t(app, path, verdict)",
+    "manifest_check": "SELECT 'app' || page_id % 3 AS app, (["
+    + ", ".join(_text(p[0]) for p in PATHS)
+    + f"])[page_id % {len(PATHS)} + 1] || page_id || (["
+    + ", ".join(_text(p[1]) for p in PATHS)
+    + f"])[page_id % {len(PATHS)} + 1] AS path, sha256(html) AS sha256, CASE WHEN page_id % {len(PATHS)} NOT IN (0, 4) THEN 'unsafe path' WHEN page_id % 4 = 1 THEN 'not on the whitelist' ELSE 'allowed' END AS verdict FROM pages",
     "last_caps": f"SELECT stage, arg_max(cap, decision) AS cap FROM ({_cap_sql(_MILD)}) GROUP BY stage",
 } | catalog_steps.ORACLE_SQL | catalog_files.ORACLE_SQL

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
 from wareflow.operators import rasters
 from wareflow.plans import steps
+from wareflow.sources import archives, parts
 
 #: The size of a drawn picture and of the mark in its corner.
 WIDTH, HEIGHT, MARKED = 24, 16, (5, 4)
@@ -21,6 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="wareflow-")
+    return f"{base.rstrip('/').removeprefix('file://')}/files/{uuid.uuid4().hex}"
+
+
 def _drawn(n: int) -> bytes:
     """Six kinds of picture: no mark, a mark, a mark and an address, a mark in the middle, a mark beside a faint column, a damaged file."""
     x, y = np.meshgrid(np.arange(WIDTH), np.arange(HEIGHT))
@@ -62,7 +77,31 @@ def rescued_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_boxes").cast("long").alias("n_boxes"), "status", _pixel_sums("kept").alias("pixels"), F.coalesce("error", F.lit("")).alias("error"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels,)}
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UP3 to UP5: pages packed as the archives of three apps; safe members on the whitelist are unpacked and hashed, others say why not."""
+    n = F.col("page_id")
+    path = F.concat(F.when(n % 7 == 0, "../").when(n % 7 == 1, "/").otherwise(""), F.lit("p/"), n.cast("string"))
+    files = _table(spark, sf_dir, "pages").select(F.concat(F.lit("app"), (n % 3).cast("string")).alias("app"), path.alias("path"), F.encode("html", "utf-8").alias("content"), n)
+    folder = _folder(spark)
+    archives.pack(files, folder)
+    found = archives.members(spark, folder, files.where("page_id % 5 != 0"))
+    return found.select("app", "path", "size", F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unpacked(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: gzip.decompress(base64.b64decode(b)).decode().split("\n"))
+
+
+def pushed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5 and FB2: events as messages of gzip in base64, committed at once, and read back."""
+    folder = _folder(spark)
+    parts.append(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), folder, form="messages", permessage="500")
+    lines = parts.committed(spark, folder, "", "messages").select(F.explode(_unpacked("body")).alias("line"))
+    return lines.select(F.from_json("line", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, pushed_log)}
 
 _W, _H = MARKED
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +115,8 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN any_value(shot) THEN 'given up' WHEN any_value(kind) = 1 THEN 'rescued' ELSE 'rejected' END AS status,
         CAST(CASE WHEN any_value(kind) = 5 THEN -1 ELSE sum(CASE WHEN mended THEN (n * 31 + {_W} * 7 + y * 13) % 200 ELSE value END) END AS BIGINT) AS pixels,
         CASE WHEN any_value(kind) = 5 AND NOT any_value(shot) THEN 'locate: NotAPicture: cut off' ELSE '' END AS error FROM seen GROUP BY n""",
+    "archive_members": """WITH files AS (SELECT page_id, 'app' || page_id % 3 AS app, CASE page_id % 7 WHEN 0 THEN '../' WHEN 1 THEN '/' ELSE '' END || 'p/' || page_id AS path, html FROM pages),
+      judged AS (SELECT *, CASE WHEN page_id % 7 < 2 THEN 'unsafe path' WHEN page_id % 5 = 0 THEN 'not on the whitelist' ELSE '' END AS reason FROM files)
+      SELECT app, path, CAST(strlen(html) AS BIGINT) AS size, CASE WHEN reason = '' THEN sha256(html) ELSE '' END AS sha256, reason FROM judged""",
+    "pushed_log": "SELECT event_id, user_id, event_type, value FROM events",
 }

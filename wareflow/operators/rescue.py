@@ -53,7 +53,7 @@ def pool_size(memory_gb: Column, failures: Column) -> Column:
     size = F.lit(1)
     for least, workers in reversed(POOLS):
         size = F.when(memory_gb >= least, workers).otherwise(size)
-    return F.greatest(F.lit(1), F.call_function("shiftright", size, F.coalesce(F.least(failures, F.lit(30)), F.lit(0)).cast("int"))).cast("long")
+    return F.greatest(F.lit(1), F.call_function("shiftright", size, F.least(F.coalesce(failures, F.lit(0)), F.lit(30)).cast("int"))).cast("long")
 
 
 def replace_first(images: Column, better: Column) -> Column:
