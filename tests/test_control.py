@@ -114,7 +114,7 @@ def ledger_rows(seed, n=900):
 def test_ledger_by_blocks_equals_the_fold(spark, seed):
     rows = ledger_rows(seed)
     ops = spark.createDataFrame([(t, d, T0 + dt.timedelta(minutes=13 * k), k, p, r) for t, d, k, p, r in rows], "tenant long, quota_day string, ts timestamp_ntz, key long, product long, refund boolean").repartition(5)
-    for limit, block in ((1, 4), (3, 7), (4, 50), (2000, 5), (0, 9)):
+    for limit, block in ((1, "minute"), (3, "hour"), (4, "day"), (2000, "hour"), (0, "week"), (2, "year")):
         got = sorted((tuple(r) for r in control.ledger(ops, limit, block).collect()), key=str)
         assert got == folded(rows, limit), (limit, block)
 
@@ -131,8 +131,8 @@ def test_blocks_are_cut_down_to_what_may_change_something(spark):
     for seq, product, refund in rows:
         out.append(("x", 0, seq, product, refund, last.get(product)))
         last[product] = refund
-    df = spark.createDataFrame(out, "of string, block long, seq long, product string, refund boolean, before boolean")
-    got = sorted((r.seq, r.product, r.refund, r.times) for r in control.decisive(df).collect())
+    df = spark.createDataFrame(out, "of string, block long, at long, product string, refund boolean, before boolean")
+    got = sorted((r["at"], r["product"], r["refund"], r["times"]) for r in control.decisive(df).collect())
     assert got == [(0, "a", False, 3), (2, "b", False, 1), (4, "a", True, 1), (6, "b", False, 2), (8, "b", True, 1)]
 
 

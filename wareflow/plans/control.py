@@ -18,8 +18,8 @@ NO_SIGNAL = ("network_blip", "cascade_pause")
 QUOTA = 2000
 #: Decisions of a stage that one task steps through.
 CAP_BLOCK = 20_000
-#: Operations of a tenant's day that make a block of the ledger.
-LEDGER_BLOCK = 50_000
+#: What of a tenant's day makes a block of the ledger.
+LEDGER_BLOCK = "minute"
 
 
 def signals(events: DataFrame, outcome: str) -> DataFrame:
@@ -135,33 +135,33 @@ def attributed(events: DataFrame, tenant: str, ts: str, key: str, product: str,
     return rows.join(days, keys).select("tenant", "ts", "key", "product", "refund", day.alias("quota_day"))
 
 
-def ledger(operations: DataFrame, limit: int = QUOTA, block: int = LEDGER_BLOCK) -> DataFrame:
+def ledger(operations: DataFrame, limit: int = QUOTA, block: str = LEDGER_BLOCK) -> DataFrame:
     """(tenant, quota_day, used, denied, refunded) of operations (tenant, quota_day, ts, key, product, refund).
 
     Within a tenant's day: a product is one unit, however often it consumes; over the limit it is denied; a refund
-    gives an admitted product's unit back, once.  Null tenants, days and products count as values of their own, a null
-    refund as a consume.
+    gives an admitted product's unit back, once.  Null tenants, days, times and products count as values of their own,
+    a null refund as a consume; operations are in the order of ts, key, refund and product.
 
-    A day is cut into blocks of operations, so that no task and no row holds a tenant's day.  Where its products are no
+    A day is cut into blocks of time, so that no task and no row holds a tenant's day.  Where its products are no
     more than the limit nothing is ever denied, and each product goes its own way: a block says of each of its
     products what it did first and last and how often it gave back in between, and these are put together by product.
     Other days need their order: each block is cut down to the operations that may change something (of repeated
     consumes with no refund between them the first, with their number; of repeated refunds the first), and these
     pass in order through one fold, whose state is the admitted products, at most ``limit``.
     """
-    day = F.to_json(F.struct("tenant", "quota_day"))
-    rows = operations.select(day.alias("of"), "ts", "key", F.to_json(F.struct("product")).alias("product"), F.coalesce("refund", F.lit(False)).alias("refund"))
-    rows = numbered(rows, ["of"], F.date_trunc("hour", F.col("ts")), ["ts", "key", "refund", "product"]).withColumn("block", F.floor((F.col("seq") - 1) / block))
-    inside = Window.partitionBy("of", "block", "product").orderBy("seq")
-    rows = rows.select("of", "block", "seq", "product", "refund", F.lag("refund").over(inside).alias("before"))
+    of, refund = F.to_json(F.struct("tenant", "quota_day")), F.coalesce("refund", F.lit(False))
+    at = F.struct("ts", "key", refund.alias("refund"), "product").alias("at")
+    rows = operations.select(of.alias("of"), F.struct(F.date_trunc(block, F.col("ts"))).alias("block"), F.struct("product").alias("product"), refund.alias("refund"), at)
+    rows = rows.withColumn("before", F.lag("refund").over(Window.partitionBy("of", "block", "product").orderBy("at")))
     gives_back = F.col("refund") & ~F.coalesce("before", F.lit(True))
-    parts = rows.groupBy("of", "product", "block").agg(F.min_by("refund", "seq").alias("first"), F.max_by("refund", "seq").alias("last"), F.sum(gives_back.cast("long")).alias("back"), F.bool_or(~F.col("refund")).alias("takes"))
+    parts = rows.groupBy("of", "block", "product").agg(F.min_by("refund", "at").alias("first"), F.max_by("refund", "at").alias("last"), F.sum(gives_back.cast("long")).alias("back"), F.bool_or(~F.col("refund")).alias("takes"))
     across = F.col("first") & ~F.coalesce(F.lag("last").over(Window.partitionBy("of", "product").orderBy("block")), F.lit(True))
     each = parts.withColumn("back", F.col("back") + across.cast("long")).groupBy("of", "product").agg(F.max_by("last", "block").alias("last"), F.sum("back").alias("back"), F.bool_or("takes").alias("takes"))
     days = each.groupBy("of").agg(F.sum((~F.col("last")).cast("long")).alias("used"), F.lit(0).cast("long").alias("denied"), F.sum("back").alias("refunded"), F.sum(F.col("takes").cast("long")).alias("products"))
     ordered = decisive(rows.join(days.where(F.col("products") > limit).select("of"), "of", "left_semi"))
     schema = "of string, used long, denied long, refunded long"
-    chained = ordered.repartition("of").sortWithinPartitions("of", "seq").mapInPandas(_folded(limit), schema)
+    text = ordered.withColumn("product", F.to_json("product"))
+    chained = text.repartition("of").sortWithinPartitions("of", "at").select("of", "product", "refund", "times").mapInPandas(_folded(limit), schema)
     both = days.where(F.col("products") <= limit).select("of", "used", "denied", "refunded").unionByName(chained)
     kinds = dict(operations.dtypes)
     key = F.from_json("of", f"tenant {kinds['tenant']}, quota_day {kinds['quota_day']}")
@@ -169,15 +169,16 @@ def ledger(operations: DataFrame, limit: int = QUOTA, block: int = LEDGER_BLOCK)
 
 
 def decisive(rows: DataFrame) -> DataFrame:
-    """(of, seq, product, refund, times): the operations that may change a day's state.
+    """(of, at, product, refund, times): the operations that may change a day's state.
 
-    ``rows`` has of, block, seq, product, refund and before (whether the product's operation before it in its block
-    was a refund).  Consumes of a product with no refund between them in their block end alike: all denied or none.
+    ``rows`` has of, block, at (what they are ordered by), product, refund and before (whether the product's operation
+    before it in its block was a refund).  Consumes of a product with no refund between them in their block end alike:
+    all denied or none.
     """
-    stretch = F.sum(F.col("refund").cast("int")).over(Window.partitionBy("of", "block").orderBy("seq"))
+    stretch = F.sum(F.col("refund").cast("int")).over(Window.partitionBy("of", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     marked = rows.withColumn("stretch", stretch).where(~F.col("refund") | ~F.coalesce("before", F.lit(False)))
-    grouped = marked.groupBy("of", "block", "stretch", "refund", "product").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
-    return grouped.select("of", "seq", "product", "refund", "times")
+    grouped = marked.groupBy("of", "block", "stretch", "refund", "product").agg(F.min("at").alias("at"), F.count("*").alias("times"))
+    return grouped.select("of", "at", "product", "refund", "times")
 
 
 def _folded(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
