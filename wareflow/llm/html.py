@@ -3,16 +3,20 @@
 A page becomes a tree of elements.  Kinds that are never main text (menus, footers, asides, scripts, controls) are
 left out with all that is in them.  For each other node, its characters per tag are adjusted for links: the more of
 its characters and tags are those of links, the smaller the logarithm they are multiplied with.  Forms, page
-headers and elements with a name of boilerplate (a whole word of ``class``, ``id`` or ``role``, such as "sidebar",
-not "with-sidebar") may still hold the text, so for them and what is in them this density only counts by a tenth
-(``DOUBT``), once for each such element around it.
+headers and elements with a name of boilerplate in ``class``, ``id`` or ``role`` may still hold the text, so for them
+and what is in them this density only counts by a share, once for each such element around it: a tenth where the name
+is a whole word ("sidebar"), a fifth where it is part of a compound one ("comment-list", "leftSidebar"), a half where
+the compound may as well name a topic ("social-science"), all of it after "with", "no" and the like ("with-sidebar").
 
-A node's density sum adds up the densities of its children.  The node with the largest sum is the content, and
-the least density on the way from it to the body is the threshold:
+A node's density sum adds up the densities of its children.  The node with the largest sum is the content, though none
+under more doubt than an ``article`` or ``main`` with text, and the least density on the way from it to the body is the
+threshold:
 
 - Of what stands beside that way, nodes at least as dense as the threshold belong to the content too; below the
-  body, so do headings, paragraphs, lists and the like that are not links alone.
-- A doubted node in the content that is thinner than the threshold is left out again, unless no text is left.
+  body, so do headings, paragraphs, lists and the like that are not links alone.  Neither do so under more doubt
+  than the content.
+- A node in the content that is doubted by more than a half and thinner than the content is left out again, unless no
+  text is left.
 
 Text is given block by block, one a line: character references decoded, runs of white space made one space (a
 ``br`` counts as white space), blocks without text left out.  Null, empty and text-free pages give the empty text.
@@ -41,11 +45,17 @@ _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption body html".spli
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that are never main text.
-_OUT = frozenset("nav footer aside script style noscript template textarea select button input iframe svg math object canvas audio video dialog menu head title".split())
+_OUT = frozenset("nav footer aside script style noscript template textarea select button input iframe canvas audio video dialog menu head title desc metadata".split())
 #: Elements that running text is made of.
 _FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre ul ol dl table figure figcaption details summary address b i em strong span a".split())
-#: What the density of an element that looks like boilerplate is multiplied with.
-DOUBT = 0.1
+#: What the density of an element that looks like boilerplate is multiplied with: by a whole word, by a part of a
+#: compound, and by a part that may be a topic.
+DOUBT, COMPOUND_DOUBT, INNER_DOUBT = 0.1, 0.2, 0.5
+#: Names that, unless they end a compound, may as well be what a text is about ("social-science").
+_TOPICS = frozenset("social menu search notice alert advertising advertisement promotion subscription login".split())
+#: After these a compound's words say what an element has or lacks, not what it is.
+_ABOUT = frozenset("with has no non not without hide show is before after above below".split())
+_PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 #: Names of boilerplate, evidence only; a "header" inside an article is kept.
 _OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay"
@@ -54,13 +64,29 @@ _OUT_NAMES = frozenset(
 )
 
 
+def doubt_by_names(words: list[str]) -> float:
+    """What the words of an element's names make of its density: 1 where they say nothing against it."""
+    doubt = 1.0
+    for word in words:
+        if word.lower() in _OUT_NAMES:
+            return DOUBT
+        parts = [p.lower() for p in _PARTS.split(word) if p]
+        parts = parts[: next((k for k, p in enumerate(parts) if p in _ABOUT), len(parts))]
+        telling = _OUT_NAMES.intersection(parts)
+        if telling - _TOPICS or (parts and parts[-1] in telling):
+            doubt = min(doubt, COMPOUND_DOUBT)
+        elif telling:
+            doubt = min(doubt, INNER_DOUBT)
+    return doubt
+
+
 class _Page:
     """The elements of a page in the order in which they start; parents come before children."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out, self.last = ["#"], [-1], [False], [0]
-        #: Elements that look like boilerplate.
-        self.doubted: set[int] = set()
+        #: Elements that look like boilerplate, and what their density is multiplied with.
+        self.doubted: dict[int, float] = {}
         #: (node, decoded text), and (node, None) where a block starts or ends.
         self.flow: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -74,12 +100,15 @@ class _Page:
             self._close(_SAME[tag], _FENCE[tag])
         node = len(self.tag)
         above = self.stack[-1]
-        names = {w.lower() for m in _NAMES.findall(attributes) for part in m for w in part.split()} if attributes else ()
+        names = [w for m in _NAMES.findall(attributes) for part in m for w in part.split()] if attributes else []
         out = self.out[above] or tag in _OUT
         if not out and tag not in ("html", "body"):
             inside = self.open.get("article") or self.open.get("main")
-            if tag == "form" or (names and not _OUT_NAMES.isdisjoint(names)) or ((tag == "header" or "header" in names) and not inside):
-                self.doubted.add(node)
+            doubt = doubt_by_names(names)
+            if tag == "form" or ((tag == "header" or "header" in map(str.lower, names)) and not inside):
+                doubt = DOUBT
+            if doubt < 1:
+                self.doubted[node] = doubt
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(out)
@@ -175,12 +204,12 @@ def densities(page: _Page, sizes: list[int]) -> list[float]:
     return [0.0 if page.out[n] else density(chars[n], tags[n], link_chars[n], link_tags[n], share) for n in range(count)]
 
 
-def content(page: _Page, dense: list[float], doubt: float = DOUBT) -> list[bool]:
+def content(page: _Page, dense: list[float], doubting: bool = True) -> list[bool]:
     """Which nodes the content is made of."""
     count = len(page.tag)
     weight = [1.0] * count
     for n in range(1, count):
-        weight[n] = weight[page.parent[n]] * (doubt if n in page.doubted else 1.0)
+        weight[n] = weight[page.parent[n]] * (page.doubted.get(n, 1.0) if doubting else 1.0)
     dense = [d * w for d, w in zip(dense, weight, strict=True)]
     sums = [0.0] * count
     for n in range(1, count):
@@ -189,6 +218,8 @@ def content(page: _Page, dense: list[float], doubt: float = DOUBT) -> list[bool]
     may_be = [n for n in range(count) if not page.out[n] and page.tag[n] not in ("#", "html")] or [0]
     if all(page.tag[n] != "body" for n in may_be):
         may_be.append(0)
+    surest = max((weight[n] for n in may_be if page.tag[n] in ("article", "main") and dense[n] > 0), default=0.0)
+    may_be = [n for n in may_be if weight[n] >= surest]
     best = max(may_be, key=lambda n: (sums[n], dense[n], -n))
     way = [best]
     while way[-1] > 0 and page.tag[way[-1]] != "body":
@@ -197,11 +228,12 @@ def content(page: _Page, dense: list[float], doubt: float = DOUBT) -> list[bool]
     within = [n == best for n in range(count)]
     for n in range(1, count):
         above = page.parent[n]
-        thin = doubt < 1 and n in page.doubted and n not in on_way and dense[n] < least
+        thin = doubting and page.doubted.get(n, 1.0) < INNER_DOUBT and n not in on_way and dense[n] < max(least, dense[best])
         if page.out[n] or n == best or thin:
             continue
         flows = page.tag[n] in _FLOW and above != way[-1] and dense[n] > 0
-        within[n] = within[above] or (above in on_way and n not in on_way and (dense[n] >= least > 0 or flows))
+        beside = above in on_way and n not in on_way and weight[n] >= weight[best] and (dense[n] >= least > 0 or flows)
+        within[n] = within[above] or beside
     # Text of the nodes on the way themselves, such as that after an inner element, is not that of a node beside it.
     for n in way:
         within[n] = within[n] or page.tag[n] not in ("#", "html", "body")
@@ -224,7 +256,7 @@ def main_text(source: str | None) -> str:
     dense = densities(page, sizes)
     within = content(page, dense)
     if not any(n and w for n, w in zip(sizes, within, strict=True)):
-        within = content(page, dense, doubt=1.0)
+        within = content(page, dense, doubting=False)
     blocks, line = [], []
     for node, text in decoded:
         if text is None:
