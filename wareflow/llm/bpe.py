@@ -87,6 +87,7 @@ class MergeAutomaton:
         self.known: dict[int, bool] = {}
         self.histories: dict[int, list] = {}
         self.left_parts: dict[int, list] = {}
+        self.table: dict[int, tuple[int, int]] = {}
         self._spell()
         self._start()
 
@@ -113,7 +114,7 @@ class MergeAutomaton:
     def _start(self) -> None:
         """An empty table: its first state stands before any byte."""
         self.number, self.members = {((0, 0),): 0}, [((0, 0),)]
-        self.table: dict[int, tuple[int, int]] = {}
+        self.table.clear()
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc of ``label``."""
@@ -161,9 +162,16 @@ class MergeAutomaton:
         return found
 
     def _transition(self, at: int, byte: int) -> tuple[int, int]:
-        """From table state ``at`` on ``byte``: the next table state, and the label by which a path can end there."""
+        """From table state ``at`` on ``byte``: the next table state, and the label by which a path can end there.
+
+        A full table starts anew, in the middle of a word too, with the state that ``at`` was.
+        """
+        here = self.members[at]
+        if len(self.table) >= self.most:
+            self._start()
+            at = self._numbered(here)
         going, ended = [], -1
-        for state, node in self.members[at]:
+        for state, node in here:
             node = self.child.get(node << 8 | byte)
             if node is not None:
                 going.append((state, node))
@@ -171,17 +179,17 @@ class MergeAutomaton:
                 if label >= 0 and (not state or self.has_arc(state, label)):
                     ended = label
         going.append((self.leads_to[ended], 0))
-        members = tuple(sorted(going))
+        found = self.table[at << 8 | byte] = self._numbered(tuple(sorted(going))), ended
+        return found
+
+    def _numbered(self, members: tuple) -> int:
         number = self.number.setdefault(members, len(self.members))
         if number == len(self.members):
             self.members.append(members)
-        found = self.table[at << 8 | byte] = number, ended
-        return found
+        return number
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path over ``word``: one transition a byte, then the labels from the last one back."""
-        if len(self.table) >= self.most:
-            self._start()
         look_up, at, ends = self.table.get, 0, []
         for byte in word:
             at, label = look_up(at << 8 | byte) or self._transition(at, byte)
