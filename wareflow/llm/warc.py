@@ -132,17 +132,28 @@ _START = re.compile(rb"^WARC/1\.[01]\r?$", re.M)
 _BLANK = re.compile(rb"\r?\n\r?\n")
 
 
+#: Bytes of a gzip member that are inflated at a time.
+_STEP = 1 << 20
+
+
 def _members(data: bytes) -> Iterator[bytes]:
-    """The data itself, or that of each gzip member."""
+    """The data itself, or that of each gzip member; each byte is looked at once, however many members there are."""
     if data[:2] != b"\x1f\x8b":
         yield data
-    while data[:2] == b"\x1f\x8b":
-        inflate = zlib.decompressobj(wbits=31)
+        return
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        inflate, found = zlib.decompressobj(wbits=31), []
         try:
-            yield inflate.decompress(data)
+            while not inflate.eof and at < len(view):
+                step = view[at : at + _STEP]
+                found.append(inflate.decompress(step))
+                at += len(step) - len(inflate.unused_data)
         except zlib.error:
             return
-        data = inflate.unused_data.lstrip(b"\0")
+        yield b"".join(found)
+        while at < len(view) and view[at] == 0:
+            at += 1
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -185,8 +196,17 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
         yield record
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: headers (map), block (binary), text (the block as UTF-8) and intact (whether it is whole)."""
+#: What ends a record and begins the next one.
+_BETWEEN, _FIRST = "\r\n\r\nWARC/1.", b"WARC/1."
+
+
+def read(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Records of WARC files: headers (map), block (binary), text (the block as UTF-8) and intact (whether it is whole).
+
+    A file is read at once and goes by Content-Length; Spark can so read files of less than 2 GB.  For larger ones set
+    ``whole`` to False: records are then cut where an empty line and a new version line follow, so files of any size
+    are split over tasks (gzipped ones are streamed), and a block that has such lines itself is not intact.
+    """
     schema = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("intact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +222,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = files.where("length > 0").select("content").mapInArrow(run, "headers map<string,string>, block binary, intact boolean")
+    if whole:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
+    else:
+        pieces = spark.read.option("lineSep", _BETWEEN).option("recursiveFileLookup", "true").text(path).select(F.col("value").cast("binary").alias("v"))
+        begun = F.when(F.substring("v", 1, len(_FIRST)) == F.lit(_FIRST), F.col("v")).otherwise(F.concat(F.lit(_FIRST), F.col("v")))
+        files = pieces.where(F.octet_length("v") > 0).select(begun.alias("content"))
+    found = files.mapInArrow(run, "headers map<string,string>, block binary, intact boolean")
     return found.select("headers", "block", F.expr("try_validate_utf8(cast(block as string))").alias("text"), "intact")
 
 
