@@ -37,15 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import connected
-from wareflow.llm.shared import salted_join, saved, shuffled_join, small_batches, tidy
+from wareflow.llm.shared import HOT, dealt_join, salted_join, saved, shuffled_join, small_batches, tidy
 from wareflow.llm.words import mix, shingles, word_hashes
 
 ROWS = 5
 MISSED = 1e-6
-#: Sketches of one side that a task compares at once, about.
-BLOCK = 512
-#: Buckets with more than this part of all members are split; so there are fewer of them than that.
-HOT = 2000
+#: What a task compares at once of one side, about: so many sketches of up to LOAD shingles, or fewer longer ones.
+BLOCK, LOAD = 512, 4096
 
 
 def bands_for(threshold: float, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -125,8 +123,12 @@ def _gaps(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray, percent:
     return np.where((mine <= n - shared) & (theirs <= sizes - shared), mine + theirs, -1)
 
 
-def _held(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Of each node (node, id, t, n): its text and the sketch of its set."""
+def _held(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """Of each node (node, id, t, n): its text and the sketch of its set.
+
+    ``rows`` has id and t of each document: a row that is repeated often, or a text that many rows without an id share,
+    is dealt over the tasks, and each of them keeps one text of it.
+    """
 
     @F.arrow_udf("binary")
     def sketched(texts: pa.Array) -> pa.Array:
@@ -134,7 +136,7 @@ def _held(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) ->
 
     # Ids may be null, and their rows many, so the text's hash is a part of the key.
     place = [F.coalesce("id", F.lit(0)).alias("id"), "t"]
-    wanted = shuffled_join(_named(docs, key, text).select(*place, "text"), nodes.select("node", "n", *place), ["id", "t"], "inner")
+    wanted = dealt_join(_named(docs, key, text).select(*place, "text"), rows.select(*place), nodes.select("node", "n", *place), ["id", "t"])
     one = wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return one.select("node", "n", "text", sketched("text").alias("bits"))
 
@@ -189,10 +191,12 @@ def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Da
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """Members (key, size, node) of the buckets with two or more; of buckets with the same members there is one."""
-    placed = classes.select("node", F.explode("bands").alias("key"))
+    # Sketches of long texts are long, so blocks of them hold fewer.
+    load = F.ceil(F.col("n") / LOAD).cast("long").alias("load")
+    placed = classes.select("node", load, F.explode("bands").alias("key"))
     sizes = saved(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    # Fewer than HOT keys have more than total / HOT members each.
+    # Buckets with more than 1/HOT of all members are split; there are fewer than HOT of them.
     part = max(1, total // HOT)
     hot = sizes.where(F.col("size") > part).select("key", F.ceil(F.col("size") / part).cast("int").alias("salts"))
 
@@ -201,23 +205,23 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
     left = salted(placed).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).drop("salts")
     right = salted(sizes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    members = saved(shuffled_join(left, right, ["key", "salt"], "inner").select("key", "size", "node"))
+    members = saved(shuffled_join(left, right, ["key", "salt"], "inner").select("key", "size", "node", "load"))
     marks = members.groupBy("key", "size").agg(*[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)])
     first = marks.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
     return saved(salted_join(members, first, ["key"], ["node"]))
 
 
 def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, component, main, size, odd) of buckets that lie in several components.
+    """Members (key, node, component, main, whole, odd) of buckets that lie in several components.
 
-    ``main`` is the bucket's largest component and ``odd`` the number of members outside it.
+    ``main`` is the bucket's largest component, ``whole`` the load of its members and ``odd`` that of those outside it.
     """
     labelled = buckets.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = labelled.groupBy("key", "size", "component").agg(F.count("*").alias("here"))
-    most = F.max_by(F.struct("component", "here"), F.struct("here", -F.col("component"))).alias("most")
-    mains = counts.groupBy("key", "size").agg(most).where("most.here < size")
-    mains = mains.select("key", F.col("most.component").alias("main"), (F.col("size") - F.col("most.here")).alias("odd"))
-    return saved(salted_join(labelled, mains, ["key"], ["node"]))
+    counts = labelled.groupBy("key", "size", "component").agg(F.count("*").alias("here"), F.sum("load").alias("load"))
+    most = F.max_by(F.struct("component", "here", "load"), F.struct("here", -F.col("component"))).alias("most")
+    mains = counts.groupBy("key", "size").agg(most, F.sum("load").alias("whole")).where("most.here < size")
+    mains = mains.select("key", F.col("most.component").alias("main"), "whole", (F.col("whole") - F.col("most.load")).alias("odd"))
+    return saved(salted_join(labelled.select("key", "node", "component"), mains, ["key"], ["node"]))
 
 
 def _near(apart: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +229,7 @@ def _near(apart: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     grid = ["key", "a_block", "b_block"]
 
     def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
-        blocks = {"a": F.ceil(F.col("odd") / BLOCK).cast("int"), "b": F.ceil(F.col("size") / BLOCK).cast("int")}
+        blocks = {"a": F.ceil(F.col("odd") / BLOCK).cast("int"), "b": F.ceil(F.col("whole") / BLOCK).cast("int")}
         dealt = rows.select("key", "node", "component", F.pmod(F.xxhash64("node"), blocks[own]).cast("int").alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(f"{other}_block"))
         found = dealt.join(held.select("node", "n", "bits"), "node")
         return found.toDF(*found.columns)
@@ -258,18 +262,23 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(salted_join(known, merged, ["component"], ["node"], "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
-def labelled(docs: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+def labelled(docs: DataFrame, signs: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """``node`` and ``component`` of the nodes that link with another."""
     buckets = _buckets(classes)
     central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
     pivots = buckets.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
     stars = salted_join(buckets, pivots, ["key"], ["node"]).where("node != a").select("a", F.col("node").alias("b"))
     stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    held = saved(_held(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), size, key, text))
+    held = saved(_held(docs, signs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), size, key, text))
     links = saved(_confirmed(saved(_possible(stars, held, percent)), held, size, percent))
     labels = saved(connected(links).withColumnRenamed("id", "node"))
 
-    near = saved(_near(_apart(buckets, labels), held, percent))
+    apart = _apart(buckets, labels)
+    if apart.isEmpty():
+        return labels
+    near = saved(_near(apart, held, percent))
+    if near.isEmpty():
+        return labels
     likeliest = saved(near.groupBy("a", "of_b").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b"))
     labels = _relabelled(labels, saved(_confirmed(likeliest, held, size, percent)))
     rest = near.select("a", "b").join(likeliest, ["a", "b"], "left_anti")
@@ -291,7 +300,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id
     order = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "t")
     classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "t", "n", "bands"), order).alias("least"))
     classes = saved(classes.select("class_a", "class_b", "least.*", F.monotonically_increasing_id().alias("node")))
-    labels = labelled(docs, classes, size, percent, key, text)
+    labels = labelled(docs, signs, classes, size, percent, key, text)
 
     linked = saved(labels.join(classes.select("node", "id", "t", "class_a", "class_b"), "node"))
     firsts = linked.groupBy("component").agg(F.min_by(F.struct("id", "t"), order).alias("first"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,27 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+@contextmanager
+def spent(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``saved`` writes within go at its end; for work whose result does not read them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _open.pop())
+
+
+def within_spent(work: Callable) -> Callable:
+    """For functions of a DataFrame that return no DataFrame: the tables that they write go."""
+
+    @wraps(work)
+    def run(first: DataFrame, *args, **kwargs):
+        with spent(first.sparkSession):
+            return work(first, *args, **kwargs)
+
+    return run
+
+
 def tidy(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For functions that return a DataFrame: it is written, and the tables that ``work`` wrote before go."""
 
@@ -90,6 +112,31 @@ def shuffled_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) ->
     return rows.join(table.hint("merge"), on, how)
 
 
+#: Keys that are dealt out at most.
+HOT = 2000
+#: Rows that a key may have before it is dealt out, whatever the share.
+_FEW = 1000
+
+
+def dealt_join(rows: DataFrame, counted: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``shuffled_join`` with a table of one row a key, in which hot keys do not meet in one task.
+
+    ``counted`` has a row, with the columns ``on``, for each of ``rows``.  Keys with more than 1/HOT of all rows, fewer
+    than HOT keys then, are broadcast with their number of parts; their rows are dealt over the parts as they come,
+    whatever they hold, and the table has a row for each part.
+    """
+    sizes = counted.groupBy(*on).agg(F.count("*").alias("_size"))
+    part = max(_FEW, counted.count() // HOT)
+    hot = saved(sizes.where(F.col("_size") > part).select(*on, F.ceil(F.col("_size") / part).cast("int").alias("_parts")))
+
+    def parted(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    dealt = parted(rows).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
+    each = parted(table).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return shuffled_join(dealt, each, [*on, "_part"], how).drop("_part")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's rows an Arrow batch to ``rows``: whole texts are long, and a worker holds a batch and its results."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
