@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm import fitting
+from wareflow.llm.shared import within_spent
 from wareflow.llm.subword import Shape, SubwordModel
 
 SHAPE = Shape(lower=True, repeats=False)
@@ -21,6 +22,7 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
 
+@within_spent
 def fit(docs: DataFrame, each: int = SAMPLE_EACH, key: str = "doc_id", text: str = "text", label: str = "lang") -> SubwordModel | None:
     """A model of the labels of ``docs`` from ``each`` rows of a label at most; None without any."""
     sample, share = fitting.sampled(docs, label, [key, text, label], each)

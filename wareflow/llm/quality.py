@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm import fitting
-from wareflow.llm.shared import saved
+from wareflow.llm.shared import saved, within_spent
 from wareflow.llm.subword import Shape, SubwordModel
 
 #: Case tells shouting from prose, so it stays.
@@ -22,6 +22,7 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 
+@within_spent
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, key: str = "doc_id", text: str = "text", label: str = "quality") -> SubwordModel | None:
     """A model of ``label`` (0 or 1) from ``each`` rows of either label at most; None without labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
