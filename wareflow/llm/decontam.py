@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import saved, small_batches
+from wareflow.llm.shared import saved, shuffled_join, small_batches
 from wareflow.llm.words import LOWER, shingles, span_hashes, spans
 
 SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 15, 4
@@ -211,14 +211,26 @@ def _against(docs: DataFrame, index: Items, text: str, percent: int) -> Column:
 def matched(docs: DataFrame, items: DataFrame, text: str = "text", column: str = "matches", percent: int = PERCENT, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``column``: for each item that a text contains, (item, likeness, first_word, n_words)."""
     small_batches(docs.sparkSession)
-    found, waiting = docs.withColumn(column, F.array().cast(_MATCHES)), False
-    for rows in _blocks(items, item_key, item_text):
-        index = Items.of(rows)
-        if index is not None:
-            # One block's index at a time: what the block before found is written first.
-            found = saved(found) if waiting else found
-            found, waiting = found.withColumn(column, F.concat(column, _against(found, index, text, percent))), True
-    return found
+    blocks = _blocks(items, item_key, item_text)
+    indexes = (index for index in map(Items.of, blocks) if index is not None)
+    first = next(indexes, None)
+    if first is None:
+        return docs.withColumn(column, F.array().cast(_MATCHES))
+    second = next(indexes, None)
+    if second is None:
+        return docs.withColumn(column, _against(docs, first, text, percent))
+    # Several blocks: texts are read once a block, and only what was found is carried on, by the number of the row.
+    numbered = saved(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
+    found = None
+    for index in chain((first, second), indexes):
+        own = numbered.select("number", _against(numbered, index, f"row.`{text}`", percent).alias("m")).where(F.size("m") > 0)
+        # One block's index at a time: what a block found is written before the next one.
+        own = saved(own)
+        found = own if found is None else found.union(own)
+    matches = found.groupBy("number").agg(F.sort_array(F.flatten(F.collect_list("m"))).alias("m"))
+    both = shuffled_join(numbered.select("row", "number"), matches, ["number"], "left")
+    names = [c for c in docs.columns if c.lower() != column.lower()]
+    return both.select(*[F.col("row")[c].alias(c) for c in names], F.coalesce("m", F.array().cast(_MATCHES)).alias(column))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
