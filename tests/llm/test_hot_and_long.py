@@ -1,0 +1,128 @@
+"""Repeated rows, very long words and samples, and archives of many members: what a task holds stays bounded."""
+
+from __future__ import annotations
+
+import gzip
+import random
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from wareflow.llm import bpe, decontam, fitting, neardup, quality, shared, warc
+
+
+def test_rows_of_a_hot_key_are_dealt_out(spark):
+    rows = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(-1).alias("k"), F.lit("x").alias("v"))
+    table = rows.select("k").distinct().where("k % 2 = 1 or k < 0").withColumn("w", F.col("k") * 2)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = shared.dealt_join(rows, rows, table, ["k"])
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == rows.join(table, "k").count() and max(sizes) < 3 * np.median(sizes)
+        left = shared.dealt_join(rows, rows, table.select("k"), ["k"], "left_anti")
+        assert sorted(r.k for r in left.collect()) == sorted(r.k for r in rows.join(table, "k", "left_anti").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_near_duplicates_among_a_row_that_is_a_third_of_all(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=60))
+    rows = [(None, text)] * 3000 + [(7, text + " end")] * 1500 + [(i, f"{text} {i} {rng.random()}") for i in range(100, 110)] + [(i, " ".join(rng.choices("abcdefgh", k=30))) for i in range(1000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = neardup.groups(docs)
+    assert got.count() == len(rows)
+    assert got.where("component_id = 7").count() == 4500 + 10 and got.where("id = 7 and kept").count() == 1500
+
+
+def test_blocks_of_long_sketches_find_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [rng.choices("abcdefghijklmnop", k=80) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        words = list(base[i % 3])
+        words[rng.randrange(80)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(tuple(r) for r in neardup.groups(docs, 3, 70).collect())
+    monkeypatch.setattr(neardup, "LOAD", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    assert sorted(tuple(r) for r in neardup.groups(docs, 3, 70).collect()) == wanted
+
+
+@pytest.mark.parametrize("most", [50, 1000])
+def test_a_long_word_stays_within_the_table(spark, most):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = f.read()
+    small, large = bpe.ByteBpe(spec, most), bpe.ByteBpe(spec)
+    word = "".join(random.Random(3).choices("abcdefghij", k=60_000)).encode()
+    sizes = []
+
+    class Watched(dict):
+        def __setitem__(self, key, value):
+            super().__setitem__(key, value)
+            sizes.append(len(self))
+
+    small.machine.table = Watched(small.machine.table)
+    assert small.machine.encode(word) == large.machine.encode(word) and max(sizes) <= most
+
+
+def test_members_take_time_in_proportion():
+    def took(n):
+        data = b"".join(gzip.compress(b"WARC/1.0\r\nContent-Length: 2000\r\n\r\n" + random.Random(k).randbytes(2000) + b"\r\n\r\n") for k in range(n))
+        began = time.process_time()
+        assert sum(whole for _, _, whole in warc.parsed(data)) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 20 * max(took(1000), 0.02)
+
+
+@pytest.mark.parametrize("end", ["", ".gz"])
+def test_files_that_are_not_read_whole(spark, tmp_path, end):
+    bodies = [b"one", "zwei ä".encode(), b"", b"in\r\n\r\nside", b"x" * 70_000]
+    data = b"".join(b"WARC/1.%d\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k % 2, len(b), b) for k, b in enumerate(bodies))
+    (tmp_path / f"x.warc{end}").write_bytes(gzip.compress(data) if end else data)
+    whole, cut = (sorted((bytes(r.block), r.intact, r.headers["WARC-Type"]) for r in warc.read(spark, str(tmp_path), w).collect()) for w in (True, False))
+    assert whole == cut == sorted((b, True, "resource") for b in bodies)
+
+
+def test_samples_of_very_long_texts_are_bounded(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{i} w{j}x{i}" for j in range(300)), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    real = fitting.train
+
+    def train(rows, labels, classes, shape):
+        seen.append((len(rows), sum(len(ids) for ids, _ in rows), set(labels.tolist())))
+        return real(rows, labels, classes, shape)
+
+    monkeypatch.setattr(fitting, "train", train)
+    quality.fit(docs, docs.select("doc_id", "quality"))
+    monkeypatch.setattr(fitting, "MAX_FEATURES", 20_000)
+    quality.fit(docs, docs.select("doc_id", "quality"))
+    (all_rows, all_features, _), (rows_, features, labels) = seen
+    assert features < 20_000 + 2 * all_features / all_rows * 2 < all_features and 2 <= rows_ < all_rows and labels == {0, 1}
+
+
+def test_blocks_of_the_benchmark_carry_no_texts(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[k * 12 : k * 12 + 12])) for k in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "so " + " ".join(words[k * 12 : k * 12 + 24]) + " it is", "x") for k in range(20)] + [(50, None, "y"), (50, None, "y")], "doc_id long, text string, matches string")
+    wanted = sorted((r.doc_id, sorted(m["item"] for m in r.matches)) for r in decontam.matched(docs, items).collect())
+    assert sum(len(m) for _, m in wanted) > 30
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
+    written = []
+    real = decontam.saved
+
+    def saved(df):
+        written.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(decontam, "saved", saved)
+    got = decontam.matched(docs, items)
+    assert got.columns == ["doc_id", "text", "matches"]
+    assert sorted((r.doc_id, sorted(m["item"] for m in r.matches)) for r in got.collect()) == wanted
+    assert written[0] == ["row", "number"] and set(map(tuple, written[1:])) == {("number", "m")}
