@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm import bpe, decontam, neardup, pii, quality
-from wareflow.llm.shared import saved, shuffled_join
+from wareflow.llm.shared import dealt_join, saved
 
 
 def _carried(docs: DataFrame, *more: Column) -> DataFrame:
@@ -43,10 +43,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     changed = saved(gone.withColumn("repeated", F.lit(False)).union(repeated.withColumn("repeated", F.lit(True))))
     number = F.col("doc_id").cast("long")
     rows = _carried(docs, number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
-    kept = shuffled_join(rows, changed, key, "left_anti").select("row")
+    # Of a row that is repeated often each task keeps one before they meet.
+    kept = dealt_join(rows, found.select(*named), changed, key, "left_anti").select("row")
     again = changed.where("repeated")
     if not again.isEmpty():
-        once = shuffled_join(rows, again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        once = dealt_join(rows, found.select(*named), again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
         kept = kept.union(once.select("row"))
     return kept.select("row.*")
 
