@@ -113,7 +113,7 @@ def test_sqlite_and_xlsx(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], None), (2, [], "logo")], "id int, tags array<string>, reason string")
     sinks.write_listing(rows, f"{tmp_path}/csv", "csv")
-    assert tables.load(spark, f"{tmp_path}/csv", "csv", "id int, tags string, reason string", header="true").where("id = 1").first().tags == '["a"]'
+    assert tables.load(spark, f"{tmp_path}/csv", "csv", "id int, tags string, reason string", header="true", escape='"').where("id = 1").first().tags == '["a"]'
     sinks.quarantine(rows, "reason", f"{tmp_path}/bad")
     assert spark.read.parquet(f"{tmp_path}/bad").count() == 1
     sinks.emit(rows, f"{tmp_path}/events")

@@ -286,5 +286,6 @@ ORACLE_SQL: dict[str, str] = {
     + f"])[page_id % {len(PATHS)} + 1] || page_id || (["
     + ", ".join(_text(p[1]) for p in PATHS)
     + f"])[page_id % {len(PATHS)} + 1] AS path, sha256(html) AS sha256, CASE WHEN page_id % {len(PATHS)} NOT IN (0, 4) THEN 'unsafe path' WHEN page_id % 4 = 1 THEN 'not on the whitelist' ELSE 'allowed' END AS verdict FROM pages",
+    "live_caps": f"SELECT stage, decision, fail_rate, cap, last_value(cap) OVER (PARTITION BY stage ORDER BY decision ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM ({_cap_sql(_MILD)})",
     "last_caps": f"SELECT stage, arg_max(cap, decision) AS cap FROM ({_cap_sql(_MILD)}) GROUP BY stage",
 } | catalog_steps.ORACLE_SQL | catalog_files.ORACLE_SQL

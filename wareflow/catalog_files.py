@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
+import os
+import sqlite3
 import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
 from wareflow.operators import rasters
-from wareflow.plans import steps
-from wareflow.sources import archives, parts
+from wareflow.plans import control, steps
+from wareflow.sources import archives, parts, sinks, tables
+from wareflow.streaming import control as streaming
 
 #: The size of a drawn picture and of the mark in its corner.
 WIDTH, HEIGHT, MARKED = 24, 16, (5, 4)
@@ -101,7 +108,102 @@ def pushed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.from_json("line", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, pushed_log)}
+def _filed(rows: DataFrame, write: Callable[[str, Iterator[pd.DataFrame]], None], folder: str, end: str) -> str:
+    """Lets each task write its rows to a file of its own; the pattern of those files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        name = f"{folder}/{TaskContext.get().partitionId()}{end}"
+        staged = f"{name}.{uuid.uuid4().hex}"
+        write(staged, frames)
+        os.replace(staged, name)
+        yield pd.DataFrame({"name": [name]})
+
+    rows.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+    return f"{folder}/*{end}"
+
+
+def _database(path: str, frames: Iterator[pd.DataFrame]) -> None:
+    with contextlib.closing(sqlite3.connect(path)) as c:
+        c.execute("CREATE TABLE goods (item INTEGER, title TEXT, price REAL)")
+        for frame in frames:
+            c.executemany("INSERT INTO goods VALUES (?, ?, ?)", frame[["item", "title", "price"]].to_numpy(object).tolist())
+        c.commit()
+
+
+def _workbook(path: str, frames: Iterator[pd.DataFrame]) -> None:
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+        f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c><v>item</v></c></row>')
+        for frame in frames:
+            for item, title, price in frame[["item", "title", "price"]].itertuples(index=False):
+                f.write(f'<row><c r="A1"><v>{item}</v></c><c r="C1"><v>{price!r}</v></c><c r="B1" t="inlineStr"><is><t>{escape(title)}</t></is></c></row>'.encode())
+        f.write(b"</sheetData></worksheet>")
+
+
+def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat("p_name", F.lit(" & <"), "p_brand", F.lit(">"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), title.alias("title"), F.col("p_retailprice").alias("price")).repartition(3, "p_partkey")
+
+
+def collected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: parts as collectors' databases, one a task, read by ranges of their row ids."""
+    tables.register(spark)
+    path = _filed(_goods(spark, sf_dir), _database, _folder(spark), ".db")
+    return spark.read.format("sqlite").options(path=path, table="goods", rowsPerTask="300").load()
+
+
+def sheet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6: parts as workbooks, one a task, read by ranges of their bytes."""
+    tables.register(spark)
+    path = _filed(_goods(spark, sf_dir), _workbook, _folder(spark), ".xlsx")
+    rows = spark.read.format("xlsx").schema("item string, title string, price string").options(path=path, bytesPerTask="20000").load()
+    return rows.select(F.col("item").cast("long").alias("item"), "title", F.col("price").cast("double").alias("price"))
+
+
+def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1, SNK3 and step 0: items written as CSV, JSON and Parquet and read again; rejected ones go to the quarantine."""
+    items = _goods(spark, sf_dir).withColumn("tags", F.array("title", F.lit("x,y\n"))).withColumn("reason", F.when(F.col("item") % 9 == 0, "logo"))
+    folder, schema = _folder(spark), "item long, title string, price double, tags array<string>"
+    sinks.quarantine(items, "reason", f"{folder}/quarantine")
+    kept = tables.load(spark, f"{folder}/quarantine", schema="item long, reason string").select(F.lit("quarantine").alias("of"), "item", F.col("reason").alias("title"), F.lit(0.0).alias("price"), F.lit("").alias("tags"))
+    for kind in ("csv", "json", "parquet"):
+        sinks.write_listing(items.where("reason is null").drop("reason"), f"{folder}/{kind}", kind)
+        options = {"header": "true", "multiLine": "true", "escape": '"'} if kind == "csv" else {}
+        rows = tables.load(spark, f"{folder}/{kind}", kind, schema.replace("array<string>", "string") if kind == "csv" else schema, **options)
+        tags = F.from_json("tags", "array<string>") if kind == "csv" else F.col("tags")
+        kept = kept.unionByName(rows.select(F.lit(kind).alias("of"), "item", "title", "price", F.array_join(tags, "|").alias("tags")))
+    return kept
+
+
+def live_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AC11 and FB1: the caps as a stream of signals moves them, in three micro-batches, and what holds after each."""
+    events = _table(spark, sf_dir, "events").where("event_type != 'view'")
+    rows = events.select("event_id", "ts", (F.col("user_id") % 12).alias("stage"), F.expr("event_type = 'error' and value > 60").alias("failed"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    folder, provider = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    live, before = control.LiveCaps(spark, folder), spark.conf.get(provider, None)
+
+    def decided(batch: DataFrame, number: int) -> None:
+        live(batch, number)
+        parts.append(batch.withColumn("batch", F.lit(number).cast("long")), f"{folder}/decisions", job=f"batch-{number}")
+
+    spark.dataSource.register(parts.PartsSink)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            cut = [F.lit(low + (high - low) / 3 * j) for j in (k, k + 1)]
+            rows.where((F.col("ts") >= cut[0]) & ((F.col("ts") < cut[1]) | F.lit(k == 2))).write.mode("append").parquet(f"{folder}/signals")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/signals")
+            query = streaming.caps(stream).writeStream.foreachBatch(decided).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    found = parts.committed(spark, f"{folder}/decisions", "stage long, decision long, seq long, fail_rate double, cap long")
+    now = spark.createDataFrame(list(live.caps.items()), "stage long, now long")
+    return found.join(F.broadcast(now), "stage").select("stage", "decision", "fail_rate", "cap", "now")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, pushed_log, collected_items, sheet_items, listed_items, live_caps)}
 
 _W, _H = MARKED
 ORACLE_SQL: dict[str, str] = {
@@ -119,4 +221,9 @@ ORACLE_SQL: dict[str, str] = {
       judged AS (SELECT *, CASE WHEN page_id % 7 < 2 THEN 'unsafe path' WHEN page_id % 5 = 0 THEN 'not on the whitelist' ELSE '' END AS reason FROM files)
       SELECT app, path, CAST(strlen(html) AS BIGINT) AS size, CASE WHEN reason = '' THEN sha256(html) ELSE '' END AS sha256, reason FROM judged""",
     "pushed_log": "SELECT event_id, user_id, event_type, value FROM events",
+    "collected_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
+    "sheet_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
+    "listed_items": """WITH goods AS (SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part)
+      SELECT 'quarantine' AS of, item, 'logo' AS title, CAST(0 AS DOUBLE) AS price, '' AS tags FROM goods WHERE item % 9 = 0
+      UNION ALL SELECT kind, item, title, price, title || '|x,y' || chr(10) FROM goods, (VALUES ('csv'), ('json'), ('parquet')) t(kind) WHERE item % 9 <> 0""",
 }

@@ -224,5 +224,7 @@ def committed(spark: SparkSession, path: str, schema: str, form: str = "parquet"
 
 def append(rows: DataFrame, path: str, **options: str) -> None:
     """Adds ``rows`` to the parts under ``path``."""
-    rows.sparkSession.dataSource.register(PartsSink)
+    # Within foreachBatch the rows' session is a copy, and the active one is where names are looked up.
+    for session in {rows.sparkSession, SparkSession.getActiveSession() or rows.sparkSession}:
+        session.dataSource.register(PartsSink)
     rows.write.format("parts").mode("append").options(path=path, **options).save()

@@ -14,7 +14,8 @@ def write_listing(items: DataFrame, path: str, kind: str = "parquet") -> None:
     """Listing-ready items; nested columns become JSON where the format is flat."""
     if kind == "csv":
         items = items.select([F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in items.dtypes])
-        items.write.option("header", "true").csv(path)
+        # Quotes are doubled, so backslashes in JSON are only themselves; read with the same escape.
+        items.write.option("header", "true").option("escape", '"').csv(path)
     else:
         items.write.format(kind).save(path)
 

@@ -7,6 +7,7 @@ range only.  Of the shared strings it keeps those that its rows name.  What a ta
 
 from __future__ import annotations
 
+import glob
 import re
 import zipfile
 from collections.abc import Iterator
@@ -26,9 +27,9 @@ _TAG = 32
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        super().__init__((low, high))
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        super().__init__((path, low, high))
+        self.path, self.low, self.high = path, low, high
 
 
 class _XlsxReader(DataSourceReader):
@@ -38,12 +39,15 @@ class _XlsxReader(DataSourceReader):
         self.per_task = int(options.get("bytespertask", str(16 << 20)))
 
     def partitions(self) -> list[InputPartition]:
-        with zipfile.ZipFile(self.path) as z:
-            size = z.getinfo(self.sheet).file_size
-        return [_Range(at, min(size, at + self.per_task)) for at in range(0, size, self.per_task)] or [_Range(0, 0)]
+        found: list[InputPartition] = []
+        for path in sorted(glob.glob(self.path)) or [self.path]:
+            with zipfile.ZipFile(path) as z:
+                size = z.getinfo(self.sheet).file_size
+            found += [_Range(path, at, min(size, at + self.per_task)) for at in range(0, size, self.per_task)]
+        return found
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with zipfile.ZipFile(self.path) as z:
+        with zipfile.ZipFile(partition.path) as z:
             rows = list(self._rows(z, partition))
             strings = self._strings(z, {v for row in rows for kind, v in row.values() if kind == "s"})
         for row in rows:
@@ -135,7 +139,7 @@ class _XlsxReader(DataSourceReader):
 
 
 class XlsxSource(DataSource):
-    """``spark.read.format("xlsx").schema(...)``: a sheet as strings, with ``path``, ``sheet``, ``header`` and ``bytesPerTask``."""
+    """``spark.read.format("xlsx").schema(...)``: a sheet of one or several workbooks as strings, with ``path`` (or a pattern), ``sheet``, ``header`` and ``bytesPerTask``."""
 
     @classmethod
     def name(cls) -> str:
