@@ -10,6 +10,9 @@ the span's length, its mix of letters and digits, the word before it (hashed) an
 tell apart candidates whose votes are alike.  It decides on the looser candidates.  Base candidates whose format
 holds are kept whatever the votes.
 
+The labelers of words see 24 code points before a span and 2 after it.  A labeler that hardly ever votes on what is no
+personal data says little there, and its rate on that side stays near the prior (0.8).
+
 The patterns of votes and features are counted by Spark; they take finitely many values, so what the driver gets
 has a bound (``kinds * 3**labelers * features``, some thousands in practice) at any size of the corpus.
 
