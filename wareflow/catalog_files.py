@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
 from wareflow.operators import rasters
-from wareflow.plans import control, steps
+from wareflow.plans import control, steps, updates
 from wareflow.sources import archives, parts, sinks, tables
 from wareflow.streaming import control as streaming
 
@@ -95,6 +95,25 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("app", "path", "size", F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def published_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UP1 to UP6: two updates packed from pages; the second is published over the first, a third with a wrong file is refused."""
+    n, folder = F.col("page_id"), _folder(spark)
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("app"), (n % 3).cast("string")).alias("app"), F.concat(F.lit("p/"), n.cast("string")).alias("path"), F.col("html"), n)
+    white = pages.where("page_id % 4 != 0")
+
+    def version(k: int) -> DataFrame:
+        return pages.withColumn("content", F.encode(F.concat("html", F.lit(f"<!-- {k} -->")), "utf-8"))
+
+    for k in range(3):
+        archives.pack(version(k), f"{folder}/{k}")
+        # The third manifest has another digest for one file of the list.
+        wrong = F.when((n % 4 != 0) & (n < 4) & F.lit(k == 2), "other").otherwise(F.sha2("content", 256))
+        manifest = version(k).select("app", "path", wrong.alias("sha256"))
+        with contextlib.suppress(updates.Refused):
+            updates.update(spark, f"{folder}/{k}", manifest, white, f"{folder}/root")
+    return spark.read.parquet(updates.current(spark, f"{folder}/root")).select("app", "path", "size", "sha256")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _unpacked(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: gzip.decompress(base64.b64decode(b)).decode().split("\n"))
@@ -203,7 +222,7 @@ def live_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(now), "stage").select("stage", "decision", "fail_rate", "cap", "now")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, pushed_log, collected_items, sheet_items, listed_items, live_caps)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, published_update, pushed_log, collected_items, sheet_items, listed_items, live_caps)}
 
 _W, _H = MARKED
 ORACLE_SQL: dict[str, str] = {
@@ -220,6 +239,7 @@ ORACLE_SQL: dict[str, str] = {
     "archive_members": """WITH files AS (SELECT page_id, 'app' || page_id % 3 AS app, CASE page_id % 7 WHEN 0 THEN '../' WHEN 1 THEN '/' ELSE '' END || 'p/' || page_id AS path, html FROM pages),
       judged AS (SELECT *, CASE WHEN page_id % 7 < 2 THEN 'unsafe path' WHEN page_id % 5 = 0 THEN 'not on the whitelist' ELSE '' END AS reason FROM files)
       SELECT app, path, CAST(strlen(html) AS BIGINT) AS size, CASE WHEN reason = '' THEN sha256(html) ELSE '' END AS sha256, reason FROM judged""",
+    "published_update": "SELECT 'app' || page_id % 3 AS app, 'p/' || page_id AS path, CAST(strlen(html || '<!-- 1 -->') AS BIGINT) AS size, sha256(html || '<!-- 1 -->') AS sha256 FROM pages WHERE page_id % 4 <> 0",
     "pushed_log": "SELECT event_id, user_id, event_type, value FROM events",
     "collected_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
     "sheet_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
