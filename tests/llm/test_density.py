@@ -63,17 +63,18 @@ def test_a_named_element_with_the_only_text_is_the_text():
         assert html.main_text(f"<body><div class='{name}'><p>{PARAGRAPH}</p></div></body>") == PARAGRAPH.strip()
 
 
+def articles(source):
+    """What stands in the article element of the given, simple pages, read by patterns alone."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", source, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1|li|ul)\b[^>]*>", inner)
+    lines = [" ".join(html.html.unescape(re.sub(r"<br>", " ", re.sub(r"<(?!br)[^>]*>", "", b))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
 def test_densities_decide_the_pages(spark, sf_dir, monkeypatch):
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     with_density = [html.main_text(p) for p in pages]
 
-    def articles(source):
-        """What stands in the article element of these simple pages, read by patterns alone."""
-        inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", source, re.S)[1]
-        blocks = re.split(r"</?(?:p|h1|li|ul)\b[^>]*>", inner)
-        lines = [" ".join(html.html.unescape(re.sub(r"<br>", " ", re.sub(r"<(?!br)[^>]*>", "", b))).split()) for b in blocks]
-        return "\n".join(x for x in lines if x)
-
     wanted = [articles(p) for p in pages]
     assert with_density == wanted
     # With the advert's name gone nothing but the density tells it from the article.
