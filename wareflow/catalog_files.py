@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
 from wareflow.operators import rasters
-from wareflow.plans import control, steps, updates
+from wareflow.operators.skills import Pause
+from wareflow.plans import control, runner, steps, updates
 from wareflow.sources import archives, parts, sinks, tables
 from wareflow.streaming import control as streaming
 
@@ -194,6 +195,35 @@ def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept
 
 
+def resumed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5, SNK2 and AC13: a run that a pause cuts off within its second stage, and goes on from what is committed."""
+    goods, folder = _goods(spark, sf_dir), f"{_folder(spark)}/run"
+    paused = goods.agg(F.min("item")).first()[0]
+
+    def stages(stop: bool) -> list:
+        @F.pandas_udf(StringType())
+        def worked(items: pd.Series, titles: pd.Series) -> pd.Series:
+            if stop and (items == paused).any():
+                raise Pause("not now")
+            return titles.str.upper()
+
+        def work(rows: DataFrame) -> DataFrame:
+            made = rows.repartition(8, "item").withColumn("title", worked("item", "title"))
+            return made.withColumn("error", F.when(F.col("item") % 50 == 3, "bad item"))
+
+        return [("priced", lambda rows: rows.withColumn("price", F.col("price") * 2)), ("worked", work), ("listed", lambda rows: rows.withColumn("listed", F.lit(True)))]
+
+    try:
+        runner.Run(spark, folder, stages(True), {"worked": "item"}).go(goods)
+    except Exception as e:  # noqa: BLE001
+        if "Pause: not now" not in str(e):
+            raise
+    run = runner.Run(spark, folder, stages(False), {"worked": "item"})
+    done = run.go(goods).select("item", "title", "price", "listed")
+    stopped = run.quarantine(1).select("item", "title", "price", F.lit(False).alias("listed"))
+    return done.unionByName(stopped)
+
+
 def live_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AC11 and FB1: the caps as a stream of signals moves them, in three micro-batches, and what holds after each."""
     events = _table(spark, sf_dir, "events").where("event_type != 'view'")
@@ -222,7 +252,7 @@ def live_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(now), "stage").select("stage", "decision", "fail_rate", "cap", "now")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, published_update, pushed_log, collected_items, sheet_items, listed_items, live_caps)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rescued_pixels, archive_members, published_update, pushed_log, collected_items, sheet_items, listed_items, resumed_steps, live_caps)}
 
 _W, _H = MARKED
 ORACLE_SQL: dict[str, str] = {
@@ -243,6 +273,7 @@ ORACLE_SQL: dict[str, str] = {
     "pushed_log": "SELECT event_id, user_id, event_type, value FROM events",
     "collected_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
     "sheet_items": "SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part",
+    "resumed_steps": "SELECT p_partkey AS item, upper(p_name || ' & <' || p_brand || '>') AS title, p_retailprice * 2 AS price, p_partkey % 50 <> 3 AS listed FROM part",
     "listed_items": """WITH goods AS (SELECT p_partkey AS item, p_name || ' & <' || p_brand || '>' AS title, p_retailprice AS price FROM part)
       SELECT 'quarantine' AS of, item, 'logo' AS title, CAST(0 AS DOUBLE) AS price, '' AS tags FROM goods WHERE item % 9 = 0
       UNION ALL SELECT kind, item, title, price, title || '|x,y' || chr(10) FROM goods, (VALUES ('csv'), ('json'), ('parquet')) t(kind) WHERE item % 9 <> 0""",
