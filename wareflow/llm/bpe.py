@@ -169,7 +169,9 @@ class MergeAutomaton:
         here = self.members[at]
         if len(self.table) >= self.most:
             self._start()
-            at = self._numbered(here)
+            at = self.number.setdefault(here, len(self.members))
+            if at == len(self.members):
+                self.members.append(here)
         going, ended = [], -1
         for state, node in here:
             node = self.child.get(node << 8 | byte)
@@ -179,14 +181,12 @@ class MergeAutomaton:
                 if label >= 0 and (not state or self.has_arc(state, label)):
                     ended = label
         going.append((self.leads_to[ended], 0))
-        found = self.table[at << 8 | byte] = self._numbered(tuple(sorted(going))), ended
-        return found
-
-    def _numbered(self, members: tuple) -> int:
+        members = tuple(sorted(going))
         number = self.number.setdefault(members, len(self.members))
         if number == len(self.members):
             self.members.append(members)
-        return number
+        found = self.table[at << 8 | byte] = number, ended
+        return found
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path over ``word``: one transition a byte, then the labels from the last one back."""
