@@ -18,10 +18,12 @@ def test_rows_of_a_hot_key_are_dealt_out(spark):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        found = shared.dealt_join(rows, rows, table, ["k"])
+        table = table.join(rows.groupBy("k").agg(F.count("*").alias("rows")), "k")
+        found = shared.dealt_join(rows, table, ["k"], 30_000)
+        assert found.columns == ["k", "v", "w"]
         sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
         assert sum(sizes) == rows.join(table, "k").count() and max(sizes) < 3 * np.median(sizes)
-        left = shared.dealt_join(rows, rows, table.select("k"), ["k"], "left_anti")
+        left = shared.dealt_join(rows, table.select("k", "rows"), ["k"], 30_000, "left_anti")
         assert sorted(r.k for r in left.collect()) == sorted(r.k for r in rows.join(table, "k", "left_anti").collect())
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)

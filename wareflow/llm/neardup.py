@@ -123,11 +123,11 @@ def _gaps(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray, percent:
     return np.where((mine <= n - shared) & (theirs <= sizes - shared), mine + theirs, -1)
 
 
-def _held(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Of each node (node, id, t, n): its text and the sketch of its set.
+def _held(docs: DataFrame, nodes: DataFrame, total: int, size: int, key: str, text: str) -> DataFrame:
+    """Of each node (node, id, t, n, rows): its text and the sketch of its set.
 
-    ``rows`` has id and t of each document: a row that is repeated often, or a text that many rows without an id share,
-    is dealt over the tasks, and each of them keeps one text of it.
+    ``rows`` is how many of the ``total`` documents have the node's set: a row that is repeated often, or a text that many
+    rows without an id share, is dealt over the tasks, and each of them keeps one text of it.
     """
 
     @F.arrow_udf("binary")
@@ -136,7 +136,7 @@ def _held(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, key: st
 
     # Ids may be null, and their rows many, so the text's hash is a part of the key.
     place = [F.coalesce("id", F.lit(0)).alias("id"), "t"]
-    wanted = dealt_join(_named(docs, key, text).select(*place, "text"), rows.select(*place), nodes.select("node", "n", *place), ["id", "t"])
+    wanted = dealt_join(_named(docs, key, text).select(*place, "text"), nodes.select("node", "n", "rows", *place), ["id", "t"], total)
     one = wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return one.select("node", "n", "text", sketched("text").alias("bits"))
 
@@ -262,14 +262,14 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(salted_join(known, merged, ["component"], ["node"], "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
-def labelled(docs: DataFrame, signs: DataFrame, classes: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+def labelled(docs: DataFrame, classes: DataFrame, total: int, size: int, percent: int, key: str, text: str) -> DataFrame:
     """``node`` and ``component`` of the nodes that link with another."""
     buckets = _buckets(classes)
     central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
     pivots = buckets.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
     stars = salted_join(buckets, pivots, ["key"], ["node"]).where("node != a").select("a", F.col("node").alias("b"))
     stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    held = saved(_held(docs, signs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), size, key, text))
+    held = saved(_held(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), total, size, key, text))
     links = saved(_confirmed(saved(_possible(stars, held, percent)), held, size, percent))
     labels = saved(connected(links).withColumnRenamed("id", "node"))
 
@@ -277,8 +277,6 @@ def labelled(docs: DataFrame, signs: DataFrame, classes: DataFrame, size: int, p
     if apart.isEmpty():
         return labels
     near = saved(_near(apart, held, percent))
-    if near.isEmpty():
-        return labels
     likeliest = saved(near.groupBy("a", "of_b").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b"))
     labels = _relabelled(labels, saved(_confirmed(likeliest, held, size, percent)))
     rest = near.select("a", "b").join(likeliest, ["a", "b"], "left_anti")
@@ -298,9 +296,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id
     small_batches(docs.sparkSession)
     signs = saved(signed(docs, size, bands_for(percent / 100), key, text))
     order = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "t")
-    classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "t", "n", "bands"), order).alias("least"))
-    classes = saved(classes.select("class_a", "class_b", "least.*", F.monotonically_increasing_id().alias("node")))
-    labels = labelled(docs, signs, classes, size, percent, key, text)
+    classes = signs.where("n > 0").groupBy("class_a", "class_b").agg(F.min_by(F.struct("id", "t", "n", "bands"), order).alias("least"), F.count("*").alias("rows"))
+    classes = saved(classes.select("class_a", "class_b", "least.*", "rows", F.monotonically_increasing_id().alias("node")))
+    labels = labelled(docs, classes, signs.count(), size, percent, key, text)
 
     linked = saved(labels.join(classes.select("node", "id", "t", "class_a", "class_b"), "node"))
     firsts = linked.groupBy("component").agg(F.min_by(F.struct("id", "t"), order).alias("first"))

@@ -118,22 +118,19 @@ HOT = 2000
 _FEW = 1000
 
 
-def dealt_join(rows: DataFrame, counted: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
     """``shuffled_join`` with a table of one row a key, in which hot keys do not meet in one task.
 
-    ``counted`` has a row, with the columns ``on``, for each of ``rows``.  Keys with more than 1/HOT of all rows, fewer
-    than HOT keys then, are broadcast with their number of parts; their rows are dealt over the parts as they come,
-    whatever they hold, and the table has a row for each part.
+    The table's column ``rows`` says how many of the ``total`` rows may have the key, and is left out.  Keys with more than
+    1/HOT of all rows, fewer than HOT keys then, are broadcast with their number of parts; their rows are dealt over the
+    parts as they come, whatever they hold, and the table has a row for each part.
     """
-    sizes = counted.groupBy(*on).agg(F.count("*").alias("_size"))
-    part = max(_FEW, counted.count() // HOT)
-    hot = saved(sizes.where(F.col("_size") > part).select(*on, F.ceil(F.col("_size") / part).cast("int").alias("_parts")))
-
-    def parted(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(hot), on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-
-    dealt = parted(rows).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
-    each = parted(table).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    part = max(_FEW, total // HOT)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / part)).cast("int")
+    hot = table.where(F.col("rows") > part).select(*on, parts.alias("_parts"))
+    known = rows.join(F.broadcast(hot), on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = known.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
+    each = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows")
     return shuffled_join(dealt, each, [*on, "_part"], how).drop("_part")
 
 
