@@ -38,16 +38,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     key = ["no_id", "id", "t"]
     named = [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "t"]
     found = neardup.groups(docs, size=5, percent=80).where("n_shingles > 0")
-    gone = found.where(~F.col("chosen")).select(*named).distinct()
-    repeated = found.where("chosen").groupBy(*named).agg(F.count("*").alias("rows")).where("rows > 1").select(*key)
-    changed = saved(gone.withColumn("repeated", F.lit(False)).union(repeated.withColumn("repeated", F.lit(True))))
+    sizes = found.groupBy(*named).agg(F.count("*").alias("rows"), F.bool_or("chosen").alias("repeated"))
+    changed = saved(sizes.where("not repeated or rows > 1"))
+    total = found.count()
     number = F.col("doc_id").cast("long")
     rows = _carried(docs, number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
     # Of a row that is repeated often each task keeps one before they meet.
-    kept = dealt_join(rows, found.select(*named), changed, key, "left_anti").select("row")
+    kept = dealt_join(rows, changed.drop("repeated"), key, total, "left_anti").select("row")
     again = changed.where("repeated")
     if not again.isEmpty():
-        once = dealt_join(rows, found.select(*named), again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        once = dealt_join(rows, again.drop("repeated"), key, total, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
         kept = kept.union(once.select("row"))
     return kept.select("row.*")
 
