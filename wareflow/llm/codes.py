@@ -97,6 +97,22 @@ def _cut(batch: pa.RecordBatch, parts: int, width: int) -> np.ndarray:
     return vectors.flatten().to_numpy().reshape(len(sizes), parts, width)
 
 
+#: Components that a task works on at once, about.
+_AT_ONCE = 1 << 22
+
+
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about _AT_ONCE components, given those of a vector."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) * max(1, size) >= _AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def whole_numbers(vectors: DataFrame, key: str, vector: str, label: str, scale: int = SCALE) -> DataFrame:
     """(_key, _label, _vector) of the rows that are kept, with components floor(scale * x), written and read again."""
     x = F.col(vector).cast("array<double>")
@@ -130,7 +146,7 @@ def _moved(numbers: DataFrame, books: list[Codebook], width: int) -> list[Codebo
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
+        for batch in _joined(batches, width * len(sent.value)):
             cut = _cut(batch, len(sent.value), width)
             for p, book in enumerate(sent.value):
                 found, _ = book.nearest(cut[:, p])
@@ -165,7 +181,7 @@ def encode(numbers: DataFrame, books: list[Codebook]) -> DataFrame:
     small_batches(numbers.sparkSession)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(batches, width * len(sent.value)):
             cut = _cut(batch, len(sent.value), width)
             found = [book.nearest(cut[:, p]) for p, book in enumerate(sent.value)]
             codes = np.stack([f for f, _ in found], axis=1).astype(np.uint8)
