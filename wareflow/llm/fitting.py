@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import saved, small_batches, spent
+from wareflow.llm.shared import saved, small_batches
 from wareflow.llm.subword import Shape, SubwordModel, calibrate, counted, train
 
 #: Rows of all labels together that a sample has at most, about: with more labels each has fewer rows, but one at least.
@@ -61,12 +61,11 @@ def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape
         flat = [np.concatenate(x) if found else np.empty(0, kind) for x, kind in zip(zip(*found, strict=True) if found else ((), ()), (np.int32, np.float32), strict=True)]
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat], ["ids", "weights"])
 
-    with spent(sample.sparkSession):
-        rows = saved(sample.select(F.col(key).alias("k"), F.col(label).alias("y"), count(F.col(text)).alias("f")).select("k", "y", "f.*"))
-        # A label has at most so many rows as the sample takes of it.
-        order = Window.partitionBy("y").orderBy(F.xxhash64("k"), F.size("ids"), F.xxhash64("ids"))
-        before = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        got = rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < MAX_FEATURES // max(1, len(classes))).drop("before").toArrow()
+    rows = sample.select(F.col(key).alias("k"), F.col(label).alias("y"), count(F.col(text)).alias("f")).select("k", "y", "f.*")
+    # A label has at most so many rows as the sample takes of it.
+    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), F.size("ids"), F.xxhash64("ids"))
+    before = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    got = rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < MAX_FEATURES // max(1, len(classes))).drop("before").toArrow()
     # Keys may be null or repeated, so the features decide ties.
     order = sorted(range(len(got)), key=lambda i: (str(got["k"][i].as_py()), str(got["y"][i].as_py()), got["ids"][i].values.to_numpy().tobytes()))
     rows = [(got["ids"][i].values.to_numpy(), got["weights"][i].values.to_numpy()) for i in order]
