@@ -9,11 +9,13 @@ from wareflow.llm import decontam, html, langid, packing, quality, subword, warc
 
 
 def test_quality_on_held_out_labels(spark, sf_dir):
+    # The smallest table has 19 held-out labels, too few for a rate.
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = quality.query(spark, sf_dir).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     right = [r.predicted == labels[r.doc_id] for r in rows if r.doc_id in labels and r.held_out]
-    assert len(right) > 5 and np.mean(right) > 0.9
+    assert len(right) > 50 and np.mean(right) > 0.9
 
 
 def test_language_on_held_out_rows(spark, sf_dir):
