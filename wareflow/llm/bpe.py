@@ -44,7 +44,10 @@ _MARKS = string.punctuation
 
 #: Chunks whose ids a worker remembers: about 250 bytes each.
 KEPT = 600_000
-#: Transitions that a worker's table holds before it starts anew: about 300 bytes each, states included.
+#: Bits of a place in the tree of spellings.
+_WIDTH = 32
+_PLACE = (1 << _WIDTH) - 1
+#: Transitions that a worker's table holds before it starts anew: about 250 bytes each, states included.
 MOST_ARCS = 600_000
 
 
@@ -87,7 +90,8 @@ class MergeAutomaton:
         self.known: dict[int, bool] = {}
         self.histories: dict[int, list] = {}
         self.left_parts: dict[int, list] = {}
-        self.table: dict[int, tuple[int, int]] = {}
+        self.table: dict[int, int] = {}
+        self.shift = (max(labels) + 1).bit_length()
         self._spell()
         self._start()
 
@@ -112,8 +116,12 @@ class MergeAutomaton:
             self.label_at[node] = t
 
     def _start(self) -> None:
-        """An empty table: its first state stands before any byte."""
-        self.number, self.members = {((0, 0),): 0}, [((0, 0),)]
+        """An empty table: its first state stands before any byte.
+
+        A state's members are numbers, automaton state and place in the tree of spellings in one; so is a transition's
+        result, the next state and, in the low bits, one more than the label.
+        """
+        self.number, self.members = {(0,): 0}, [(0,)]
         self.table.clear()
 
     def has_arc(self, state: int, label: int) -> bool:
@@ -161,7 +169,7 @@ class MergeAutomaton:
             self.left_parts[label] = found
         return found
 
-    def _transition(self, at: int, byte: int) -> tuple[int, int]:
+    def _transition(self, at: int, byte: int) -> int:
         """From table state ``at`` on ``byte``: the next table state, and the label by which a path can end there.
 
         A full table starts anew, in the middle of a word too, with the state that ``at`` was.
@@ -172,31 +180,35 @@ class MergeAutomaton:
             at = self.number.setdefault(here, len(self.members))
             if at == len(self.members):
                 self.members.append(here)
-        going, ended = [], -1
-        for state, node in here:
-            node = self.child.get(node << 8 | byte)
+        going, ended, child = [], -1, self.child.get
+        for member in here:
+            node = child((member & _PLACE) << 8 | byte)
             if node is not None:
-                going.append((state, node))
+                state = member >> _WIDTH
+                going.append(state << _WIDTH | node)
                 label = self.label_at[node]
                 if label >= 0 and (not state or self.has_arc(state, label)):
                     ended = label
-        going.append((self.leads_to[ended], 0))
+        going.append(self.leads_to[ended] << _WIDTH)
         members = tuple(sorted(going))
         number = self.number.setdefault(members, len(self.members))
         if number == len(self.members):
             self.members.append(members)
-        found = self.table[at << 8 | byte] = number, ended
+        found = self.table[at << 8 | byte] = number << self.shift | ended + 1
         return found
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path over ``word``: one transition a byte, then the labels from the last one back."""
-        look_up, at, ends = self.table.get, 0, []
+        look_up, shift, at, ends = self.table.get, self.shift, 0, []
         for byte in word:
-            at, label = look_up(at << 8 | byte) or self._transition(at, byte)
-            ends.append(label)
-        path, left, size_of = [], len(ends), self.size_of
+            found = look_up(at << 8 | byte)
+            if found is None:
+                found = self._transition(at, byte)
+            ends.append(found)
+            at = found >> shift
+        path, left, size_of, low = [], len(ends), self.size_of, (1 << shift) - 1
         while left:
-            label = ends[left - 1]
+            label = (ends[left - 1] & low) - 1
             path.append(label)
             left -= size_of[label]
         path.reverse()
