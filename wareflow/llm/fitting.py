@@ -77,8 +77,11 @@ def fit(sample: DataFrame, text: str, label: str, key: str, classes: list, shape
     # A label of few rows may be held back altogether; those rows are learned.
     alone = ~np.isin(labels[late], labels[early])
     late, early = late[~alone], np.concatenate([early, late[alone]])
-    model = train([rows[i] for i in early], labels[early], classes, shape)
-    return calibrate(model, [rows[i] for i in late], labels[late])
+    model = calibrate(train([rows[i] for i in early], labels[early], classes, shape), [rows[i] for i in late], labels[late])
+    # The sample is not needed any more, and Arrow would keep its memory.
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, text: str, model: SubwordModel) -> DataFrame:
