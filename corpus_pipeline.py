@@ -76,7 +76,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, and digests of them and of what they decode to; empty and null texts have no tokens."""
     path = bpe.default_path()
     # Workers still hold what earlier stages left them, so they remember less here.
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, kept=150_000), path, kept=150_000)
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, kept=80_000), path, kept=80_000)
     return both.select("doc_id", "lang", "source", "ids", *bpe.digests(both))
 
 
