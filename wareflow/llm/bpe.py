@@ -43,12 +43,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _MARKS = string.punctuation
 
 #: Chunks whose ids a worker remembers: about 250 bytes each.
-KEPT = 600_000
+KEPT = 900_000
 #: Bits of a place in the tree of spellings.
 _WIDTH = 32
 _PLACE = (1 << _WIDTH) - 1
 #: Transitions that a worker's table holds before it starts anew: about 250 bytes each, states included.
-MOST_ARCS = 600_000
+MOST_ARCS = 900_000
 
 
 def byte_letters() -> dict[str, int]:
