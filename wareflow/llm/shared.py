@@ -44,6 +44,11 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Lets the driver's JVM free what the plans of a long piece of work left: their classes, states and broadcasts."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def spent(spark: SparkSession) -> Iterator[None]:
     """The tables that ``saved`` writes within go at its end; for work whose result does not read them."""
@@ -52,6 +57,7 @@ def spent(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         removed(spark, _open.pop())
+        _let_go(spark)
 
 
 def within_spent(work: Callable) -> Callable:
@@ -80,6 +86,7 @@ def tidy(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             raise
         _open.pop()
         removed(result.sparkSession, spent)
+        _let_go(result.sparkSession)
         if _open:
             _open[-1].append(last)
         return result
