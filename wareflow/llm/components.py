@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wareflow.llm.shared import salted_join, saved
+from wareflow.llm.shared import fixed_plans, let_go, observed, salted_join
+
+#: Edges of a partition in a step, about.
+_EDGES = 10_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,13 +35,15 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps until each id points to the smallest of its component.  Both take a
     minimum by id, which Spark sums up before the shuffle, and hand it to the id's edges by a salted join, so an id
-    with a third of all edges is no harder than others.  Each step is written to the shared folder.
+    with a third of all edges is no harder than others.  Each step is written to the shared folder, and its edges are counted
+    as they are written.
     """
-    now = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
-        if not mark.n or (mark.n, mark.s) == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        seen = (mark.n, mark.s)
-        now = saved(_small_star(_large_star(now)))
+    marks = {"n": F.count("*"), "s": F.bit_xor(F.xxhash64("u", "v"))}
+    now, mark = observed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), **marks)
+    spark, seen = now.sparkSession, None
+    while mark["n"] and mark != seen:
+        seen = mark
+        with fixed_plans(spark, math.ceil(mark["n"] / _EDGES)):
+            now, mark = observed(_small_star(_large_star(now)), **marks)
+    let_go(spark)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -253,6 +253,8 @@ def _near(apart: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, component) after further links; nodes that they leave out are components of their own."""
+    if links.isEmpty():
+        return labels
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     known = saved(labels.union(nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
     edges = links.select("a", "b")
@@ -283,7 +285,8 @@ def labelled(docs: DataFrame, classes: DataFrame, total: int, size: int, percent
     for side, other in (("a", "b"), ("b", "a")):
         rest = salted_join(rest, labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], [other], "left")
     rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _relabelled(labels, saved(_confirmed(saved(rest), held, size, percent)))
+    rest = saved(rest)
+    return labels if rest.isEmpty() else _relabelled(labels, saved(_confirmed(rest, held, size, percent)))
 
 
 @tidy

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -36,6 +36,33 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+    """``saved``, and aggregates of its rows that are taken while it is written, without a job of their own."""
+    seen = Observation()
+    table = saved(df.observe(seen, *[value.alias(name) for name, value in values.items()]))
+    return table, seen.get
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Plans made within are carried out as they stand, with at most ``partitions`` of a shuffle.
+
+    For steps that are repeated on small rows: Spark would plan such a step anew after each of its shuffles, and the
+    driver would hold the plans, the threads that wait for each part, and what it broadcasts instead of a shuffle.
+    """
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    name = "spark.sql.shuffle.partitions"
+    wanted[name] = str(max(1, min(partitions, int(spark.conf.get(name)))))
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of ``saved``."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -44,7 +71,7 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def _let_go(spark: SparkSession) -> None:
+def let_go(spark: SparkSession) -> None:
     """Lets the driver's JVM free what the plans of a long piece of work left: their classes, states and broadcasts."""
     spark.sparkContext._jvm.System.gc()
 
@@ -57,7 +84,7 @@ def spent(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         removed(spark, _open.pop())
-        _let_go(spark)
+        let_go(spark)
 
 
 def within_spent(work: Callable) -> Callable:
@@ -86,7 +113,7 @@ def tidy(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             raise
         _open.pop()
         removed(result.sparkSession, spent)
-        _let_go(result.sparkSession)
+        let_go(result.sparkSession)
         if _open:
             _open[-1].append(last)
         return result
