@@ -7,8 +7,8 @@ such values of each block, so that the look-up finds every item within the radiu
 exactly: the weighted Jaccard of word shingles, a shingle's weight being the times it occurs, must reach the
 threshold.
 
-Windows that share no shingle with any item cannot pass the verification; a bitmap of the items' shingles tells
-where the others are, and only those are fingerprinted.  A text somewhat shorter than an item is one window.
+Windows with fewer shingles of items than a window and an item must share cannot pass the verification; a bitmap of the
+items' shingles tells where the others are, and only those are fingerprinted.  A text somewhat shorter than an item is one window.
 Items are sent to the tasks in blocks of at most about ``BLOCK_WORDS`` words and ``BLOCK_ITEMS`` items, which bounds
 an index by about 100 MB.  A larger benchmark takes a pass for each block, whose results are written before the
 next block is sent.
@@ -35,7 +35,7 @@ SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 15, 4
 #: Words and items of the benchmark that one broadcast holds, about.
 BLOCK_WORDS, BLOCK_ITEMS = 1_000_000, 5_000
 _MAP_BITS = 22
-#: Words of a text that are fingerprinted at once.
+#: Windows of a text that are fingerprinted at once, at most.
 _STRETCH = 8192
 
 _PARTS = np.ones(256, bool)
@@ -68,8 +68,9 @@ class Items:
     #: By block value: where its items start in ``listed``.
     starts: np.ndarray
     listed: np.ndarray
-    #: By shingle size: a bitmap of the hashes that items have, and the hashes in order.
-    seen: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: By shingle size: a bitmap of the hashes that items have, the hashes in order, and of each hash the lengths of the
+    #: items that have it: where they start, and the lengths.
+    seen: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items | None:
@@ -81,10 +82,14 @@ class Items:
         counted = [np.unique(shingles(w, SHINGLE), return_counts=True) for _, w in kept]
         seen = {}
         for size in sorted({min(SHINGLE, int(n)) for n in sizes}):
-            every = np.unique(np.concatenate([found for (found, _), n in zip(counted, sizes, strict=True) if min(SHINGLE, n) == size]))
+            own = [(found, n) for (found, _), n in zip(counted, sizes.tolist(), strict=True) if min(SHINGLE, n) == size]
+            hashes = np.concatenate([found for found, _ in own])
+            every, place = np.unique(hashes, return_inverse=True)
+            most = int(sizes.max()) + 1
+            of = np.unique(place * most + np.repeat([n for _, n in own], [len(found) for found, _ in own]))
             bitmap = np.zeros(1 << _MAP_BITS, bool)
             bitmap[every >> np.uint64(64 - _MAP_BITS)] = True
-            seen[size] = bitmap, every
+            seen[size] = bitmap, every, np.searchsorted(of // most, np.arange(len(every) + 1)), of % most
         width = 64 // BLOCKS
         near = [np.uint64(sum(1 << b for b in flips)) for k in range(RADIUS // BLOCKS + 1) for flips in combinations(range(width), k)]
         keys, listed = [], []
@@ -126,57 +131,54 @@ class Items:
         """By item: the likeness of its best window, the window's first word and its number of words."""
         words = words_of(text)
         best: dict[int, tuple[float, int, int]] = {}
-        for size, (bitmap, every) in self.seen.items():
+        for size, (bitmap, every, starts, lengths) in self.seen.items():
             found = shingles(words, size)
-            marks = bitmap[found >> np.uint64(64 - _MAP_BITS)]
-            maybe = np.flatnonzero(marks)
-            marks[maybe] = every[np.minimum(np.searchsorted(every, found[maybe]), len(every) - 1)] == found[maybe]
-            if not marks.any():
+            at = np.flatnonzero(bitmap[found >> np.uint64(64 - _MAP_BITS)])
+            place = np.minimum(np.searchsorted(every, found[at]), len(every) - 1)
+            real = every[place] == found[at]
+            at, place = at[real], place[real]
+            if not len(at):
                 continue
-            lengths = [int(n) for n in np.unique(self.sizes) if min(SHINGLE, int(n)) == size]
-            for at, end in _stretches(np.flatnonzero(marks), max(lengths), len(words)):
-                self._stretch(words[at:end], at, len(words), size, lengths, percent, best, marks[at:end])
+            count = starts[place + 1] - starts[place]
+            of = lengths[np.repeat(starts[place] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            at = np.repeat(at, count)
+            for length in np.unique(of).tolist():
+                self._of_length(words, at[of == length], size, length, percent, best)
         return best
 
-    def _stretch(self, words: np.ndarray, at: int, total: int, size: int, lengths: list[int], percent: int, best: dict, marks: np.ndarray) -> None:
-        sums = np.zeros((len(words) + 1, 64), np.int32)
-        np.cumsum(_signs(words), axis=0, out=sums[1:])
-        inside = np.zeros(len(words), np.int64)
-        inside[: len(marks)] = marks
-        hits = np.concatenate([[0], np.cumsum(inside)])
-        for length in lengths:
-            window = length if length <= len(words) else len(words)
-            if 100 * window < percent * length or window < length and window < total:
-                continue
-            first = np.arange(len(words) - window + 1)
-            reach = np.minimum(first + max(1, window - size + 1), len(words))
-            first = first[hits[reach] > hits[first]]
-            if not len(first):
-                continue
-            where, what = self.within(_packed(sums[first + window] - sums[first]))
+    def _of_length(self, words: np.ndarray, hits: np.ndarray, size: int, length: int, percent: int, best: dict) -> None:
+        """Matches with the items of one length; ``hits`` are the places of their shingles."""
+        window = min(length, len(words))
+        own, theirs = window - min(size, window) + 1, length - size + 1
+        # The shingles that both must share; a window has no more of an item's than there are hits in it.
+        least = max(1, -(-percent * (own + theirs) // (100 + percent)))
+        if 100 * window < percent * length or len(hits) < least:
+            return
+        # In time by the hits, not by the text's length: windows that hold ``least`` hits in a row.
+        low = np.maximum(hits[least - 1 :] - own + 1, 0)
+        high = np.minimum(hits[: len(hits) - least + 1], len(words) - window)
+        fits = low <= high
+        low, high = low[fits], high[fits]
+        # Both ascend, so what is left of a range after those before it begins behind their ends.
+        low = np.maximum(low, np.concatenate([[0], high[:-1] + 1])) if len(low) else low
+        count = np.maximum(high - low + 1, 0)
+        first = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        while len(first):
+            some = first[: np.searchsorted(first, first[0] + _STRETCH)]
+            gap = np.flatnonzero(np.diff(some) > window)
+            some = some[: gap[0] + 1] if len(gap) else some
+            first = first[len(some) :]
+            at = int(some[0])
+            sums = np.zeros((int(some[-1]) + window - at + 1, 64), np.int32)
+            np.cumsum(_signs(words[at : int(some[-1]) + window]), axis=0, out=sums[1:])
+            where, what = self.within(_packed(sums[some + window - at] - sums[some - at]))
             fits = self.sizes[what] == length
-            for s, item in zip(first[where[fits]].tolist(), what[fits].tolist(), strict=True):
+            for s, item in zip(some[where[fits]].tolist(), what[fits].tolist(), strict=True):
                 if item in best and best[item][0] == 1:
                     continue
                 like = self.likeness(shingles(words[s : s + window], SHINGLE), item)
                 if 100 * like >= percent and (item not in best or like > best[item][0]):
-                    best[item] = (like, at + s, window)
-
-
-def _stretches(hits: np.ndarray, reach: int, total: int):
-    """Stretches of a text that hold every window of ``reach`` words around the hits."""
-    at = end = -1
-    for h in hits.tolist():
-        low, high = max(0, h - reach), min(total, h + reach + SHINGLE)
-        if end < 0:
-            at, end = low, high
-        elif low <= end and high - at <= max(_STRETCH, 4 * reach):
-            end = high
-        else:
-            yield at, end
-            at, end = low, high
-    if end >= 0:
-        yield at, end
+                    best[item] = (like, s, window)
 
 
 def _blocks(items: DataFrame, key: str, text: str):
