@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import connected
-from wareflow.llm.shared import HOT, dealt_join, salted_join, saved, shuffled_join, small_batches, tidy
+from wareflow.llm.shared import HOT, dealt_join, fixed_plans, let_go, salted_join, saved, shuffled_join, small_batches, tidy
 from wareflow.llm.words import mix, shingles, word_hashes
 
 ROWS = 5
 MISSED = 1e-6
 #: What a task compares at once of one side, about: so many sketches of up to LOAD shingles, or fewer longer ones.
 BLOCK, LOAD = 512, 4096
+#: Documents for each partition of a shuffle of their bucket keys, about.
+_DOCUMENTS = 2000
 
 
 def bands_for(threshold: float, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -266,27 +268,31 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, classes: DataFrame, total: int, size: int, percent: int, key: str, text: str) -> DataFrame:
     """``node`` and ``component`` of the nodes that link with another."""
-    buckets = _buckets(classes)
-    central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
-    pivots = buckets.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
-    stars = salted_join(buckets, pivots, ["key"], ["node"]).where("node != a").select("a", F.col("node").alias("b"))
-    stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    held = saved(_held(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), total, size, key, text))
-    links = saved(_confirmed(saved(_possible(stars, held, percent)), held, size, percent))
-    labels = saved(connected(links).withColumnRenamed("id", "node"))
-
-    apart = _apart(buckets, labels)
-    if apart.isEmpty():
-        return labels
+    spark, partitions = docs.sparkSession, math.ceil(total / _DOCUMENTS)
+    # Each plan below is one job; adaptive ones would be a job, a thread and a new plan for each of their shuffles.
+    with fixed_plans(spark, partitions):
+        buckets = _buckets(classes)
+        central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
+        pivots = buckets.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"))
+        stars = salted_join(buckets, pivots, ["key"], ["node"]).where("node != a").select("a", F.col("node").alias("b"))
+        stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        held = saved(_held(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), total, size, key, text))
+        links = saved(_confirmed(saved(_possible(stars, held, percent)), held, size, percent))
+        labels = saved(connected(links).withColumnRenamed("id", "node"))
+        apart = _apart(buckets, labels)
+        if apart.isEmpty():
+            return labels
     near = saved(_near(apart, held, percent))
-    likeliest = saved(near.groupBy("a", "of_b").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b"))
-    labels = _relabelled(labels, saved(_confirmed(likeliest, held, size, percent)))
-    rest = near.select("a", "b").join(likeliest, ["a", "b"], "left_anti")
-    for side, other in (("a", "b"), ("b", "a")):
-        rest = salted_join(rest, labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], [other], "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = saved(rest)
-    return labels if rest.isEmpty() else _relabelled(labels, saved(_confirmed(rest, held, size, percent)))
+    let_go(spark)
+    with fixed_plans(spark, partitions):
+        likeliest = saved(near.groupBy("a", "of_b").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b"))
+        labels = _relabelled(labels, saved(_confirmed(likeliest, held, size, percent)))
+        rest = near.select("a", "b").join(likeliest, ["a", "b"], "left_anti")
+        for side, other in (("a", "b"), ("b", "a")):
+            rest = salted_join(rest, labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], [other], "left")
+        rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = saved(rest)
+        return labels if rest.isEmpty() else _relabelled(labels, saved(_confirmed(rest, held, size, percent)))
 
 
 @tidy

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +73,37 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Lets the driver's JVM free what the plans of a long piece of work left: their classes, states and broadcasts."""
+    """Lets the driver's JVM free what the plans of a long piece of work left: their classes, states and broadcasts.
+
+    What compiling their code took from the C library stays with it after that, so it is asked to return it.
+    """
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Whether the driver's JVM had the C library return free memory, by the diagnostic command System.trim_native_heap.
+
+    JVMs of other systems, and older ones, do not have the command; then nothing happens.
+    """
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, values = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = named(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # The server's own class is not public, so its method is called by the public interface.
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 @contextmanager
 def spent(spark: SparkSession) -> Iterator[None]:
     """The tables that ``saved`` writes within go at its end; for work whose result does not read them."""
+    let_go(spark)
     _open.append([])
     try:
         yield
